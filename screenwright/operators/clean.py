@@ -19,19 +19,18 @@ _HELD = "__composed"
 _TITLE = "__title"
 
 
-def _plain_part(raw: str) -> str:
+@F.arrow_udf(T.StringType())
+def _multipart_body(raw: pa.Array) -> pa.Array:
     """First text/plain part as it stands in the message, else the message itself."""
-    message = email.message_from_string(raw, policy=mail_policy.default)
-    if not message.is_multipart():
-        body = message.get_payload(decode=False)
-        return body if isinstance(body, str) else raw
-    payloads = (part.get_payload(decode=False) for part in message.walk() if part.get_content_type() == "text/plain")
-    return next((payload for payload in payloads if isinstance(payload, str)), raw)
 
+    def plain_part(text: str) -> str:
+        message = email.message_from_string(text, policy=mail_policy.default)
+        parts = message.walk() if message.is_multipart() else [message]
+        plain = (p for p in parts if not message.is_multipart() or p.get_content_type() == "text/plain")
+        payloads = (p.get_payload(decode=False) for p in plain)
+        return next((payload for payload in payloads if isinstance(payload, str)), text)
 
-@F.arrow_udf(T.StringType())
-def _multipart_body(raw: pa.Array) -> pa.Array:
-    return pa.array([None if text is None else _plain_part(text) for text in raw.to_pylist()], pa.string())
+    return pa.array([None if text is None else plain_part(text) for text in raw.to_pylist()], pa.string())
 
 
 def extract_email_body(df: DataFrame, raw: str = "text", into: str = "body") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -37,9 +39,10 @@ def read_jsonl(spark: SparkSession, path: str, required: tuple[str, ...] = ("id"
     The columns of the file are looked up in its first lines only; the rows are
     then read with a fixed schema.
     """
-    lines = _found(path, spark.read.text)
-    probe = spark.read.json(spark.createDataFrame(lines.limit(100).collect(), lines.schema).rdd.map(lambda r: r[0]))
-    require_columns(probe, required, path)
+    head = _found(path, spark.read.text).take(100)
+    missing = sorted(set(required) - {name for row in head for name in json.loads(row[0])})
+    if missing:
+        raise ValueError(f"{path} is missing required columns: {missing}")
     return spark.read.schema(PREPARED).json(path)
 
 
