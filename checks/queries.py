@@ -66,7 +66,7 @@ def scan_spans(spark: Spark, sf: str) -> DataFrame:
 
 @query
 def category_scores(spark: Spark, sf: str) -> DataFrame:
-    rows = scanned(spark, sf).select("doc_id", F.inline("scan.category_scores"))
+    rows = scanned(spark, sf).select("doc_id", F.inline_outer("scan.category_scores")).filter("category is not null")
     return rows.select("doc_id", "category", r9("score").alias("score"), "evidence_count")
 
 
@@ -300,7 +300,8 @@ def chunk_count_estimate(spark: Spark, sf: str) -> DataFrame:
 @query
 def chunk_scan(spark: Spark, sf: str) -> DataFrame:
     found = scan.scan_chunks(chunk_documents(views.seeded_documents(spark, sf), CHUNKS, leading=True))
-    return found.select("chunk_id", "start_char", r9("scan.risk_score").alias("risk_score"), F.inline("scan.spans")).select(
+    found = found.select("chunk_id", "start_char", r9("scan.risk_score").alias("risk_score"), F.inline_outer("scan.spans"))
+    return found.filter("start is not null").select(
         "chunk_id", "start_char", "risk_score", "start", "end", "category", "detector_name"
     )
 
@@ -332,8 +333,8 @@ def screened_documents(spark: Spark, sf: str) -> DataFrame:
 @query
 def merged_spans(spark: Spark, sf: str) -> DataFrame:
     found = scan.scan(views.seeded_documents(spark, sf))
-    merged = found.select("doc_id", F.inline(context.normalize_spans(F.col("scan.spans"), F.col("text"))))
-    return merged.select("doc_id", "start", "end", "category", "score")
+    merged = found.select("doc_id", F.inline_outer(context.normalize_spans(F.col("scan.spans"), F.col("text"))))
+    return merged.filter("start is not null").select("doc_id", "start", "end", "category", "score")
 
 
 @query

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenwright.constants import WHITESPACE
-from screenwright.functions.core import PAGE, SPACE, let, paged, strip
+from screenwright.functions.core import PAGE, SPACE, let, note, noted, paged, strip
 
 # Ends of paragraphs, lines and sentences.
 BOUNDARY = rf"\n\n|\n|[.!?]{SPACE}+"
@@ -72,24 +72,21 @@ def _ranges(part: Slice, length: Column, settings: ChunkSettings) -> Column:
     """
     stride = settings.size - settings.overlap
     steps = F.sequence(F.lit(1), (F.floor(length / stride).cast("int") + 2) * 3)
-    begin = F.struct(
-        F.lit(0).alias("start"), F.lit(False).alias("done"), F.array().cast(RANGES).alias("ranges")
-    )
+    begin = F.struct(F.lit(0).alias("start"), F.lit(False).alias("done"), F.lit("").alias("ranges"))
 
     def advance(state: Column) -> Column:
         start, ranges = state["start"], state["ranges"]
         target = F.least(start + settings.size, length)
 
         def moved(end: Column) -> Column:
-            long_enough = (end - start >= settings.min_chars) | (F.size(ranges) == 0)
+            long_enough = (end - start >= settings.min_chars) | (ranges == "")
             if settings.keep_tail:
                 long_enough = long_enough | (end >= length)
-            grown = F.concat(ranges, F.array(F.struct(start.alias("start"), end.alias("end"))))
             back = end - settings.overlap
             return F.struct(
                 F.when(back > start, back).otherwise(end).alias("start"),
                 (end >= length).alias("done"),
-                F.when(long_enough, grown).otherwise(ranges).alias("ranges"),
+                F.when(long_enough, note(ranges, start, end)).otherwise(ranges).alias("ranges"),
             )
 
         return let(_pick_end(part, start, target, length, settings), moved)
@@ -97,7 +94,7 @@ def _ranges(part: Slice, length: Column, settings: ChunkSettings) -> Column:
     walked = F.aggregate(steps, begin, lambda state, _: F.when(state["done"], state).otherwise(advance(state)))
     whole = let(
         walked,
-        lambda state: F.when(state["done"], state["ranges"]).otherwise(
+        lambda state: F.when(state["done"], noted(state["ranges"], "start", "end")).otherwise(
             F.raise_error(F.lit("chunking did not reach the end of the text")).cast(RANGES)
         ),
     )
@@ -121,14 +118,20 @@ def _page(settings: ChunkSettings) -> int:
     return max(PAGE, settings.size)
 
 
+def _whole(length: Column) -> Column:
+    return F.array(F.struct(F.lit(0).alias("start"), length.alias("end"))).cast(RANGES)
+
+
 def chunk_ranges(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column:
     """Character ranges of the chunks of ``text``."""
-    length = F.length(text)
-    single = F.array(F.struct(F.lit(0).alias("start"), length.alias("end"))).cast(RANGES)
-    many = paged(text, lambda part: _ranges(part, length, settings), _page(settings))
-    return (
-        F.when(length == 0, F.array().cast(RANGES)).when(length <= settings.size, single).when(text.isNotNull(), many)
-    )
+
+    # Counting characters reads the whole text, so the length is taken once.
+    def ranges(length: Column) -> Column:
+        many = paged(text, lambda part: _ranges(part, length, settings), _page(settings))
+        short = F.when(length <= settings.size, _whole(length)).otherwise(many)
+        return F.when(length == 0, F.array().cast(RANGES)).otherwise(short)
+
+    return F.when(text.isNotNull(), let(F.length(text), ranges))
 
 
 def chunks_of(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column:
@@ -136,7 +139,6 @@ def chunks_of(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column
 
     Blank chunks are left out but keep their index.
     """
-    length = F.length(text)
 
     def cut(part: Slice, ranges: Column) -> Column:
         return F.transform(
@@ -153,20 +155,17 @@ def chunks_of(text: Column, settings: ChunkSettings = ChunkSettings()) -> Column
             ),
         )
 
-    single = F.array(F.struct(F.lit(0).alias("start"), length.alias("end"))).cast(RANGES)
-    pieces = (
-        F.when(length == 0, F.array().cast(CHUNKS))
-        .when(length <= settings.size, cut(lambda start, end: text, single))
-        .when(
-            text.isNotNull(),
-            paged(
-                text,
-                lambda part: let(_ranges(part, length, settings), lambda ranges: cut(part, ranges)),
-                _page(settings),
-            ),
+    def pieces(length: Column) -> Column:
+        many = paged(
+            text,
+            lambda part: let(_ranges(part, length, settings), lambda ranges: cut(part, ranges)),
+            _page(settings),
         )
-    )
-    return F.filter(pieces, lambda chunk: chunk["text"] != "")
+        short = F.when(length <= settings.size, cut(lambda start, end: text, _whole(length))).otherwise(many)
+        return F.when(length == 0, F.array().cast(CHUNKS)).otherwise(short)
+
+    found = F.when(text.isNotNull(), let(F.length(text), pieces))
+    return F.filter(found, lambda chunk: chunk["text"] != "")
 
 
 def estimate_chunk_count(length: Column, size: int = 1200, overlap: int = 150) -> Column:

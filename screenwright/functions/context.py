@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenwright.constants import CONTEXT_HEADER, REMOVAL_MARKER, TRUNCATION_SUFFIX
-from screenwright.functions.core import let, paged, rstrip, two_decimals
+from screenwright.functions.core import let, note, noted, paged, rstrip, two_decimals
 from screenwright.functions.rules import NO_SPANS
 
 REMOVED = "array<struct<start:int,end:int,category:string,score:double,reason:string>>"
@@ -51,25 +51,23 @@ class ContextSettings:
 
 def normalize_spans(spans: Column, text: Column) -> Column:
     """Clip spans to the text, drop empty ones, sort and merge them."""
-    length = F.length(text)
 
-    def clipped(part) -> Column:
+    def clipped(part, length: Column) -> Column:
         def fit(s: Column, i: Column) -> Column:
-            return let(
-                F.least(s["start"], length),
-                lambda start: let(
-                    F.greatest(start, F.least(s["end"], length)),
-                    lambda end: F.struct(
-                        start.alias("start"), end.alias("end"), s["category"].alias("category"), i.alias("at"),
-                        s.withField("start", start).withField("end", end).withField("text", part(start, end)).alias("span"),
-                    ),
-                ),
-            )
+            start = F.least(s["start"], length)
+            end = F.greatest(start, F.least(s["end"], length))
+            return F.struct(start.alias("start"), end.alias("end"), s["category"].alias("category"), i.alias("at"))
+
+        def cut(k: Column) -> Column:
+            span = F.element_at(spans, k["at"] + 1)
+            inside = part(k["start"], k["end"])
+            return span.withField("start", k["start"]).withField("end", k["end"]).withField("text", inside)
 
         kept = F.filter(F.transform(spans, fit), lambda k: k["start"] < k["end"])
-        return F.transform(F.sort_array(kept), lambda k: k["span"])
+        return F.transform(F.sort_array(kept), cut)
 
-    return merge_spans(F.when(F.size(spans) > 0, paged(text, clipped)).otherwise(F.array().cast(NO_SPANS)))
+    fitted = let(F.length(text), lambda length: paged(text, lambda part: clipped(part, length)))
+    return merge_spans(F.when(F.size(spans) > 0, fitted).otherwise(F.array().cast(NO_SPANS)))
 
 
 def merge_spans(ordered: Column) -> Column:
@@ -94,14 +92,29 @@ def merge_spans(ordered: Column) -> Column:
             ),
         )
 
-    def step(merged: Column, span: Column) -> Column:
-        last = F.try_element_at(merged, F.lit(-1))
-        apart = (F.size(merged) == 0) | (span["start"] > last["end"])
-        return F.when(apart, F.concat(merged, F.array(span))).otherwise(
-            F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(joined(last, span)))
-        ).cast(NO_SPANS)
+    def scan(state: Column, span: Column) -> Column:
+        apart = (state["at"] == 0) | (span["start"] > state["end"])
+        return F.struct(
+            (state["at"] + 1).alias("at"),
+            F.when(apart, span["end"]).otherwise(F.greatest(state["end"], span["end"])).alias("end"),
+            F.when(apart, note(state["heads"], state["at"] + 1)).otherwise(state["heads"]).alias("heads"),
+        )
+
+    def groups(spans: Column) -> Column:
+        begin = F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("heads"))
+        heads = noted(F.aggregate(spans, begin, scan)["heads"], "at")
+
+        def merged(starts: Column) -> Column:
+            def group(head: Column, k: Column) -> Column:
+                beyond = F.coalesce(F.try_element_at(starts, k + 2)["at"], F.size(spans) + 1)
+                others = F.slice(spans, head["at"] + 1, beyond - head["at"] - 1)
+                return F.aggregate(others, F.element_at(spans, head["at"]), joined)
+
+            return F.transform(starts, group)
+
+        return let(heads, merged)
 
-    return F.aggregate(ordered, F.array().cast(NO_SPANS), step)
+    return let(ordered, groups).cast(NO_SPANS)
 
 
 def sanitize(text: Column, spans: Column, marker: str = REMOVAL_MARKER, mark_removed: bool = True) -> Column:

@@ -66,6 +66,25 @@ def paged(text: Column, body: Callable[[Callable[[Column, Column], Column]], Col
     return let(pages, with_pages)
 
 
+def note(notes: Column, *numbers: Column) -> Column:
+    """Append numbers to the notes of a fold.
+
+    Arrays that grow inside a fold are copied element by element at every step;
+    a string of numbers is cheap to extend. ``noted`` turns it into an array.
+    """
+    return F.concat(notes, *(part for number in numbers for part in (number.cast("string"), F.lit(","))), F.lit(";"))
+
+
+def noted(notes: Column, *names: str) -> Column:
+    """Array of structs of the noted numbers, one per ``note``."""
+
+    def entry(text: Column) -> Column:
+        numbers = F.split(text, ",")
+        return F.struct(*(F.element_at(numbers, at).cast("int").alias(name) for at, name in enumerate(names, start=1)))
+
+    return F.transform(F.filter(F.split(notes, ";"), lambda text: text != ""), entry)
+
+
 def clamp(score: Column) -> Column:
     """Keep a score inside 0..1; NaN becomes 1.0 and null stays null."""
     value = score.cast("double")

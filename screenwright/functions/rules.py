@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenwright.constants import DEFAULT_RULES, Rule
-from screenwright.functions.core import SPACE, WORD, let, strip
+from screenwright.functions.core import SPACE, WORD, let, note, noted, strip
 
 SPAN_TYPE = (
     "struct<start:int,end:int,text:string,category:string,score:double,reason:string,detector_name:string>"
@@ -30,6 +30,10 @@ _WORD_LISTS = re.compile(r"\\b\(([\w |]+)\)\\b(?:\.\{0,\d+\}\\b\(([\w |]+)\)\\b)
 _FOLDED = ("".join(map(chr, (0x130, 0x131, 0x17F, 0x212A))), "iisk")
 
 
+_RULE = (
+    "struct<number:int,category:string,score:double,reason:string,detector_name:string,pattern:string,"
+    "lists:array<array<array<string>>>,contains:string>"
+)
 _RAW = "struct<start:int,end:int,category:string,rank:double,rule:int,text:string>"
 
 
@@ -87,59 +91,71 @@ def _words_present(text: Column, words: Sequence[str]) -> Column:
     return F.array_distinct(F.transform(found, lambda word: F.lower(F.translate(word, *_FOLDED))))
 
 
-def _can_match(rule: Rule, text: Column, present: Column) -> Column:
-    """False only where the rule surely has no match."""
-    lists = _word_lists(rule)
-    if lists:
-        has_term = [
-            reduce(or_, (reduce(and_, (F.array_contains(present, w) for w in term.split())) for term in terms))
-            for terms in lists
-        ]
-        return reduce(and_, has_term)
-    if rule.contains:
-        return F.contains(text, F.lit(rule.contains))
-    return F.lit(True)
+def _rule_table(rules: Sequence[Rule], detector: str) -> Column:
+    """The rule pack as one constant array, so that its size does not grow the plan."""
+    rows = [
+        {
+            "number": number,
+            "category": rule.category,
+            "score": min(1.0, max(0.0, float(rule.score))),
+            "reason": rule.reason,
+            "detector_name": f"{detector}:{rule.name}",
+            "pattern": spark_pattern(rule.pattern),
+            "lists": [[term.split() for term in terms] for terms in _word_lists(rule) or ()],
+            "contains": rule.contains,
+        }
+        for number, rule in enumerate(rules, start=1)
+    ]
+    return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE}>")
+
+
+def _may_match(rule: Column, text: Column, present: Column) -> Column:
+    """False only where the rule surely has no match: a word of each list must be there."""
+
+    def has_term(terms: Column) -> Column:
+        return F.exists(terms, lambda words: F.forall(words, lambda word: F.array_contains(present, word)))
 
+    literal = F.coalesce(F.contains(text, rule["contains"]), F.lit(True))
+    return literal & F.forall(rule["lists"], has_term)
 
-def _matches(rule: Rule, number: int, text: Column) -> Column:
+
+def _matches(rule: Column, text: Column) -> Column:
     """Raw matches of one rule.
 
     Spark has no match positions: a match starts after the pieces and matches
     before it, where the pieces come from splitting by the same pattern.
     """
-    pattern = spark_pattern(rule.pattern)
 
     def located(found: Column) -> Column:
-        pieces = F.split(text, pattern, -1)
-        pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("g")))
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_RAW}>").alias("out"))
+        gaps = F.slice(F.split(text, rule["pattern"], -1), 1, F.size(found))
+        lengths = F.zip_with(
+            found, gaps, lambda m, gap: F.struct(F.length(m).alias("hit"), F.length(gap).alias("gap"))
+        )
         walked = F.aggregate(
-            pairs,
-            start,
-            lambda state, pair: let(
-                state["at"] + F.length(pair["g"]),
-                lambda begin: F.struct(
-                    (begin + F.length(pair["m"])).alias("at"),
-                    F.concat(
-                        state["out"],
-                        F.array(
-                            F.struct(
-                                begin.alias("start"),
-                                (begin + F.length(pair["m"])).alias("end"),
-                                F.lit(rule.category).alias("category"),
-                                F.lit(-float(rule.score)).alias("rank"),
-                                F.lit(number).alias("rule"),
-                                strip(pair["m"]).alias("text"),
-                            )
-                        ),
-                    ).alias("out"),
-                ),
+            lengths,
+            F.struct(F.lit(0).alias("at"), F.lit("").alias("starts")),
+            lambda state, step: F.struct(
+                (state["at"] + step["gap"] + step["hit"]).alias("at"),
+                note(state["starts"], state["at"] + step["gap"]).alias("starts"),
+            ),
+        )
+        hits = F.zip_with(
+            found,
+            noted(walked["starts"], "start"),
+            lambda m, begin: F.struct(
+                begin["start"].alias("start"),
+                (begin["start"] + F.length(m)).alias("end"),
+                rule["category"].alias("category"),
+                (-rule["score"]).alias("rank"),
+                rule["number"].alias("rule"),
+                strip(m).alias("text"),
             ),
         )
-        return F.filter(walked["out"], lambda hit: hit["text"] != "")
+        return F.filter(hits, lambda hit: hit["text"] != "")
 
-    none = F.lit(None).cast(f"array<{_RAW}>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) > 0, located(m)).otherwise(none))
+    none = F.array().cast(f"array<{_RAW}>")
+    found = F.regexp_extract_all(text, rule["pattern"], F.lit(0))
+    return let(found, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(none))
 
 
 def first_of_each_key(ordered: Column, same_key) -> Column:
@@ -159,45 +175,26 @@ def _same_span(a: Column, b: Column) -> Column:
 def find_spans(text: Column, rules: Sequence[Rule] | None = None, detector: str = "rule_scanner") -> Column:
     """All spans of a text, one per (start, end, category), in that order."""
     pack = check_rules(rules)
-    details = F.array(
-        *(
-            F.struct(
-                F.lit(min(1.0, max(0.0, float(rule.score)))).alias("score"),
-                F.lit(rule.reason).alias("reason"),
-                F.lit(f"{detector}:{rule.name}").alias("detector_name"),
-            )
-            for rule in pack
-        )
-    )
+    table = _rule_table(pack, detector)
+    words = _key_words(pack)
+    present = _words_present(text, words) if words else F.array().cast("array<string>")
 
     def described(hit: Column) -> Column:
-        detail = F.element_at(details, hit["rule"])
+        rule = F.element_at(table, hit["rule"])
         return F.struct(
-            hit["start"].alias("start"),
-            hit["end"].alias("end"),
-            hit["text"].alias("text"),
-            hit["category"].alias("category"),
-            detail["score"].alias("score"),
-            detail["reason"].alias("reason"),
-            detail["detector_name"].alias("detector_name"),
+            *(hit[name].alias(name) for name in ("start", "end", "text", "category")),
+            *(rule[name].alias(name) for name in ("score", "reason", "detector_name")),
         )
 
-    def scanned(present: Column) -> Column:
-        none = F.lit(None).cast(f"array<{_RAW}>")
-        hits = [
-            F.when(_can_match(rule, text, present), _matches(rule, number, text)).otherwise(none)
-            for number, rule in enumerate(pack, start=1)
-        ]
-        joined = F.flatten(F.filter(F.array(*hits), lambda part: part.isNotNull()))
+    def scanned(found: Column) -> Column:
+        candidates = F.filter(table, lambda rule: _may_match(rule, text, found))
         return let(
-            joined,
+            F.flatten(F.transform(candidates, lambda rule: _matches(rule, text))),
             lambda raw: F.when(F.size(raw) == 0, F.array().cast(NO_SPANS)).otherwise(
                 F.transform(first_of_each_key(F.sort_array(raw), _same_span), described)
             ),
         )
 
-    words = _key_words(pack)
-    present = _words_present(text, words) if words else F.array().cast("array<string>")
     return F.when(text.isNotNull(), let(present, scanned).cast(NO_SPANS))
 
 

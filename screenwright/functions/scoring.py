@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
@@ -79,22 +79,22 @@ class Policy:
         return cls(bands, weights, gap_policy)
 
 
-def category_scores(spans: Column, categories: Sequence[str] = tuple(CATEGORY_NAMES)) -> Column:
+def category_scores(spans: Column) -> Column:
     """Best span score plus a bonus for repeated evidence, per category in name order."""
 
-    def scored(category: str) -> Column:
+    def scored(category: Column) -> Column:
+        of_category = F.filter(spans, lambda s: s["category"] == category)
         return let(
-            F.transform(F.filter(spans, lambda s: s["category"] == category), lambda s: s["score"]),
+            F.transform(of_category, lambda s: s["score"]),
             lambda scores: F.struct(
-                F.lit(category).alias("category"),
+                category.alias("category"),
                 category_score(F.array_max(scores), F.size(scores)).alias("score"),
                 F.size(scores).alias("evidence_count"),
             ),
         )
 
-    every = F.array(*(scored(category) for category in sorted(set(categories))))
-    found = F.filter(every, lambda c: c["evidence_count"] > 0)
-    return F.when(F.size(spans) > 0, found).when(spans.isNotNull(), F.array().cast(CATEGORY_SCORES)).cast(CATEGORY_SCORES)
+    categories = F.sort_array(F.array_distinct(F.transform(spans, lambda s: s["category"])))
+    return F.transform(categories, scored).cast(CATEGORY_SCORES)
 
 
 def category_score(best: Column, evidence: Column) -> Column:

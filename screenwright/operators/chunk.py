@@ -16,7 +16,9 @@ def chunk_documents(df: DataFrame, settings: ChunkSettings = ChunkSettings(), le
     trimmed in front of the chunk text.
     """
     kept = [name for name in ("source_type", "source_uri", "metadata") if name in df.columns]
-    exploded = df.select("doc_id", *kept, F.explode(chunks_of(F.col("text"), settings)).alias("c"))
+    exploded = df.select("doc_id", *kept, F.explode_outer(chunks_of(F.col("text"), settings)).alias("c"))
+    # The outer form keeps the optimizer from repeating the chunking in a filter.
+    exploded = exploded.filter(F.col("c").isNotNull())
     index = F.col("c.chunk_index")
     columns = [
         F.concat(F.col("doc_id").cast("string"), F.lit("_chunk_"), F.format_string("%04d", index)).alias("chunk_id"),

@@ -7,23 +7,19 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.constants import CATEGORY_NAMES, CATEGORY_WEIGHTS, Rule
+from screenwright.constants import CATEGORY_WEIGHTS, Rule
 from screenwright.functions.core import let
-from screenwright.functions.rules import check_rules, find_spans, offset_spans
+from screenwright.functions.rules import find_spans, offset_spans
 from screenwright.functions.scoring import category_score, category_scores, detected_categories, risk_score
 
 
-def categories_of(rules: Sequence[Rule] | None) -> tuple[str, ...]:
-    return tuple(sorted({*CATEGORY_NAMES, *(rule.category for rule in check_rules(rules))}))
-
-
-def scan_result(spans, rules: Sequence[Rule] | None = None, weights: Mapping[str, float] | None = None):
+def scan_result(spans, weights: Mapping[str, float] | None = None):
     """Struct of spans, category scores, risk score, span count and categories."""
     weights = dict(weights or CATEGORY_WEIGHTS)
     return let(
         spans,
         lambda found: let(
-            category_scores(found, categories_of(rules)),
+            category_scores(found),
             lambda scores: F.struct(
                 found.alias("spans"),
                 scores.alias("category_scores"),
@@ -44,7 +40,7 @@ def scan(
     detector: str = "rule_scanner",
 ) -> DataFrame:
     """Add struct ``into`` with the scan of a text column; null text gives null."""
-    result = scan_result(find_spans(F.col(text), rules, detector), rules, weights)
+    result = scan_result(find_spans(F.col(text), rules, detector), weights)
     return df.withColumn(into, F.when(F.col(text).isNotNull(), result))
 
 
@@ -65,12 +61,16 @@ def scan_chunks(
     if exact_offsets:
         offset = offset + F.col("leading")
     spans = let(find_spans(F.col("text"), rules, detector), lambda found: offset_spans(found, offset))
-    return chunks.withColumn(into, F.when(F.col("text").isNotNull(), scan_result(spans, rules, weights)))
+    return chunks.withColumn(into, F.when(F.col("text").isNotNull(), scan_result(spans, weights)))
 
 
 def spans_long(df: DataFrame, key: str, spans: str = "scan.spans") -> DataFrame:
-    """One row per span."""
-    return df.select(key, F.inline(spans))
+    """One row per span.
+
+    The plain generator would make the optimizer repeat the whole scan in a
+    filter for non-empty arrays; the outer one does not.
+    """
+    return df.select(key, F.inline_outer(spans)).filter(F.col("start").isNotNull())
 
 
 def distinct_spans(spans: DataFrame, key: str) -> DataFrame:

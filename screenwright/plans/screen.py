@@ -53,7 +53,7 @@ def screen_documents(
         )
 
     spans = deduplicate_spans(F.flatten(F.transform(chunks_of(F.col("text"), settings.chunks), of_chunk)))
-    scanned = documents.withColumn("scan", scan_result(spans, settings.rules, settings.weights))
+    scanned = documents.withColumn("scan", scan_result(spans, settings.weights))
     score = "scan.risk_score"
     if model_probability:
         blended = risk_score(
