@@ -122,7 +122,8 @@ def fit(
 
     The loss is that of a linear solver with C = 1 that penalises the bias too:
     a constant feature carries the bias, and the strength is one over the total
-    sample weight.
+    sample weight. The learner ignores features that never vary, so rows of
+    class 0 are mirrored: (-x, 1) has the loss of (x, 0) and the constant varies.
     """
     chosen = df.select(
         key,
@@ -146,23 +147,27 @@ def fit(
 
     balanced = settings.class_weight == "balanced"
     weights = {c: total / (2.0 * n) if balanced else 1.0 for c, n in counts.items()}
-    features = tfidf_rows(terms, vocab, key, ("label",), settings).select(
-        F.col("label").cast("double").alias("label"),
-        F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]).alias("weight"),
+    # Written once, so that no solver step ever goes back to the join.
+    weighted = cut_lineage(tfidf_rows(terms, vocab, key, ("label",), settings).drop("vocabulary_terms"))
+    mirror = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)
+    features = weighted.select(
+        F.lit(1.0).alias("target"),
+        F.when(F.col("label") == 1, weights[1]).otherwise(weights[0]).alias("sample_weight"),
         _sparse(
             F.lit(size + 1),
             F.concat("indices", F.array(F.lit(size))),
-            F.concat("values", F.array(F.lit(1.0))),
+            F.transform(F.concat("values", F.array(F.lit(1.0))), lambda value: value * mirror),
         ).alias("features"),
     )
     learner = LogisticRegression(
-        weightCol="weight",
+        labelCol="target",
+        weightCol="sample_weight",
         regParam=1.0 / sum(weights[c] * n for c, n in counts.items()),
         elasticNetParam=0.0,
         standardization=False,
         fitIntercept=False,
         maxIter=settings.max_iter,
-        tol=1e-8,
+        tol=1e-6,
     )
     solution = learner.fit(features).coefficients.toArray()
     spark = df.sparkSession
