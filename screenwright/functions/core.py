@@ -113,4 +113,4 @@ def two_decimals(score: Column) -> Column:
         cents,
         lambda c: F.concat(F.floor(c / 100).cast("string"), F.lit("."), F.lpad((c % 100).cast("string"), 2, "0")),
     )
-    return F.when(score.between(0.0, 1.0), exact).otherwise(F.format_string("%.2f", score))
+    return F.when(score.between(0.0, 1.0), exact).when(score.isNotNull(), F.format_string("%.2f", score))
