@@ -67,6 +67,7 @@ def main() -> None:
     for name in names:
         run(name)
         seconds[name] = run(name)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     print(
         json.dumps(
             {
