@@ -18,7 +18,6 @@ from checks.queries import QUERIES
 HEADLINE = (
     "decisions_by_source",
     "scan_spans",
-    "custom_rules",
     "policy_messages",
     "normalize_noisy",
     "nfkc",
@@ -26,17 +25,13 @@ HEADLINE = (
     "clean_email",
     "create_documents",
     "chunks",
-    "chunk_scan",
     "chunk_rollup",
     "screened_documents",
     "sanitized_texts",
     "safe_contexts",
-    "prepared_distinct",
     "prepared_rows",
     "document_frequency",
-    "vocabulary",
     "tfidf_weights",
-    "structured_predictions",
     "metrics_by_lang",
     "threshold_sweep",
 )
