@@ -15,6 +15,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -238,7 +239,7 @@ def join_similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
             ends = np.cumsum(counts)
             sets = [grams[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
             keys = pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary())
-            same = pa.compute.fill_null(pa.compute.equal(keys, part.column(part.schema.get_field_index("key"))), False)
+            same = pc.fill_null(pc.equal(keys, part.column(part.schema.get_field_index("key"))), False)
             names = ["component", "blocks", "block", "rep", "copies", "key"]
             columns = [part.column(part.schema.get_field_index(c)) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], [*names, "grams"]).filter(same)
