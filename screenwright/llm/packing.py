@@ -28,7 +28,7 @@ SENTENCE_CUT, FORCED_CUT = 32, 256
 PLAN_TOKENS = 1 << 18
 END_ID = 1
 #: Words remembered per Python worker; a full memory is emptied, which costs time only.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 _loaded: dict[str, WordIds] = {}
@@ -50,16 +50,15 @@ class WordIds:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {"": 0}
-        self.ids: list[list[int]] = [[]]
-        self.words: dict[str, list[int]] = {}
-        self.marks: dict[str, list[int]] = {"": []}
+        self.words: dict[str, tuple[int, ...]] = {}
+        self.marks: dict[str, tuple[int, ...]] = {"": ()}
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)  # of word n > 0: starts[n - 1] to starts[n]
 
-    def encoded(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+    def encoded(self, text: str) -> tuple[int, ...]:
+        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def word(self, part: str) -> list[int]:
+    def word(self, part: str) -> tuple[int, ...]:
         """A part of Latin-1 letters with marks behind is two words; any other goes through the whole tokenizer."""
         word = part.rstrip(_MARKS)
         if not (word.isalpha() and max(word) < "Ā"):
@@ -71,22 +70,21 @@ class WordIds:
         ids = self.words.get(word)
         if ids is None:
             letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(letters)]
+            ids = self.words[word] = tuple([t.id for t in self.tokenizer.model.tokenize(letters)])
         return ids + self.marks[marks] if marks else ids
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Blanks and line feeds part words and carry no id."""
-        if len(self.ids) > REMEMBERED:
+        if len(self.number) > REMEMBERED:
             self.clear()
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        known = len(self.ids)
+        number, new = self.number, []
         for words in parts:
             for w in words:
-                if w not in self.number:
-                    self.number[w] = len(self.ids)
-                    self.ids.append(self.word(w))
-        if len(self.ids) > known:
-            new = self.ids[known:]
+                if w not in number:
+                    number[w] = len(number)
+                    new.append(self.word(w))
+        if new:
             sizes = np.fromiter(map(len, new), np.int64, len(new))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.int32, int(sizes.sum()))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
