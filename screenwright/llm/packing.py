@@ -34,6 +34,19 @@ _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c !=
 _loaded: dict[str, WordIds] = {}
 
 
+class _Numbers(dict):
+    """Numbers of parts in order of their first use; ``new`` gets the ids of each new one."""
+
+    def __init__(self, ids_of):
+        super().__init__({"": 0})
+        self.ids_of, self.new = ids_of, []
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = len(self)
+        self.new.append(self.ids_of(part))
+        return number
+
+
 class WordIds:
     """Ids of a vocabulary whose words never hold white space, remembered by word."""
 
@@ -49,7 +62,7 @@ class WordIds:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
+        self.number = _Numbers(self.word)
         self.words: dict[str, tuple[int, ...]] = {}
         self.marks: dict[str, tuple[int, ...]] = {"": ()}
         self.flat = np.zeros(0, np.int32)
@@ -78,18 +91,13 @@ class WordIds:
         if len(self.number) > REMEMBERED:
             self.clear()
         parts = [text.replace("\n", " ").split(" ") for text in texts]
-        number, new = self.number, []
-        for words in parts:
-            for w in words:
-                if w not in number:
-                    number[w] = len(number)
-                    new.append(self.word(w))
-        if new:
+        words = list(chain.from_iterable(parts))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if new := self.number.new:
             sizes = np.fromiter(map(len, new), np.int64, len(new))
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.int32, int(sizes.sum()))])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        words = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+            new.clear()
         begin = self.starts[np.maximum(at - 1, 0)]
         size = np.where(at > 0, self.starts[at] - begin, 0)
         ends = np.cumsum(size)
