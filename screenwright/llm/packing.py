@@ -9,9 +9,9 @@ a monotone queue finds it in constant time.
 from __future__ import annotations
 
 import os
+from array import array
 from collections import deque
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +28,17 @@ SENTENCE_CUT, FORCED_CUT = 32, 256
 PLAN_TOKENS = 1 << 18
 END_ID = 1
 #: Words remembered per Python worker; a full memory is emptied, which costs time only.
-REMEMBERED = 800_000
+REMEMBERED = 600_000
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
 _loaded: dict[str, WordIds] = {}
 
 
-class _Numbers(dict):
-    """Numbers of parts in order of their first use; ``new`` gets the ids of each new one."""
-
-    def __init__(self, ids_of):
-        super().__init__({"": 0})
-        self.ids_of, self.new = ids_of, []
-
-    def __missing__(self, part: str) -> int:
-        self[part] = number = len(self)
-        self.new.append(self.ids_of(part))
-        return number
-
-
-class WordIds:
-    """Ids of a vocabulary whose words never hold white space, remembered by word."""
+class WordIds(dict):
+    """Ids of a vocabulary whose words never hold white space, as packed 32-bit numbers, remembered by word."""
 
     def __init__(self, path: str):
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -59,51 +47,34 @@ class WordIds:
         self.sentence_end = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.sentence_end[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
-        self.clear()
 
-    def clear(self) -> None:
-        self.number = _Numbers(self.word)
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.marks: dict[str, tuple[int, ...]] = {"": ()}
-        self.flat = np.zeros(0, np.int32)
-        self.starts = np.zeros(1, np.int64)  # of word n > 0: starts[n - 1] to starts[n]
+    def encoded(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def encoded(self, text: str) -> tuple[int, ...]:
-        return tuple(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    def word(self, part: str) -> tuple[int, ...]:
-        """A part of Latin-1 letters with marks behind is two words; any other goes through the whole tokenizer."""
+    def __missing__(self, part: str) -> bytes:
+        """Latin-1 letters with marks behind are two words; any other part goes through the whole tokenizer."""
         word = part.rstrip(_MARKS)
+        lower = word.lower()
         if not (word.isalpha() and max(word) < "Ā"):
-            return self.encoded(part)
-        marks = part[len(word) :]
-        if marks not in self.marks:
-            self.marks[marks] = self.encoded(marks)
-        word = word.lower()
-        ids = self.words.get(word)
-        if ids is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(_LETTERS)
-            ids = self.words[word] = tuple([t.id for t in self.tokenizer.model.tokenize(letters)])
-        return ids + self.marks[marks] if marks else ids
-
-    def of(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Blanks and line feeds part words and carry no id."""
-        if len(self.number) > REMEMBERED:
+            ids = _packed(self.encoded(part))
+        elif part != lower:
+            ids = self[lower] + (self[part[len(word) :]] if len(word) < len(part) else b"")
+        else:
+            letters = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_LETTERS)
+            ids = _packed([t.id for t in self.tokenizer.model.tokenize(letters)])
+        self[part] = ids
+        return ids
+
+    def of(self, text: str) -> np.ndarray:
+        """Ids of a text. Blanks and line feeds part words and carry no id."""
+        if len(self) > REMEMBERED:
             self.clear()
-        parts = [text.replace("\n", " ").split(" ") for text in texts]
-        words = list(chain.from_iterable(parts))
-        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        if new := self.number.new:
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(new), np.int32, int(sizes.sum()))])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            new.clear()
-        begin = self.starts[np.maximum(at - 1, 0)]
-        size = np.where(at > 0, self.starts[at] - begin, 0)
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([len(p) for p in parts])]
-        return np.split(ids, cuts[:-1]) if len(cuts) else []
+            self[""] = b""
+        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.int32)
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
 
 
 def _byte_letters() -> dict[int, str]:
@@ -237,8 +208,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
 
         def pieces() -> Iterator[tuple]:
             for part in slices(batches, "text", max_bytes=1 << 20):
-                for doc_id, ids in zip(part.column(0).to_pylist(), words.of(texts_of(part)), strict=True):
-                    yield from packer.add(doc_id, np.append(ids, np.int32(END_ID)))
+                for doc_id, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
+                    yield from packer.add(doc_id, np.append(words.of(text), np.int32(END_ID)))
             yield from packer.plan(True)
 
         rows: list[tuple] = []
