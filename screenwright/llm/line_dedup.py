@@ -49,22 +49,34 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.stack([(hashes >> np.uint64(32 * i)) * np.uint64(2 * i + 1) & mask for i in range(PROBES)]).astype(np.int64)
 
 
+def _test(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether all probes (rows of ``at``) are set in a packed bit map."""
+    return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+
+def _set(bits: np.ndarray, at: np.ndarray) -> None:
+    at = np.unique(at)
+    if len(at):
+        cells, first = np.unique(at >> 3, return_index=True)
+        bits[cells] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
+
+
 class _Seen:
-    """Bit maps of one task: hashes seen in some document, and in a second one."""
+    """Packed bit maps of one task: hashes seen in some document, and in a second one."""
 
     def __init__(self, bits: int):
-        self.once, self.twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        self.bits = bits
+        self.once, self.twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
         """``hashes``: those of several documents, each hash once per document that has it."""
         hashes, counts = np.unique(hashes, return_counts=True)
-        at = _positions(hashes, len(self.once))
-        again = (counts > 1) | self.once[at].all(axis=0)
-        self.twice[at[:, again]] = True
-        self.once[at] = True
+        at = _positions(hashes, self.bits)
+        _set(self.twice, at[:, (counts > 1) | _test(self.once, at)])
+        _set(self.once, at)
 
     def pages(self) -> Iterator[tuple[int, bytes, bytes]]:
-        once, twice = np.packbits(self.once).reshape(PAGES, -1), np.packbits(self.twice).reshape(PAGES, -1)
+        once, twice = self.once.reshape(PAGES, -1), self.twice.reshape(PAGES, -1)
         for page in range(PAGES):
             if once[page].any():
                 yield page, zlib.compress(once[page].tobytes(), 1), zlib.compress(twice[page].tobytes(), 1)
@@ -134,7 +146,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     suspected = docs.sparkSession.sparkContext.broadcast(_filters(docs, min_chars, bits))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        twice = np.unpackbits(np.frombuffer(zlib.decompress(suspected.value), np.uint8)).view(bool)
+        twice = np.frombuffer(zlib.decompress(suspected.value), np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
@@ -146,7 +158,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
                 if not keys:
                     continue
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
-                hit = np.flatnonzero(twice[_positions(hashes, bits)].all(axis=0)).tolist()
+                hit = np.flatnonzero(_test(twice, _positions(hashes, bits))).tolist()
                 digests = [xxhash.xxh3_128_digest(keys[i]) for i in hit]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([ids[i] for i in hit], pa.int64()), pa.array(digests, pa.binary())], ["doc_id", "digest"]
