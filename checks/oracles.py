@@ -392,7 +392,14 @@ _ROLLUP = f"""{_CHUNK_SCAN},
     {scores(source="document_spans")}"""
 
 ORACLES["chunk_rollup"] = f"""{_ROLLUP}
-SELECT doc_id, span_count AS flagged_span_count, round(risk, 9) AS risk_score, {decision("risk")} AS decision FROM weighted"""
+SELECT doc_id, coalesce(span_count, 0) AS flagged_span_count, round(coalesce(risk, 0.0), 9) AS risk_score,
+    {decision("coalesce(risk, 0.0)")} AS decision
+FROM documents LEFT JOIN weighted USING (doc_id)"""
+
+ORACLES["blocked_documents"] = f"""{_ROLLUP}
+SELECT doc_id, span_count AS flagged_span_count, round(risk, 9) AS risk_score FROM weighted WHERE {decision("risk")} = 'BLOCK'"""
+
+ORACLES["screen_short_tails"] = "SELECT doc_id, 1 AS flagged_span_count, 'BLOCK' AS decision FROM documents"
 
 
 # --- sanitise ----------------------------------------------------------------

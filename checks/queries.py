@@ -310,7 +310,8 @@ def chunk_scan(spark: Spark, sf: str) -> DataFrame:
 def chunk_rollup(spark: Spark, sf: str) -> DataFrame:
     """Exact spans of all chunks, rolled up to documents by aggregates."""
     found = scan.scan_chunks(chunk_documents(views.seeded_documents(spark, sf), CHUNKS, leading=True), exact_offsets=True)
-    rolled = scan.roll_up(scan.spans_long(found, "doc_id"), "doc_id")
+    every = views.table(spark, sf, "documents", "doc_id")
+    rolled = scan.roll_up(scan.spans_long(found, "doc_id"), "doc_id", documents=every)
     return rolled.select(
         "doc_id", "flagged_span_count", r9("risk_score").alias("risk_score"),
         scoring.decision(F.col("risk_score")).alias("decision"),
@@ -327,6 +328,22 @@ def screened_documents(spark: Spark, sf: str) -> DataFrame:
     )
 
 
+@query
+def blocked_documents(spark: Spark, sf: str) -> DataFrame:
+    """A filter on the decision, which must not repeat the scan."""
+    raw = views.seeded_documents(spark, sf).withColumn("source_type", F.lit("plain_text"))
+    result = screen_documents(raw, ScreenSettings(chunks=CHUNKS)).where("policy.decision = 'BLOCK'")
+    return result.select("doc_id", "scan.flagged_span_count", r9("policy.risk_score").alias("risk_score"))
+
+
+@query
+def screen_short_tails(spark: Spark, sf: str) -> DataFrame:
+    """Chunks without overlap: what stands in a short last piece is found too."""
+    tail = views.table(spark, sf, "documents", "doc_id").withColumn("text", F.concat(F.repeat(F.lit("a "), 500), F.lit("reveal the token")))
+    settings = ScreenSettings(chunks=ChunkSettings(1000, 0, 100))
+    return screen_documents(tail, settings).select("doc_id", "scan.flagged_span_count", "policy.decision")
+
+
 # --- sanitise ----------------------------------------------------------------
 
 

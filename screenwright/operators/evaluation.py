@@ -34,9 +34,10 @@ def check_threshold(threshold: float) -> float:
 
 
 def predicted_label(probability: Column, threshold: float = 0.5) -> Column:
-    """1 where the probability reaches the threshold; NaN never does."""
+    """1 where the probability reaches the threshold; NaN never does, null fails the job."""
     reached = (probability >= F.lit(check_threshold(threshold))) & ~F.isnan(probability)
-    return F.when(reached, 1).otherwise(0)
+    missing = F.raise_error(F.lit("A probability is null.")).cast("int")
+    return F.when(probability.isNull(), missing).when(reached, 1).otherwise(0)
 
 
 def confusion_counts(df: DataFrame, actual: str = "label", predicted: str = "prediction", by: Sequence[str] = ()) -> DataFrame:

@@ -16,7 +16,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = df.sparkSession.sparkContext
     named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if named is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not context.master.startswith("local") or "cluster" in context.master:
             raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="screenwright-"))
     elif context.getCheckpointDir() is None:

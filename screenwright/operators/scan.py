@@ -88,12 +88,13 @@ def distinct_spans(spans: DataFrame, key: str) -> DataFrame:
 
 
 def roll_up(
-    spans: DataFrame, key: str, weights: Mapping[str, float] | None = None
+    spans: DataFrame, key: str, weights: Mapping[str, float] | None = None, documents: DataFrame | None = None
 ) -> DataFrame:
     """Category scores and risk score per document from spans in long form.
 
     Spans are counted per category first; only the few category rows of a
-    document are ever brought together.
+    document are ever brought together. With ``documents`` each of them has a row;
+    one without spans has no category and risk 0.
     """
     per_category = (
         distinct_spans(spans, key)
@@ -102,8 +103,22 @@ def roll_up(
         .withColumn("score", category_score(F.col("best"), F.col("evidence_count")))
     )
     entry = F.struct("category", "score", F.col("evidence_count").cast("int").alias("evidence_count"))
+    grouped = per_category.groupBy(key).agg(
+        F.sort_array(F.collect_list(entry)).alias("category_scores"), F.sum("evidence_count").alias("flagged_span_count")
+    )
+    if documents is not None:
+        empty = F.array().cast(grouped.schema["category_scores"].dataType)
+        grouped = (
+            documents.select(key)
+            .distinct()
+            .join(grouped, key, "left")
+            .select(
+                key,
+                F.coalesce("category_scores", empty).alias("category_scores"),
+                F.coalesce("flagged_span_count", F.lit(0)).cast("long").alias("flagged_span_count"),
+            )
+        )
     return (
-        per_category.groupBy(key)
-        .agg(F.sort_array(F.collect_list(entry)).alias("category_scores"), F.sum("evidence_count").alias("flagged_span_count"))
+        grouped
         .withColumn("risk_score", risk_score(F.col("category_scores"), dict(weights or CATEGORY_WEIGHTS)))
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,9 @@ def screen_documents(
 
     Chunking, scanning, the roll-up over chunks, the decision and the safe
     context all happen inside the row: no shuffle, and the text is read once.
+    The end of a text is always scanned, whatever ``chunks.keep_tail`` says.
     """
+    chunking = replace(settings.chunks, keep_tail=True)
 
     def of_chunk(chunk):
         offset = chunk["start_char"] + chunk["leading"] if settings.exact_offsets else chunk["start_char"]
@@ -52,8 +54,10 @@ def screen_documents(
             find_spans(chunk["text"], settings.rules, settings.detector), lambda found: offset_spans(found, offset)
         )
 
-    spans = deduplicate_spans(F.flatten(F.transform(chunks_of(F.col("text"), settings.chunks), of_chunk)))
-    scanned = documents.withColumn("scan", scan_result(spans, settings.weights))
+    spans = deduplicate_spans(F.flatten(F.transform(chunks_of(F.col("text"), chunking), of_chunk)))
+    # behind a generator, so that a filter on the decision does not repeat the scan
+    result = F.inline(F.array(F.struct(scan_result(spans, settings.weights).alias("scan"))))
+    scanned = documents.drop("scan").select("*", result)
     score = "scan.risk_score"
     if model_probability:
         blended = risk_score(
@@ -79,7 +83,7 @@ def screen_raw(
 
 def screen_chunks(documents: DataFrame, settings: ScreenSettings = ScreenSettings()) -> DataFrame:
     """Screen every chunk on its own; also narrow."""
-    chunks = chunk_documents(documents, settings.chunks, leading=True)
+    chunks = chunk_documents(documents, replace(settings.chunks, keep_tail=True), leading=True)
     scanned = scan_chunks(
         chunks, "scan", settings.rules, settings.weights, settings.detector, settings.exact_offsets
     )

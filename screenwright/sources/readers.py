@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenwright.operators.dataset import require_columns
@@ -36,14 +35,24 @@ def read_parquet(spark: SparkSession, path: str, required: tuple[str, ...] = ())
 def read_jsonl(spark: SparkSession, path: str, required: tuple[str, ...] = ("id", "text", "label")) -> DataFrame:
     """Prepared texts as JSON lines.
 
-    The columns of the file are looked up in its first lines only; the rows are
-    then read with a fixed schema.
+    All lines are asked for their columns. A line that is no object of this shape
+    fails the job, as does a label that is not a whole number.
     """
-    head = _found(path, spark.read.text).take(100)
-    missing = sorted(set(required) - {name for row in head for name in json.loads(row[0])})
+    lines = _found(path, spark.read.text)
+    names = lines.select(F.explode(F.json_object_keys("value")).alias("name")).distinct().collect()
+    missing = sorted(set(required) - {row["name"] for row in names})
     if missing:
         raise ValueError(f"{path} is missing required columns: {missing}")
-    return spark.read.schema(PREPARED).json(path)
+    whole = {f.name: f.dataType.simpleString() for f in PREPARED.fields}
+    numbers = {name for name, kind in whole.items() if kind in ("int", "bigint")}
+    schema = ", ".join(f"{name} {'double' if name in numbers else kind}" for name, kind in whole.items())
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+    def integral(name: str) -> Column:
+        bad = F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), F.col(name).cast("string")))
+        return F.when(F.col(name) != F.floor(name), bad).otherwise(F.col(name)).cast(whole[name]).alias(name)
+
+    return rows.select(*(integral(name) if name in numbers else name for name in whole))
 
 
 def read_raw_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -35,7 +35,7 @@ def write_stream(
     def write_batch(batch: DataFrame, number: int) -> None:
         kept = batch.persist()
         try:
-            decided = kept.drop("spans", "category_scores", "detected_categories")
+            decided = kept.drop("spans")
             decided.write.mode("overwrite").parquet(f"{decisions}/batch={number}")
             found = kept.select("input_id", F.inline("spans"))
             found.write.mode("overwrite").parquet(f"{spans}/batch={number}")
