@@ -189,15 +189,22 @@ class LineModel:
 def learn_quality(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> LineModel:
     """A model from a bounded sample of labelled rows outside the held-out fold.
 
-    One text per label and hash bucket, the one with the smallest hash, by a plain
+    One document per label and hash bucket, the one with the smallest hash, by a plain
     aggregate; each stands for all labelled rows of its bucket. Labels other than 0 and 1, null labels and null texts are passed over.
     """
     known = labels.where(learnable(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
-    rows = docs.where(learnable(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, max_chars).alias("text"))
-    found = (
-        rows.join(known, "doc_id")
+    rows = docs.where(learnable(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text")
+    # ids are drawn first, so that no text is shuffled but those of the sample
+    drawn = (
+        rows.select("doc_id")
+        .join(known, "doc_id")
         .groupBy("quality", F.pmod(F.xxhash64("doc_id"), F.lit(max_docs)).alias("bucket"))
-        .agg(F.min_by("text", F.xxhash64(F.lit(5), "doc_id", "text")).alias("text"), F.count("*").alias("n"))
+        .agg(F.min_by("doc_id", F.xxhash64(F.lit(5), "doc_id")).alias("doc_id"), F.count("*").alias("n"))
+    )
+    found = (
+        rows.join(F.broadcast(drawn), "doc_id")  # at most 2 * max_docs rows
+        .groupBy("quality", "bucket", "n")
+        .agg(F.min(F.substring("text", 1, max_chars)).alias("text"))
         .orderBy("quality", "bucket")
         .collect()
     )
