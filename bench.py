@@ -27,6 +27,7 @@ HEADLINE = (
     "chunks",
     "chunk_rollup",
     "screened_documents",
+    "blocked_documents",
     "sanitized_texts",
     "safe_contexts",
     "prepared_rows",

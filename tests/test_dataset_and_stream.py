@@ -89,3 +89,13 @@ def test_plain_screening_has_no_shuffle(spark):
     raw = spark.createDataFrame([("a", "t", "email", None)], "doc_id string, text string, source_type string, source_uri string")
     plan = result_columns(screen_raw(raw))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_jsonl_is_read_as_a_whole(spark, tmp_path):
+    late = tmp_path / "late"
+    late.write_text("".join('{"id":"%d","text":"x"%s}\n' % (i, ',"label":1.0' if i >= 120 else "") for i in range(150)))
+    assert readers.read_jsonl(spark, str(late)).where("label = 1").count() == 30
+    for name, line in (("broken", '{"id":"1","text":'), ("half", '{"id":"1","text":"x","label":0.5}'), ("word", '{"id":"1","text":"x","label":"x"}')):
+        (tmp_path / name).write_text('{"id":"0","text":"y","label":0}\n' + line + "\n")
+        with pytest.raises(Exception):
+            readers.read_jsonl(spark, str(tmp_path / name)).collect()
