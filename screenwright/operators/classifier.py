@@ -8,10 +8,10 @@ from dataclasses import asdict, dataclass
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenwright.functions.core import clamp
+from screenwright.functions.core import clamp, let
 from screenwright.functions.scoring import label_name
 from screenwright.operators.dataset import binary_label
 from screenwright.operators.evaluation import binary_metrics, predicted_label
@@ -19,8 +19,7 @@ from screenwright.operators.lineage import cut_lineage
 from screenwright.operators.tfidf import (
     TfidfSettings,
     document_frequency,
-    raw_weight,
-    small,
+    known_terms,
     terms_of,
     tfidf_rows,
     vocabulary,
@@ -46,20 +45,27 @@ class TfidfModel:
     ) -> DataFrame:
         """``key``, carried columns and the probability of class 1.
 
-        No vectors are built: a document's score is a sum over its terms, which
-        is added up before the shuffle.
+        No vectors are built and nothing is shuffled: the score is a sum inside
+        the row, so rows with equal or null keys stay apart.
         """
-        terms = terms_of(df.select(key, *carry, text), text, self.settings)
-        long = terms.select(key, *carry, F.inline_outer("terms"))
-        weighted = long.join(small(self.terms.select("term", "idf", "coefficient"), self.settings), "term", "left")
-        weight = raw_weight(F.col("tf"), F.col("idf"))
-        sums = weighted.groupBy(key).agg(
-            *(F.first(name).alias(name) for name in carry),
-            F.coalesce(F.sum(weight * F.col("coefficient")), F.lit(0.0)).alias("__score"),
-            F.coalesce(F.sum(weight * weight), F.lit(0.0)).alias("__square"),
+        known = known_terms(F.col("terms"), self.terms, ("coefficient",), self.settings)
+        start = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("square"))
+        sums = F.aggregate(
+            known,
+            start,
+            lambda total, e: F.struct(
+                (total["score"] + e["weight"] * e["coefficient"]).alias("score"),
+                (total["square"] + e["weight"] * e["weight"]).alias("square"),
+            ),
         )
-        margin = F.coalesce(F.try_divide(F.col("__score"), F.sqrt("__square")), F.lit(0.0)) + F.lit(self.bias)
-        return sums.select(key, *carry, (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias(into))
+
+        def probability(total: Column) -> Column:
+            margin = F.coalesce(F.try_divide(total["score"], F.sqrt(total["square"])), F.lit(0.0)) + F.lit(self.bias)
+            return F.struct((F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias(into))
+
+        terms = terms_of(df.select(key, *carry, text), text, self.settings)
+        # behind a generator, so that a filter on the probability does not repeat the sum
+        return terms.select(key, *carry, F.inline(F.array(let(sums, probability))))
 
     def predict(
         self, df: DataFrame, key: str, text: str = "text", carry: tuple[str, ...] = (), threshold: float = 0.5
@@ -167,7 +173,7 @@ def fit(
         standardization=False,
         fitIntercept=False,
         maxIter=settings.max_iter,
-        tol=1e-6,
+        tol=settings.tol,
     )
     solution = learner.fit(features).coefficients.toArray()
     spark = df.sparkSession
@@ -175,5 +181,5 @@ def fit(
     learned = spark.createDataFrame(
         pa.table({"index": pa.array(range(size), pa.int32()), "coefficient": pa.array(solution[:size])})
     )
-    fitted = vocab.join(small(learned, settings), "index").select("term", "df", "idf", "index", "coefficient")
+    fitted = vocab.join(F.broadcast(learned), "index").select("term", "df", "idf", "index", "coefficient")
     return TfidfModel(settings, fitted, float(solution[size]))
