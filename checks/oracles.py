@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from checks.queries import CUSTOM_RULES, CUSTOM_WEIGHTS, METRICS
-from checks.views import NOISY_SQL, SCORED_SQL, SEEDED_SQL
+from checks.views import MODEL_BIAS, NOISY_SQL, SCORED_SQL, SEEDED_SQL
 from screenwright.constants import (
     BANDS,
     CATEGORY_NAMES,
@@ -569,6 +569,10 @@ def metric_sql(rows: str, by: str = "") -> str:
 
 
 _ROUNDED = ", ".join([*METRICS[:5], *(f"round({m}, 9) AS {m}" for m in METRICS[5:])])
+_SUMMARY = ", ".join(
+    [f"round({m}, 4) AS {m}" for m in ("accuracy", "precision", "recall", "f1", "false_positive_rate", "false_negative_rate", "balanced_accuracy")]
+    + ["support"]
+)
 _HALF = f"SELECT doc_id, label AS y, CAST(probability >= 0.5 AS INT) AS p FROM ({SCORED_SQL})"
 _SWEPT = f"""SELECT threshold, label AS y, CAST(probability >= threshold AS INT) AS p
     FROM ({SCORED_SQL}), (SELECT unnest([{", ".join(map(dbl, THRESHOLDS))}]) AS threshold)"""
@@ -585,3 +589,72 @@ ORACLES["metrics_summary"] = f"""WITH {metric_sql(_HALF)}
 SELECT round(accuracy, 4) AS accuracy, round(precision, 4) AS precision, round(recall, 4) AS recall, round(f1, 4) AS f1,
        round(false_positive_rate, 4) AS false_positive_rate, round(false_negative_rate, 4) AS false_negative_rate,
        round(balanced_accuracy, 4) AS balanced_accuracy, support FROM metrics"""
+
+
+# --- a model made by a formula -----------------------------------------------
+
+_MODEL = f"""{_TERMS},
+    model AS (
+        SELECT term, idf, (CAST(('0x' || substr(md5(term), 1, 6)) AS INT) / {dbl(16777216.0)} - {dbl(0.5)}) * 8 AS coefficient FROM vocab),
+    sums AS (
+        SELECT doc_id, sum((1 + ln(CAST(tf AS DOUBLE))) * idf * coefficient) AS score, sum(power((1 + ln(CAST(tf AS DOUBLE))) * idf, 2)) AS square
+        FROM counts JOIN model USING (term) GROUP BY doc_id),
+    scored AS (
+        SELECT doc_id, lang, 1 / (1 + exp(-(coalesce(score / sqrt(square), 0) + {dbl(MODEL_BIAS)}))) AS probability
+        FROM documents LEFT JOIN sums USING (doc_id)),
+    split_rows AS (
+        SELECT doc_id, CAST(toxic AS INT) AS label, probability,
+               CASE WHEN doc_id % 10 < 6 THEN 'train' WHEN doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split
+        FROM scored JOIN labels USING (doc_id))"""
+
+_STEPS = f"(SELECT unnest([{', '.join(map(dbl, THRESHOLDS))}]) AS threshold)"
+_CHOSEN = f"""{_MODEL},
+    swept AS (
+        WITH {metric_sql(f"SELECT threshold, label AS y, CAST(probability >= threshold AS INT) AS p FROM split_rows, {_STEPS} WHERE split = 'val'", "threshold")}
+        SELECT * FROM metrics),
+    best AS (SELECT threshold AS best FROM swept ORDER BY f1 DESC, recall DESC, false_positive_rate, threshold LIMIT 1),
+    judged AS (
+        WITH kinds AS (
+            SELECT 'default' AS kind, split, {dbl(0.5)} AS threshold, label, probability FROM split_rows
+            UNION ALL SELECT 'best', split, best, label, probability FROM split_rows, best WHERE split <> 'train'),
+        {metric_sql("SELECT kind, split, threshold, label AS y, CAST(probability >= threshold AS INT) AS p FROM kinds", "kind, split, threshold")}
+        SELECT kind, split, threshold, {_SUMMARY} FROM metrics)"""
+
+ORACLES["train_predict"] = f"""WITH {_CHOSEN}
+SELECT CAST(doc_id AS VARCHAR) AS id, label, round(probability, 6) AS suspicious_probability, CAST(probability >= best AS INT) AS prediction, best AS threshold
+FROM split_rows, best WHERE split = 'test'"""
+
+ORACLES["structured_predictions"] = f"""WITH {_MODEL}
+SELECT doc_id, CAST(probability >= 0.5 AS INT) AS prediction, CASE WHEN probability >= 0.5 THEN 'suspicious' ELSE 'benign' END AS label_name,
+       round(probability, 6) AS suspicious_probability, round(1 - probability, 6) AS benign_probability,
+       'tfidf_logistic_regression' AS model_name, CAST(NULL AS VARCHAR) AS model_version FROM scored"""
+
+ORACLES["predict_repeated_keys"] = f"WITH {_MODEL} SELECT lang, round(probability, 6) AS probability FROM scored"
+
+ORACLES["model_evaluation"] = f"""WITH {_MODEL}, {metric_sql("SELECT label AS y, CAST(probability >= 0.5 AS INT) AS p FROM split_rows")}
+SELECT {_ROUNDED} FROM metrics"""
+
+ORACLES["training_metrics"] = f"WITH {_CHOSEN} SELECT * FROM judged"
+
+_SECTIONS = (("train", "train", "default"), ("val", "validation", "default"), ("test", "test", "best"))
+_REPORTED = ", ".join(
+    f"max({m}) FILTER (split = '{split}' AND kind = '{kind}') AS {name}_{kind}_{m}"
+    for split, name, kind in _SECTIONS
+    for m in ("accuracy", "precision", "recall", "f1", "false_positive_rate", "false_negative_rate", "balanced_accuracy", "support")
+)
+ORACLES["training_report"] = f"""WITH {_CHOSEN}
+SELECT 'tfidf_logistic_regression' AS model_name, {dbl(0.5)} AS default_threshold, (SELECT best FROM best) AS best_validation_threshold,
+       {_REPORTED}, {len(THRESHOLDS)} AS thresholds FROM judged"""
+
+
+def extreme_terms(n: int) -> str:
+    return f"""ranked AS (
+        SELECT term, coefficient, row_number() OVER (ORDER BY coefficient DESC, term) AS high, row_number() OVER (ORDER BY coefficient, term) AS low FROM model),
+    sides AS (
+        SELECT 'suspicious' AS side, CAST(high - 1 AS INT) AS pos, term, coefficient FROM ranked WHERE high <= {n}
+        UNION ALL SELECT 'benign', CAST(low - 1 AS INT), term, coefficient FROM ranked WHERE low <= {n})"""
+
+
+ORACLES["top_features"] = f"WITH {_MODEL}, {extreme_terms(20)} SELECT side, term, round(coefficient, 9) AS coefficient FROM sides"
+ORACLES["top_features_report"] = f"WITH {_MODEL}, {extreme_terms(30)} SELECT side, pos, term, round(coefficient, 9) AS weight FROM sides"
+ORACLES["fit_optimality"] = "SELECT count(DISTINCT toxic) = 2 AS optimal, CAST(1 AS BIGINT) AS biases FROM labels"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from screenwright.operators.normalize import normalize as normalize_df
 from screenwright.operators.policy import decide, with_safe_context
 from screenwright.plans.prepare import prepare
 from screenwright.plans.screen import ScreenSettings, screen_documents
-from screenwright.plans.train import feature_report, train
+from screenwright.plans.train import Training, assess, feature_report
 from screenwright.sources.writers import prediction_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -470,22 +469,36 @@ def tfidf_weights(spark: Spark, sf: str) -> DataFrame:
     return weights.select("doc_id", F.col("vocabulary_terms").alias("term"), F.round("values", 6).alias("weight"))
 
 
-@cache
-def _training(spark: Spark, sf: str):
-    rows = _prepared(spark, sf).rows
-    return train(rows.filter("split <> 'test'").unionByName(rows.filter("split = 'test'")))
+def _training(spark: Spark, sf: str) -> Training:
+    """Everything training does after the solver, with a model from a formula."""
+    return assess(views.formula_model(spark, sf), views.split_documents(spark, sf))
 
 
 @query
 def train_predict(spark: Spark, sf: str) -> DataFrame:
     training = _training(spark, sf)
-    return prediction_rows(training.scored.filter("split = 'test'"), training.best)
+    rows = prediction_rows(training.scored.filter("split = 'test'"), training.best)
+    return rows.withColumn("suspicious_probability", F.round("suspicious_probability", 6))
 
 
 @query
 def structured_predictions(spark: Spark, sf: str) -> DataFrame:
     df = views.table(spark, sf, "documents", "doc_id", "text")
-    return _training(spark, sf).model.predict(df, "doc_id")
+    predicted = views.formula_model(spark, sf).predict(df, "doc_id")
+    return predicted.withColumns({n: F.round(n, 6) for n in ("suspicious_probability", "benign_probability")})
+
+
+@query
+def predict_repeated_keys(spark: Spark, sf: str) -> DataFrame:
+    """A key that many rows share: each keeps its own probability."""
+    df = views.table(spark, sf, "documents", "doc_id", "text", "lang")
+    scored = views.formula_model(spark, sf).predict_probabilities(df, "lang")
+    return scored.select("lang", F.round("probability", 6).alias("probability"))
+
+
+@query
+def model_evaluation(spark: Spark, sf: str) -> DataFrame:
+    return views.formula_model(spark, sf).evaluate(views.split_documents(spark, sf), "id").select(*_rounded())
 
 
 @query
@@ -495,20 +508,35 @@ def training_metrics(spark: Spark, sf: str) -> DataFrame:
 
 @query
 def training_report(spark: Spark, sf: str) -> DataFrame:
+    sections = {"train": "default", "validation": "default", "test": "best"}
     return _training(spark, sf).payload(0.5).select(
-        "model_name", "default_threshold", "best_validation_threshold", F.to_json("default_threshold_metrics").alias("at_default"),
-        F.size("validation_threshold_sweep").alias("thresholds"), F.size("notes").alias("notes"),
+        "model_name", "default_threshold", "best_validation_threshold",
+        *(
+            F.col(f"{kind}_threshold_metrics.{split}.{name}").alias(f"{split}_{kind}_{name}")
+            for split, kind in sections.items() for name in (*evaluation.SUMMARY, "support")
+        ),
+        F.size("validation_threshold_sweep").alias("thresholds"),
     )
 
 
 @query
 def top_features(spark: Spark, sf: str) -> DataFrame:
-    return _training(spark, sf).model.top_features(20)
+    return views.formula_model(spark, sf).top_features(20).withColumn("coefficient", r9("coefficient"))
 
 
 @query
 def top_features_report(spark: Spark, sf: str) -> DataFrame:
-    return feature_report(_training(spark, sf).model, 30).select(F.to_json(F.struct("suspicious", "benign")).alias("report"))
+    report = feature_report(views.formula_model(spark, sf), 30)
+    sides = [report.select(F.lit(side).alias("side"), F.posexplode(side)) for side in ("suspicious", "benign")]
+    return sides[0].unionByName(sides[1]).select("side", "pos", "col.term", r9("col.weight").alias("weight"))
+
+
+@query
+def fit_optimality(spark: Spark, sf: str) -> DataFrame:
+    """Whether the solver's result is the optimum over all labelled documents: no gradient entry is left."""
+    rows = _labelled(spark, sf)
+    gradient = classifier.fit(rows, "doc_id").gradient(rows)
+    return gradient.agg((F.max(F.abs("gradient")) < 0.01).alias("optimal"), F.count_if(F.col("term").isNull()).alias("biases"))
 
 
 # --- evaluation --------------------------------------------------------------

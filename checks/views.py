@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenwright.operators import tfidf
+from screenwright.operators.classifier import TfidfModel
 from screenwright.sources.readers import read_parquet, spread
 
 SEEDS = (
@@ -110,6 +112,24 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCORED_SQL = "SELECT doc_id, toxic AS label, CAST((doc_id * 7919) % 1000 AS DOUBLE) / 1000 AS probability FROM labels"
 
 
+MODEL_BIAS = -0.25
+
+
+def formula_model(spark: SparkSession, sf_dir: str) -> TfidfModel:
+    """A model over the vocabulary of all documents whose coefficients are digits of each term's digest."""
+    documents = table(spark, sf_dir, "documents", "doc_id", "text")
+    vocab = tfidf.vocabulary(tfidf.document_frequency(tfidf.terms_of(documents)), documents.count())
+    share = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
+    return TfidfModel(tfidf.TfidfSettings(), vocab.withColumn("coefficient", (share - 0.5) * 8.0), MODEL_BIAS)
+
+
+def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents, dealt into splits by the last digit of their id."""
+    digit = F.col("doc_id") % 10
+    split = F.when(digit < 6, "train").when(digit < 8, "val").otherwise("test")
+    return labelled_documents(spark, sf_dir).withColumn("split", split).withColumnRenamed("doc_id", "id")
+
+
 def mails(spark: SparkSession, sf_dir: str, multipart: bool = False) -> DataFrame:
     """E-mail messages around the texts of conversations."""
     df = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")

@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from screenwright.constants import DEFAULT_RULES, Rule
-from screenwright.functions.core import SPACE, WORD, let, note, noted, strip
+from screenwright.functions.core import SPACE, WORD, let, note, noted, paged, strip
 
 SPAN_TYPE = (
     "struct<start:int,end:int,text:string,category:string,score:double,reason:string,detector_name:string>"
@@ -60,8 +60,13 @@ def spark_pattern(pattern: str) -> str:
         edged = pattern.replace(r"\b(", f"(?<!{WORD})(").replace(r")\b", f")(?!{WORD})")
     else:
         edged = pattern.replace(r"\b", f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))")
+    return FLAGS + _classes(edged)
+
+
+def _classes(pattern: str) -> str:
+    """Character classes as Python understands them."""
     classes = {r"\s": SPACE, r"\S": "[^" + SPACE[1:], r"\w": WORD, r"\W": r"[^\p{L}\p{N}_]", r"\d": r"\p{Nd}"}
-    return FLAGS + reduce(lambda text, pair: text.replace(*pair), classes.items(), edged)
+    return reduce(lambda text, pair: text.replace(*pair), classes.items(), pattern)
 
 
 def _word_lists(rule: Rule) -> list[list[str]] | None:
@@ -100,7 +105,7 @@ def _rule_table(rules: Sequence[Rule], detector: str) -> Column:
             "score": min(1.0, max(0.0, float(rule.score))),
             "reason": rule.reason,
             "detector_name": f"{detector}:{rule.name}",
-            "pattern": spark_pattern(rule.pattern),
+            "pattern": spark_pattern(rule.linear or rule.pattern),
             "lists": [[term.split() for term in terms] for terms in _word_lists(rule) or ()],
             "contains": rule.contains,
         }
@@ -158,6 +163,57 @@ def _matches(rule: Column, text: Column) -> Column:
     return let(found, lambda m: F.when(F.size(m) > 0, located(m)).otherwise(none))
 
 
+def _disarmed(text: Column, openings: Sequence[tuple[str, str, str]]) -> Column:
+    """The text, with every opening broken that nothing needed follows up to a closing.
+
+    An opening is behind the last needed word that a closing follows, or it begins a
+    match. Broken ones differ in their second character only. Each step is one pass.
+    """
+
+    def broken(opening: str, needed: str, closing: str):
+        pattern = f"(?iu){re.escape(opening)}"
+        filler = f"{opening[0]}_{opening[2:]}"
+
+        def step(whole: Column) -> Column:
+            closed = F.length(whole) - F.length(F.substring_index(whole, closing, -1))
+            head = F.regexp_extract(F.substr(whole, F.lit(1), closed), rf"{FLAGS}\A.*{_classes(needed)}", 0)
+            return let(
+                head,
+                lambda h: F.concat(h, F.regexp_replace(F.substr(whole, F.length(h) + 1), pattern, filler)),
+            )
+
+        return step
+
+    return reduce(lambda value, opening: let(value, broken(*opening)), openings, text)
+
+
+def _linear_matches(rule: Rule, row: Column, text: Column) -> Column:
+    """Matches of a rule by its linear pattern.
+
+    Behind disarmed openings the pattern never runs to the end in vain. Where no
+    alternative matches it takes the stretch that cannot begin a match, and such
+    hits, which no closing ends, are left out.
+    """
+    begins = "(?iu)" + "|".join(re.escape(opening) for opening, _, _ in rule.openings)
+
+    def found(armed: Column) -> Column:
+        def original(hits: Column) -> Column:
+            ended = F.filter(
+                hits, lambda hit: reduce(lambda a, b: a | b, (F.endswith(hit["text"], F.lit(c)) for _, _, c in rule.openings))
+            )
+            return paged(
+                text,
+                lambda cut: F.transform(ended, lambda hit: hit.withField("text", strip(cut(hit["start"], hit["end"])))),
+            )
+
+        none = F.array().cast(f"array<{_RAW}>")
+        return F.when(armed.rlike(begins), let(_matches(row, armed), original)).otherwise(none)
+
+    literal = F.contains(text, F.lit(rule.contains)) if rule.contains else F.lit(True)
+    none = F.array().cast(f"array<{_RAW}>")
+    return F.when(literal & text.rlike(begins), let(_disarmed(text, rule.openings), found)).otherwise(none)
+
+
 def first_of_each_key(ordered: Column, same_key) -> Column:
     """Drop array elements with the key of the element before them."""
     return let(
@@ -186,10 +242,14 @@ def find_spans(text: Column, rules: Sequence[Rule] | None = None, detector: str
             *(rule[name].alias(name) for name in ("score", "reason", "detector_name")),
         )
 
+    linear = {number: rule for number, rule in enumerate(pack, start=1) if rule.linear}
+
     def scanned(found: Column) -> Column:
-        candidates = F.filter(table, lambda rule: _may_match(rule, text, found))
+        candidates = F.filter(table, lambda rule: ~rule["number"].isin(*linear) & _may_match(rule, text, found))
+        plain = F.flatten(F.transform(candidates, lambda rule: _matches(rule, text)))
+        special = (_linear_matches(rule, F.element_at(table, number), text) for number, rule in linear.items())
         return let(
-            F.flatten(F.transform(candidates, lambda rule: _matches(rule, text))),
+            F.concat(plain, *special),
             lambda raw: F.when(F.size(raw) == 0, F.array().cast(NO_SPANS)).otherwise(
                 F.transform(first_of_each_key(F.sort_array(raw), _same_span), described)
             ),

@@ -103,6 +103,34 @@ class TfidfModel:
         low = picked.orderBy(F.asc("coefficient"), F.asc("term")).limit(n).withColumn("side", F.lit("benign"))
         return top.unionByName(low).select("side", "term", "coefficient")
 
+    def gradient(self, df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+        """Per term, and for the bias (null term), the gradient of the training loss at this model.
+
+        All entries are near zero where the solver has found the optimum for ``df``.
+        """
+        rows = terms_of(df.select(binary_label(F.col(label)).alias("label"), text), text, self.settings)
+        weights = class_weights({r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}, self.settings)
+        known = known_terms(F.col("terms"), self.terms, ("coefficient",), self.settings)
+
+        def pulls(entries: Column) -> Column:
+            norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda total, e: total + e["weight"] * e["weight"]))
+            score = F.aggregate(entries, F.lit(0.0), lambda total, e: total + e["weight"] * e["coefficient"])
+            margin = F.coalesce(F.try_divide(score, norm), F.lit(0.0)) + F.lit(self.bias)
+            weight = F.when(F.col("label") == 1, weights[1]).otherwise(weights[0])
+            residual = weight * (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("label"))
+            bias = F.struct(F.lit(None).cast("string").alias("term"), residual.alias("pull"))
+            scale = F.struct(residual.alias("r"), norm.alias("n"))
+            of_terms = let(
+                scale,
+                lambda s: F.transform(entries, lambda e: F.struct(e["term"].alias("term"), (s["r"] * e["weight"] / s["n"]).alias("pull"))),
+            )
+            return F.concat(of_terms, F.array(bias))
+
+        pulled = rows.select("label", F.inline(let(known, pulls))).groupBy("term").agg(F.sum("pull").alias("pull"))
+        own = self.terms.select("term", "coefficient")
+        with_own = pulled.join(F.broadcast(own.where("term is not null")), "term", "left")
+        return with_own.select("term", (F.col("pull") + F.coalesce("coefficient", F.lit(self.bias))).alias("gradient"))
+
     def save(self, path: str) -> str:
         """Write the terms as parquet and everything else as one JSON row."""
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
@@ -121,6 +149,12 @@ class TfidfModel:
         return cls(TfidfSettings(**described["settings"]), read_terms(spark, f"{path}/terms"), float(described["bias"]))
 
 
+def class_weights(counts: dict[int, int], settings: TfidfSettings) -> dict[int, float]:
+    """Sample weight per class: inverse to its share, or 1 for all."""
+    balanced = settings.class_weight == "balanced"
+    return {c: sum(counts.values()) / (2.0 * n) if balanced else 1.0 for c, n in counts.items()}
+
+
 def fit(
     df: DataFrame, key: str, text: str = "text", label: str = "label", settings: TfidfSettings = TfidfSettings()
 ) -> TfidfModel:
@@ -151,8 +185,7 @@ def fit(
     if size == 0:
         raise ValueError("No terms remain after pruning. Try a lower min_df or a higher max_df.")
 
-    balanced = settings.class_weight == "balanced"
-    weights = {c: total / (2.0 * n) if balanced else 1.0 for c, n in counts.items()}
+    weights = class_weights(counts, settings)
     # Written once, so that no solver step ever goes back to the join.
     weighted = cut_lineage(tfidf_rows(terms, vocab, key, ("label",), settings).drop("vocabulary_terms"))
     mirror = F.when(F.col("label") == 1, 1.0).otherwise(-1.0)

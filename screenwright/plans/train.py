@@ -50,7 +50,12 @@ def train(
     Every text is scored once; all metrics come from the kept probabilities.
     """
     check_threshold(threshold)
-    model = fit(rows.filter("split = 'train'"), key, settings=settings)
+    return assess(fit(rows.filter("split = 'train'"), key, settings=settings), rows, threshold, key)
+
+
+def assess(model: TfidfModel, rows: DataFrame, threshold: float = 0.5, key: str = "id") -> Training:
+    """Score all splits by a model, choose the threshold on ``val``, report on all."""
+    check_threshold(threshold)
     scored = cut_lineage(model.predict_probabilities(rows, key, carry=("split", "label")))
     sweep = threshold_sweep(scored.filter("split = 'val'"))
     chosen = best_threshold(sweep).first()

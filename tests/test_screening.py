@@ -1,6 +1,7 @@
 import email
 import random
 import re
+import time
 import unicodedata
 from email import policy as mail_policy
 
@@ -302,3 +303,31 @@ def test_rollup_counts_overlaps_once(spark):
                                   "doc_id string, start int, end int, category string, score double, detector_name string, reason string, text string")
     row = scan.roll_up(spans, "doc_id").first()
     assert row.flagged_span_count == 2 and row.risk_score == pytest.approx(0.73)
+
+
+def _markup_texts() -> list[str]:
+    parts = ["<!--", "-->", "<", ">", "style", "STYLE", " =", "display", " : ", "none", "system", "prompt", "x", "\n", "<p ", "<!-", "_"]
+    rng = random.Random(5)
+    return ["".join(rng.choice(parts) for _ in range(rng.randrange(2, 40))) for _ in range(3000)]
+
+
+def test_linear_rule_finds_what_its_pattern_finds(spark):
+    """Random markup, scanned by the linear form and by the pattern as it stands."""
+    rule = DEFAULT_RULES[-1]
+    assert rule.linear
+    plain = re.compile(rule.pattern, re.IGNORECASE | re.MULTILINE | re.DOTALL)
+    texts = _markup_texts()
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(8)
+    rows = df.select("id", F.transform(rules.find_spans(F.col("text"), [rule]), lambda s: F.struct(s["start"], s["end"], s["text"])).alias("s"))
+    got = {r.id: [tuple(s) for s in r.s] for r in rows.collect()}
+    want = {i: [(m.start(), m.end(), m.group().strip()) for m in plain.finditer(t)] for i, t in enumerate(texts)}
+    assert sum(map(len, want.values())) > 100
+    assert got == want
+
+
+@pytest.mark.parametrize("piece", ["<!-- x ", "<a style= ", "<", "<!-- system ", "<!-- x <a style=display:none "])
+def test_hostile_markup_is_scanned_in_linear_time(spark, piece):
+    df = spark.createDataFrame([(piece * (1_000_000 // len(piece)),)], "text string")
+    begin = time.monotonic()
+    assert df.select(F.size(rules.find_spans(F.col("text"), [DEFAULT_RULES[-1]]))).first()[0] == 0
+    assert time.monotonic() - begin < 20
