@@ -657,4 +657,4 @@ def extreme_terms(n: int) -> str:
 
 ORACLES["top_features"] = f"WITH {_MODEL}, {extreme_terms(20)} SELECT side, term, round(coefficient, 9) AS coefficient FROM sides"
 ORACLES["top_features_report"] = f"WITH {_MODEL}, {extreme_terms(30)} SELECT side, pos, term, round(coefficient, 9) AS weight FROM sides"
-ORACLES["fit_optimality"] = "SELECT count(DISTINCT toxic) = 2 AS optimal, CAST(1 AS BIGINT) AS biases FROM labels"
+ORACLES["fit_optimality"] = "SELECT count(DISTINCT toxic) = 2 AS near_optimum, CAST(1 AS BIGINT) AS biases FROM labels"

@@ -15,7 +15,9 @@ from screenwright.functions.core import let
 from screenwright.functions.rules import deduplicate_spans, find_spans, offset_spans
 from screenwright.functions.scoring import Policy, risk_score
 from screenwright.operators.chunk import chunk_documents
+from screenwright.operators.classifier import TfidfModel
 from screenwright.operators.clean import create_documents
+from screenwright.operators.expect import document_checks, split_valid
 from screenwright.operators.policy import decide, with_safe_context
 from screenwright.operators.scan import scan_chunks, scan_result
 
@@ -76,9 +78,33 @@ def screen_raw(
     source_type: str | None = "source_type",
     source_uri: str | None = "source_uri",
     metadata: str | None = None,
+    model: TfidfModel | None = None,
 ) -> DataFrame:
-    """Clean raw texts by source type, then screen them."""
-    return screen_documents(create_documents(raw, text, doc_id, source_type, source_uri, metadata), settings)
+    """Clean raw texts by source type, then screen them.
+
+    With a model, each row also has ``model_prediction``, whose probability is blended
+    into the risk. Scoring happens inside the row, as everything else.
+    """
+    documents = create_documents(raw, text, doc_id, source_type, source_uri, metadata)
+    if model is None:
+        return screen_documents(documents, settings)
+    # behind a generator, so that the Arrow stages of cleaning and scoring stay apart
+    documents = documents.select(F.inline(F.array(F.struct(*documents.columns))))
+    carry = tuple(name for name in documents.columns if name != "doc_id")
+    predicted = model.predict(documents.withColumn("__scored", F.col("text")), "doc_id", "__scored", carry)
+    fields = [name for name in predicted.columns if name not in documents.columns]
+    with_model = predicted.select(*documents.columns, F.struct(*fields).alias("model_prediction"))
+    return screen_documents(with_model, settings, "model_prediction.suspicious_probability")
+
+
+def split_raw(
+    raw: DataFrame, text: str = "text", doc_id: str = "doc_id", source_type: str | None = "source_type"
+) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be screened, and rejected rows with the reason in ``violation``.
+
+    Null texts, empty ids and source types that are not known are rejected.
+    """
+    return split_valid(raw, document_checks(doc_id, text, source_type))
 
 
 def screen_chunks(documents: DataFrame, settings: ScreenSettings = ScreenSettings()) -> DataFrame:
@@ -94,7 +120,7 @@ def result_columns(screened: DataFrame) -> DataFrame:
     """Flat result rows of a document screening."""
     return screened.select(
         F.col("doc_id").alias("input_id"),
-        *(["source_type"] if "source_type" in screened.columns else []),
+        *(name for name in ("source_type", "metadata", "model_prediction") if name in screened.columns),
         "policy.risk_score",
         "policy.risk_level",
         "policy.decision",

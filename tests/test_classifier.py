@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from screenwright.operators import evaluation, tfidf
 from screenwright.operators.classifier import TfidfModel, fit
+from screenwright.plans.screen import result_columns, screen_raw, split_raw
 from screenwright.plans.train import feature_report, train, write_training
 from screenwright.sources.readers import read_parquet
 
@@ -90,6 +91,8 @@ def test_fit_finds_the_minimum(spark, rows, tmp_path):
     scored = {r.id: r.probability for r in model.predict_probabilities(rows, "id").collect()}
     expected = 1 / (1 + np.exp(-(x @ best[:-1] + best[-1])))
     assert np.allclose([scored[r[0]] for r in data], expected, atol=5e-3)
+    gradient = [r.gradient for r in model.gradient(rows).collect()]
+    assert len(gradient) == len(terms) + 1 and max(map(abs, gradient)) < 0.05
 
     model.save(str(tmp_path / "m"))
     again = TfidfModel.load(spark, str(tmp_path / "m"))
@@ -156,3 +159,28 @@ def test_metrics_and_sweep(spark):
         evaluation.confusion_counts(df.withColumn("prediction", F.lit(2))).collect()
     with pytest.raises(ValueError):
         evaluation.predicted_label(F.col("probability"), 1.5)
+
+
+def hand_model(spark):
+    terms = spark.createDataFrame([("alpha", 1.0, 4.0), ("beta", 2.0, -4.0)], "term string, idf double, coefficient double")
+    return TfidfModel(tfidf.TfidfSettings(), terms, 0.5)
+
+
+def test_equal_and_null_keys_stay_apart(spark):
+    data = [("k", "alpha"), ("k", "beta beta"), (None, "other"), (None, None), (None, "alpha beta")]
+    scored = hand_model(spark).predict_probabilities(spark.createDataFrame(data, "id string, text string"), "id")
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = sorted(r.probability for r in scored.collect())
+    margins = [4.5, -3.5, 0.5, 0.5, (4 - 8) / 5**0.5 + 0.5]
+    assert got == pytest.approx(sorted(1 / (1 + np.exp(-np.array(margins)))), abs=1e-12)
+
+
+def test_screening_with_a_model_and_rejected_rows(spark):
+    data = [("a", "alpha text", "user_text"), ("b", "beta text", "user_text"), ("c", None, "email"), ("d", "x", "WebPage"), (" ", "x", "pdf")]
+    raw = spark.createDataFrame(data, "doc_id string, text string, source_type string").withColumn("source_uri", F.lit(None).cast("string"))
+    valid, rejected = split_raw(raw)
+    assert {r.violation for r in rejected.collect()} == {"document id is empty", "text is null", "source type is unknown"}
+    rows = {r.input_id: r for r in result_columns(screen_raw(valid, model=hand_model(spark))).collect()}
+    assert set(rows) == {"a", "b"}
+    assert rows["a"].model_prediction.label_name == "suspicious" and rows["b"].model_prediction.label_name == "benign"
+    assert rows["a"].risk_score > rows["b"].risk_score
