@@ -15,9 +15,8 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenwright.llm.common import checkpointed, free_names, slices, texts_of
@@ -126,9 +125,11 @@ def _sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             for k, i in enumerate(some.tolist()):
                 keys[i] = xxhash.xxh3_128_digest(grams[ends[i] - counts[i] : ends[i]].tobytes())
                 lists[i] = hashes[k]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "digest", "key", "bands"]
+            )
 
-    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, digest binary, key binary, bands array<long>")
 
 
 def _find(parent: list[int], i: int) -> int:
@@ -164,13 +165,13 @@ def compare_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def _compare_groups(threshold: float):
-    """Links inside each ``(component, i, j)``: a row per class with its number of links and the smallest id it is joined with."""
+    """Links inside each ``(component, i, j)``: a row per class with its number of links and the smallest class it is joined with."""
 
     def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
         rows = (row for batch in batches for row in batch.to_pylist())
         for _, group in groupby(rows, key=lambda r: (r["component"], r["i"], r["j"])):
-            # copies with one id arrive several times
-            yield list({(r["rep"], r["key"]): r for r in group}.values())
+            # equal rows arrive several times
+            yield list({r["class"]: r for r in group}.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int, int]] = []
@@ -180,7 +181,7 @@ def _compare_groups(threshold: float):
                 if group[0]["i"] != group[0]["j"]:  # pairs inside a block belong to the block's own task
                     block = np.array([r["block"] for r in group])
                     linked &= block[:, None] != block[None, :]
-                ids = [r["rep"] for r in group]
+                ids = [r["class"] for r in group]
                 copies = np.array([r["copies"] for r in group])
                 parent = list(range(len(group)))
                 for i in np.flatnonzero(linked.any(axis=1)).tolist():
@@ -200,7 +201,11 @@ def _compare_groups(threshold: float):
 
 
 def _link_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["rep", "links", "root"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["class", "links", "root"])
+
+
+def _digest(text: str = "text") -> Column:
+    return F.unhex(F.md5(text))
 
 
 def join_similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
@@ -208,28 +213,35 @@ def join_similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
 
     ``n_links`` counts the other rows whose n-gram set is equal or similar;
     ``component_id`` is the smallest doc_id reachable by links and ``kept`` tells
-    whether it is the row's own. Null and empty texts have no n-gram and link with
-    nothing, as do rows with a null id. Repeated rows link with each other; different
-    texts under one doc_id are one document whose links are added up. Texts are read whole; an empty table gives an empty one; other columns are not read. N-grams
-    are compared by 64-bit hashes.
+    whether the row is the one that stands for all of these: the one with the smallest
+    id, by the digest of the text where several texts have it; rows equal in both share
+    the answer. Null and empty texts have no n-gram and link with nothing, as do rows
+    with a null id. Repeated rows link with each other; different texts under one doc_id
+    are judged each for itself. Texts are read whole; an empty table gives an empty one;
+    other columns are not read. N-grams are compared by 64-bit hashes.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    return _judged(docs, n, threshold, recall, rows, block).drop("digest")
+
+
+def _judged(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
+    """The result of ``join_similar`` with the digest of each row's text."""
+    docs = docs.select(F.col("doc_id").cast("long"), "text", _digest().alias("digest"))
     sketches = checkpointed(_sketches(docs, n, bands_for(threshold, recall, rows), rows))
     usable = sketches.where("key is not null and doc_id is not null")
-    classes = checkpointed(
-        usable.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
-    )
-    banded = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
-    buckets = checkpointed(banded.groupBy("band", "hash").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
-    near = banded.join(buckets, ["band", "hash"]).where("rep <> least").select("rep", "least")
-    candidates = connected_components(near, "rep", "least")
+    # a doc_id may have several texts, so classes have numbers of their own; their rows are found by id and digest
+    classes = usable.groupBy("key").agg(F.min(F.struct("doc_id", "digest")).alias("first"), F.count("*").alias("copies"), F.any_value("bands").alias("bands"))
+    classes = checkpointed(classes.withColumn("class", F.monotonically_increasing_id()))
+    banded = classes.select("class", F.posexplode("bands").alias("band", "hash"))
+    buckets = checkpointed(banded.groupBy("band", "hash").agg(F.min("class").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"))
+    near = banded.join(buckets, ["band", "hash"]).where("class <> least").select("class", "least")
+    candidates = connected_components(near, "class", "least")
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     sizes = checkpointed(sizes)
     members = (
         candidates.join(sizes, "component")
         .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .join(classes.select(F.col("rep").alias("id"), "key", "copies"), "id")
-        .withColumnRenamed("id", "rep")
+        .join(classes.select(F.col("class").alias("id"), "first", "copies"), "id")
+        .select("component", "blocks", "block", F.col("id").alias("class"), "copies", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest"))
     )
     members = checkpointed(members)
 
@@ -238,55 +250,57 @@ def join_similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, reca
             grams, counts = shingles(texts_of(part), n)
             ends = np.cumsum(counts)
             sets = [grams[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
-            keys = pa.array([xxhash.xxh3_128_digest(s) if s else None for s in sets], pa.binary())
-            same = pc.fill_null(pc.equal(keys, part.column(part.schema.get_field_index("key"))), False)
-            names = ["component", "blocks", "block", "rep", "copies", "key"]
+            names = ["component", "blocks", "block", "class", "copies"]
             columns = [part.column(part.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], [*names, "grams"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(sets, pa.binary())], [*names, "grams"])
 
-    schema = "component long, blocks int, block int, rep long, copies long, key binary, grams binary"
-    texts = docs.where(F.length("text") > 0).join(members, docs["doc_id"] == members["rep"])
-    sets = texts.select("component", "blocks", "block", "rep", "copies", "key", "text").mapInArrow(expand, schema)
+    schema = "component long, blocks int, block int, class long, copies long, grams binary"
+    texts = docs.join(members, (F.col("doc_id") == F.col("first_id")) & (F.col("digest") == F.col("first_digest")))
+    sets = texts.select("component", "blocks", "block", "class", "copies", "text").mapInArrow(expand, schema)
     partner = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         sets.withColumn("other", partner)
         .withColumn("i", F.least("block", "other"))
         .withColumn("j", F.greatest("block", "other"))
-        .select("component", "i", "j", "block", "rep", "key", "copies", "grams")
+        .select("component", "i", "j", "block", "class", "copies", "grams")
     )
-    dealt = dealt.repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j", "rep", "key")
-    found = checkpointed(dealt.mapInArrow(_compare_groups(threshold), "rep long, links long, root long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    components = connected_components(found, "rep", "root").withColumnRenamed("id", "rep")
+    dealt = dealt.repartition(F.col("component"), F.col("i"), F.col("j")).sortWithinPartitions("component", "i", "j", "class")
+    found = checkpointed(dealt.mapInArrow(_compare_groups(threshold), "class long, links long, root long"))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    components = checkpointed(connected_components(found, "class", "root").withColumnRenamed("id", "class"))
+    heads = checkpointed(classes.select("class", "first").join(components, "class").groupBy("component").agg(F.min("first").alias("head")))
     per_class = checkpointed(
-        classes.select("key", "rep", "copies")
-        .join(links, "rep", "left")
-        .join(components, "rep", "left")
-        .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+        classes.select("class", "key", "first", "copies")
+        .join(links, "class", "left")
+        .join(components.join(heads, "component").drop("component"), "class", "left")
+        .select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("head", "first").alias("head"))
     )
     (key,) = free_names(sketches, "class_key")
     per_class = per_class.withColumnRenamed("key", key)
     linkable = F.when(F.col("doc_id").isNotNull(), F.col("key"))
-    joined = sketches.select("doc_id", "key").join(per_class, linkable == F.col(key), "left")
-    component = F.coalesce("component", "doc_id")
+    joined = sketches.select("doc_id", "digest", "key").join(per_class, linkable == F.col(key), "left")
     return joined.select(
         "doc_id",
+        "digest",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
-        component.alias("component_id"),
-        F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce("head.doc_id", "doc_id").alias("component_id"),
+        F.coalesce(F.col("head") == F.struct("doc_id", "digest"), F.lit(True)).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
     """The rows of ``docs``, one of each group of similar documents, all columns.
 
-    The row with the smallest id stays; of several rows with this id and equal text one
-    stays. Rows that link with nothing stay, rows with null ids too.
+    The row with the smallest id stays, with the smallest digest where this id has
+    several similar texts; of several rows with this id and equal text one stays. A row
+    goes only for itself: other texts under its id have their own group. Rows that link
+    with nothing stay, rows with null ids too.
     """
-    dropped = join_similar(docs, **settings).where("not kept").select(F.col("doc_id").alias("dropped_")).distinct()
-    rest = docs.join(dropped, docs["doc_id"] == F.col("dropped_"), "left_anti")
+    dropped = _judged(docs, **settings).where("not kept").select(F.col("doc_id").alias("dropped_id_"), F.col("digest").alias("dropped_digest_")).distinct()
     digest, turn = free_names(docs, "digest_", "turn_")
-    # the rows are dealt by doc_id already, so numbering equal ones shuffles nothing
+    given = docs.withColumn(digest, _digest())
+    rest = given.join(dropped, (given["doc_id"] == F.col("dropped_id_")) & (given[digest] == F.col("dropped_digest_")), "left_anti")
+    # the rows are dealt by doc_id and digest already, so numbering equal ones shuffles nothing
     number = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(digest))
-    numbered = rest.withColumn(digest, F.md5("text")).withColumn(turn, number)
+    numbered = rest.withColumn(turn, number)
     return numbered.where((F.col(turn) == 1) | F.col("doc_id").isNull() | F.col(digest).isNull()).drop(digest, turn)

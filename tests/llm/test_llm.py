@@ -161,6 +161,22 @@ def test_ngram_join_against_brute_force(spark):
     assert shingles([])[0].size == 0
 
 
+def test_ngram_join_with_several_texts_under_one_id(spark):
+    rng = random.Random(16)
+    a, b, c = (prose(rng, 80) for _ in range(3))
+    near_a, near_c = f"{a} changed", f"{c} changed"
+    rows = [(3, a), (7, a), (7, b), (8, near_a), (8, c), (9, c), (9, near_c), (11, b.upper()), (12, c), (12, near_c), (13, "x y"), (13, "X  y"), (13, None), (13, "")]
+    frame = docs(spark, [t for _, t in rows], [i for i, _ in rows])
+    kept = Counter((r["doc_id"], r["text"]) for r in keep_one(frame, block=2).collect())
+    assert kept[(3, a)] == kept[(7, b)] == kept[(8, c)] == kept[(13, None)] == kept[(13, "")] == 1
+    assert kept[(13, "x y")] + kept[(13, "X  y")] == 1 and kept.total() == 6
+    found = Counter(map(tuple, join_similar(frame, block=2).collect()))
+    want = [(3, 2, 3, True), (7, 2, 3, False), (7, 1, 7, True), (8, 2, 3, False), (8, 4, 8, True), *[(9, 4, 8, False)] * 2, (11, 1, 7, False), *[(12, 4, 8, False)] * 2]
+    assert found == Counter([*want, (13, 1, 13, True), (13, 1, 13, False), *[(13, 0, 13, True)] * 2])
+    many = docs(spark, [prose(rng, 40) for _ in range(300)], [5] * 300)
+    assert keep_one(many).count() == 300
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer, words = token_count.load_tokenizer(path)
