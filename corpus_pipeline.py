@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 
 from screenwright.llm.common import table
 from screenwright.llm.decontaminate import decontaminate
-from screenwright.llm.language import UNKNOWN, identify_language, learn_samples
+from screenwright.llm.language import identify_language, learn_samples
 from screenwright.llm.line_dedup import dedup_lines
 from screenwright.llm.ngram_join import keep_one
 from screenwright.llm.packing import pack
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language is recognised; texts without a letter go."""
-    return identify_language(docs, learn_samples(docs)).where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+    """Documents with text that a language can be told of: only null texts and texts without a letter go.
+
+    Those have score 0. A null score says that nothing could be learned, which is no reason to drop a row.
+    """
+    found = identify_language(docs, learn_samples(docs))
+    return found.where(F.col("score").isNull() | (F.col("score") > 0)).drop("lang_pred", "score")
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,11 +146,14 @@ class Model:
             state[:, :alive] = np.where(missed, first[:, symbol], step)
         return count
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float | None]]:
         known = [self.symbols.encode(t) for t in texts]
-        usable = [i for i, s in enumerate(known) if self.languages and (s > 0).any()]
+        usable = [i for i, s in enumerate(known) if (s > 0).any()]
         languages, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not usable:
+        if not self.languages:
+            for i in usable:
+                scores[i] = None
+        if not self.languages or not usable:
             return languages, scores
         owner = np.concatenate([np.full(-(-len(known[i]) // ROW), i) for i in usable])
         lengths = np.concatenate([np.minimum(ROW, len(known[i]) - np.arange(0, len(known[i]), ROW)) for i in usable])
@@ -182,9 +185,10 @@ _built: dict[int, Model] = {}
 def identify_language(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """All columns of ``docs`` plus ``lang_pred`` and ``score`` (columns of these names are replaced).
 
-    Only ``text`` decides. ``und`` with score 0 stands for null texts and texts without a letter, and for all
-    texts where nothing could be learned. Ties go to the first language by name. Texts of any length are parsed
-    whole, in rows of ``ROW`` symbols. Repeated rows get equal answers; an empty table gives an empty one.
+    Only ``text`` decides. ``und`` with score 0 stands for null texts and texts without a letter, and with a null
+    score for all others where nothing could be learned; a learned language always has a score above 0, also one
+    labelled ``und``. Ties go to the first language by name. Texts of any length are parsed whole, in rows of
+    ``ROW`` symbols. Repeated rows get equal answers; an empty table gives an empty one.
     """
     columns = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
     key = hash(tuple((k, tuple(v)) for k, v in sorted(samples.items())))

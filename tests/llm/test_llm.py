@@ -218,6 +218,20 @@ def test_language(spark):
     assert language.learn_samples(frame.limit(0)) == {}
 
 
+def test_language_stage_rejects_only_texts_without_a_letter(spark):
+    stage = dict(corpus_pipeline.STAGES)["language"]
+    texts = ["one text", "ein Text", "日本", None, "", "12 !"]
+    apart = [i for i in range(99) if zlib.crc32(str(i).encode()) % 4 == 2][: len(texts)]
+    unlabelled, held_out = docs(spark, texts), docs(spark, texts, apart, ["en"] * len(texts))
+    named_und = docs(spark, texts, lang=["und"] * len(texts))
+    for frame in (unlabelled, held_out, named_und):
+        kept = stage(spark, frame, SMALL)
+        assert kept.columns == frame.columns
+        assert sorted(r["text"] for r in kept.collect()) == sorted(texts[:3])
+    scores = [r["score"] for r in language.identify_language(unlabelled, {}).orderBy("doc_id").collect()]
+    assert scores == [None] * 3 + [0.0] * 3
+
+
 def test_language_held_out(spark):
     truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
     rows = [r for r in QUERIES["op6_language"](spark, "/root/testdata/sf0.01").collect() if r["held_out"]]
