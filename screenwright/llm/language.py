@@ -12,14 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from screenwright.llm.common import learnable, slices, texts_of
 
-#: The sample: at most so many documents per language, and characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 64, 600
-#: Bytes of all automata of a model; with very many languages each gets a smaller share of its sample.
+#: The sample: at most so many documents per language, characters of each, and places all over it that they are from.
+SAMPLE_DOCS, SAMPLE_CHARS, PLACES = 64, 600, 6
+#: Bytes of all automata of a model. Where the samples need more, as those of 5 languages of full samples and alphabet do, all texts are thinned alike.
 MODEL_BYTES = 128 << 20
 #: Symbols of a text that are parsed as one row. Phrases end at the row's end.
 ROW = 256
@@ -28,17 +28,29 @@ LETTERS, SHARED = 88, 7
 UNKNOWN = "und"
 
 
+def _from_places(text: Column, chars: int) -> Column:
+    """At most so many characters of a text: whole, or a piece at a drawn place in each of ``PLACES`` equal stretches."""
+    piece = max(1, chars // PLACES)
+    stretch = F.floor(F.length(text) / PLACES)
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.lit(PLACES - 1)),
+        lambda k: F.substring(text, (k * stretch + F.pmod(F.xxhash64(F.lit(12), "doc_id", k), F.greatest(stretch - piece, F.lit(0)) + 1) + 1).cast("int"), F.lit(piece)),
+    )
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(pieces, " "))
+
+
 def learn_samples(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> dict[str, list[str]]:
     """Sample texts per language, of rows outside the held-out fold, the same on every run.
 
     One text is taken per language and hash bucket, the one with the smallest hash, by
     a plain aggregate; a language with a third of all rows is merged before the shuffle.
+    A longer text is represented by pieces from all over it.
     """
     usable = docs.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     order = F.xxhash64(F.lit(11), "doc_id", "text")
     found = (
         usable.groupBy("lang", F.pmod(F.xxhash64("doc_id"), F.lit(max_docs)).alias("bucket"))
-        .agg(F.min_by(F.substring("text", 1, max_chars), order).alias("text"))
+        .agg(F.min_by(_from_places(F.col("text"), max_chars), order).alias("text"))
         .orderBy("lang", "bucket")
         .collect()
     )
@@ -107,16 +119,23 @@ def suffix_automaton(symbols: list[int], count: int) -> np.ndarray:
     return table
 
 
+def _thinned(symbols: np.ndarray, share: float) -> np.ndarray:
+    """A share of a text's symbols, the beginning of each of ``PLACES`` equal stretches."""
+    return symbols if share >= 1 else np.concatenate([part[: int(len(part) * share)] for part in np.array_split(symbols, PLACES)])
+
+
 class Model:
     """Automata of all languages in one table; states of language k start at ``roots[k]``."""
 
     def __init__(self, samples: dict[str, list[str]], model_bytes: int = MODEL_BYTES):
         self.languages = sorted(samples)
         self.symbols = Symbols([t for texts in samples.values() for t in texts])
-        most = model_bytes // max(1, len(samples)) // (2 * 4 * self.symbols.count)
+        encoded = {language: [self.symbols.encode(t + " ") for t in texts] for language, texts in samples.items()}
+        most = model_bytes // (2 * 4 * self.symbols.count)
+        share = most / max(1, sum(len(s) for texts in encoded.values() for s in texts))
         tables, roots, at = [], [], 0
         for language in self.languages:
-            joined = self.symbols.encode(" ".join(samples[language]))[:most]
+            joined = np.concatenate([_thinned(s, share) for s in encoded[language]] or [np.zeros(0, np.uint8)])
             table = suffix_automaton(joined.tolist(), self.symbols.count)
             roots.append(at)
             tables.append(np.where(table >= 0, table + at, -1))

@@ -218,6 +218,21 @@ def test_language(spark):
     assert language.learn_samples(frame.limit(0)) == {}
 
 
+def test_language_samples_reach_over_whole_texts(spark):
+    header = "licence " * 100
+    frame = docs(spark, [header + "wort " * 300, header + "mot " * 300, "kurz"], [0, 1, 4], ["de", "fr", "de"])
+    samples = language.learn_samples(frame)
+    assert any("wort wort" in t for t in samples["de"]) and any("mot mot" in t for t in samples["fr"]) and "kurz" in samples["de"]
+    assert all(len(t) <= language.SAMPLE_CHARS + language.PLACES - 1 for texts in samples.values() for t in texts)
+    texts = [letters * 100 for letters in ("bcd ", "fgh ", "xyz ")]
+    for count in (1, 2, 20):
+        model = language.Model({f"l{i:02}": texts for i in range(count)}, model_bytes=count * 40_000)
+        assert len(model.table) * 4 <= count * 40_000 + 4 * model.symbols.count * (count + 1)
+        for word in ("bcd", "fgh", "xyz"):
+            row = model.symbols.encode(word)
+            assert set(model.phrases(row[None, :], np.array([3])).ravel()) == {1}
+
+
 def test_language_stage_rejects_only_texts_without_a_letter(spark):
     stage = dict(corpus_pipeline.STAGES)["language"]
     texts = ["one text", "ein Text", "日本", None, "", "12 !"]
