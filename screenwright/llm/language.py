@@ -3,7 +3,8 @@
 A bounded sample of labelled text per language is turned into a suffix automaton. A
 text is parsed against each of them into phrases, each the longest match with the
 sample from where the last one ended. The fewer phrases per letter, the closer the
-text is to the language; the language with the fewest wins.
+text is to the language. A phrase costs the logarithm of the places and symbols it may
+name, so that a short sample is not beaten for its shortness; the cheapest parse wins.
 """
 
 from __future__ import annotations
@@ -133,9 +134,10 @@ class Model:
         encoded = {language: [self.symbols.encode(t + " ") for t in texts] for language, texts in samples.items()}
         most = model_bytes // (2 * 4 * self.symbols.count)
         share = most / max(1, sum(len(s) for texts in encoded.values() for s in texts))
-        tables, roots, at = [], [], 0
+        tables, roots, at, named = [], [], 0, []
         for language in self.languages:
             joined = np.concatenate([_thinned(s, share) for s in encoded[language]] or [np.zeros(0, np.uint8)])
+            named.append(len(joined) + self.symbols.count)
             table = suffix_automaton(joined.tolist(), self.symbols.count)
             roots.append(at)
             tables.append(np.where(table >= 0, table + at, -1))
@@ -144,6 +146,7 @@ class Model:
         self.lost = at
         self.table = np.concatenate(tables).ravel()
         self.roots = np.array(roots, np.int64)
+        self.cost = np.log(np.array(named, np.float64))
 
     def phrases(self, rows: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Phrases ``[language, row]`` of rows of symbols, parsed side by side; rows go by falling length."""
@@ -189,10 +192,10 @@ class Model:
             part = order[start : start + 4096]
             counts[:, part] = self.phrases(rows[part], lengths[part])
         totals = np.stack([np.bincount(owner, c, minlength=len(texts)) for c in counts])
-        bits = totals * np.log(len(self.table) / self.symbols.count / len(self.languages) + 2)
+        bits = totals * self.cost[:, None]
         likelihood = np.exp(bits.min(axis=0) - bits)
         for i in usable:
-            best = int(np.argmin(totals[:, i]))
+            best = int(np.argmin(bits[:, i]))
             languages[i] = self.languages[best]
             scores[i] = float(likelihood[best, i] / likelihood[:, i].sum())
         return languages, scores

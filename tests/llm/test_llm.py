@@ -233,6 +233,15 @@ def test_language_samples_reach_over_whole_texts(spark):
             assert set(model.phrases(row[None, :], np.array([3])).ravel()) == {1}
 
 
+def test_language_with_a_small_sample(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["text"], r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in frame.collect()]
+    unseen = [t for t, lang, held in rows if lang == "es" and held]
+    short = min((t for t, lang, held in rows if lang == "es" and not held), key=len)
+    found, _ = language.Model({**language.learn_samples(frame), "es": [short]}).predict(unseen)
+    assert len(short) < 100 and found.count("es") >= 0.9 * len(unseen)
+
+
 def test_language_stage_rejects_only_texts_without_a_letter(spark):
     stage = dict(corpus_pipeline.STAGES)["language"]
     texts = ["one text", "ein Text", "日本", None, "", "12 !"]
