@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from screenwright.llm.common import learnable, slices, texts_of
 
-#: The training sample: at most so many documents of each label, and characters of each.
+#: The training sample: at most so many documents of each label, and characters of each, of lines drawn from all over it.
 SAMPLE_DOCS, SAMPLE_CHARS = 800, 3000
 STEPS, RATE, DECAY = 150, 0.1, 1e-3
 THRESHOLD = 0.7
@@ -186,11 +187,35 @@ class LineModel:
         return (np.add.reduceat(good * weight, starts) / np.add.reduceat(weight, starts)).tolist()
 
 
+def excerpt(text: str, chars: int) -> str:
+    """At most so many characters of a text: the lines of lowest hash with their neighbours, in their order.
+
+    The line that passes the bound gives a piece at a drawn place, so that long lines are not passed over.
+    """
+    if len(text) <= chars:
+        return text
+    lines = text.split("\n")
+    drawn = [xxhash.xxh3_64_intdigest(f"{i} {line}".encode("utf-8", "surrogatepass")) for i, line in enumerate(lines)]
+    chosen: dict[int, str] = {}
+    for i in sorted(range(len(lines)), key=drawn.__getitem__):
+        for j in (i, i - 1, i + 1):
+            if not 0 <= j < len(lines) or j in chosen:
+                continue
+            if len(lines[j]) >= chars:
+                at = drawn[j] % (len(lines[j]) - chars + 1)
+                chosen[j] = lines[j][at : at + chars]
+                return "\n".join(chosen[k] for k in sorted(chosen))
+            chosen[j] = lines[j]
+            chars -= len(lines[j]) + 1
+    return "\n".join(chosen[k] for k in sorted(chosen))
+
+
 def learn_quality(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int = SAMPLE_CHARS) -> LineModel:
     """A model from a bounded sample of labelled rows outside the held-out fold.
 
     One document per label and hash bucket, the one with the smallest hash, by a plain
-    aggregate; each stands for all labelled rows of its bucket. Labels other than 0 and 1, null labels and null texts are passed over.
+    aggregate; each stands for all labelled rows of its bucket. A longer document is
+    represented by lines from all over it. Labels other than 0 and 1, null labels and null texts are passed over.
     """
     known = labels.where(learnable(F.col("doc_id")) & F.col("quality").isin(0, 1)).select("doc_id", "quality")
     rows = docs.where(learnable(F.col("doc_id")) & F.col("text").isNotNull()).select("doc_id", "text")
@@ -201,10 +226,17 @@ def learn_quality(docs: DataFrame, labels: DataFrame, max_docs: int = SAMPLE_DOC
         .groupBy("quality", F.pmod(F.xxhash64("doc_id"), F.lit(max_docs)).alias("bucket"))
         .agg(F.min_by("doc_id", F.xxhash64(F.lit(5), "doc_id")).alias("doc_id"), F.count("*").alias("n"))
     )
+    given = rows.join(F.broadcast(drawn), "doc_id").select("quality", "bucket", "n", "text")  # at most 2 * max_docs ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", max_bytes=2 << 20):
+            texts = pa.array([excerpt(t, max_chars) for t in texts_of(part)], pa.string())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], texts], part.schema.names)
+
     found = (
-        rows.join(F.broadcast(drawn), "doc_id")  # at most 2 * max_docs rows
+        given.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in given.schema))
         .groupBy("quality", "bucket", "n")
-        .agg(F.min(F.substring("text", 1, max_chars)).alias("text"))
+        .agg(F.min("text").alias("text"))
         .orderBy("quality", "bucket")
         .collect()
     )

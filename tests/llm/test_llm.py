@@ -284,6 +284,23 @@ def test_quality(spark):
     assert quality.score_quality(frame, quality.LineModel.fit([], [])).first()["score"] == 0.5
 
 
+def test_quality_learns_from_whole_texts(spark):
+    start = [f"This is a good line number {i} of a text." for i in range(100)]
+    text = "\n".join([*start, *["JUNK!! || 77"] * 100])
+    part = quality.excerpt(text, 3000)
+    assert 2900 <= len(part) <= 3000 and "JUNK!! || 77" in part.split("\n") and start[0][:20] in part
+    assert quality.excerpt("short\n\ntext", 3000) == "short\n\ntext"
+    assert len(quality.excerpt("x" * 9000, 3000)) == 3000 >= len(quality.excerpt("\n" * 9000, 3000))
+    seen, fit = [], quality.LineModel.fit
+    quality.LineModel.fit = lambda texts, *rest: seen.extend(texts)
+    try:
+        labels = spark.createDataFrame([(1, 0)], "doc_id long, quality int")
+        quality.learn_quality(docs(spark, [text], [1]), labels)
+    finally:
+        quality.LineModel.fit = fit
+    assert seen == [part]
+
+
 def edit_distance(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p):
