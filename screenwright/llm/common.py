@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,31 +19,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there.
+def _shared(spark: SparkSession, prefix: str) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; a temporary one only for a local session that names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and (not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master):
+        raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
+    return named or tempfile.mkdtemp(prefix=prefix)
+
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a
-    local session that names none gets a temporary folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared checkpoint folder and go on from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and (not context.master.startswith("local") or "cluster" in context.master):
-            raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="screenwright-llm-"))
+        context.setCheckpointDir(_shared(df.sparkSession, "screenwright-llm-"))
     return df.checkpoint(eager=True)
 
 
-def held_out(doc_id: Column) -> Column:
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for tables of one run, below the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _shared(spark, "screenwright-llm-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4()}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ``scratch`` once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     """Whether a row belongs to the fold that is never learned from; false for a null id."""
-    fold = F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
-    return F.coalesce(fold == HELD_OUT, F.lit(False))
+    own = F.crc32(doc_id.cast("string").cast("binary")) % folds
+    return F.coalesce(own == fold, F.lit(False))
 
 
-def learnable(doc_id: Column) -> Column:
+def learnable(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     """Whether labels of this row may be learned; false for a null id."""
-    return doc_id.isNotNull() & ~held_out(doc_id)
+    return doc_id.isNotNull() & ~held_out(doc_id, folds, fold)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:

@@ -6,17 +6,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from screenwright.functions.core import let
 from screenwright.llm.chat_format import CLOSE, CONTROL, END, OPEN, format_chats, read_loss, read_turns
 from screenwright.llm.common import held_out, table
 from screenwright.llm.decontaminate import find_items
+from screenwright.llm.filter_audit import audit_filters
 from screenwright.llm.language import identify_language, learn_samples
 from screenwright.llm.line_dedup import dedup_lines
 from screenwright.llm.near_vectors import link_vectors
 from screenwright.llm.ngram_join import join_similar
 from screenwright.llm.packing import pack
+from screenwright.llm.periodic_runs import find_runs
 from screenwright.llm.quality import learn_quality, score_quality
 from screenwright.llm.sharding import shuffle_into_shards
 from screenwright.llm.token_count import count_tokens
+from screenwright.llm.toxicity import FOLDS, HELD_OUT, learn_toxicity, score_toxicity
 
 SHARDS = 24
 PROBE = f"{END}{OPEN} ok {CLOSE}"
@@ -107,9 +111,70 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, learn_toxicity(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"), "score", "predicted", "spans")
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents of one id in ten by its crc, from a word on replaced by repetitions of the words from there."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    step = F.floor(crc / 10)
+
+    def planted(words):
+        n = F.size(words)
+
+        def at(place):
+            period = F.floor((n - place) / (3 + step % 8)) + 1
+            return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at(words, (F.when(i < place, i).otherwise(place + (i - place) % period) + 1).cast("int")))
+
+        return F.when(n > 0, F.array_join(let(step % n, at), " ")).otherwise(F.col("text"))
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    return docs.withColumn("text", F.when(crc % 10 == 0, let(words, planted)).otherwise(F.col("text")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("runs")
+    longest = F.array_max(F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.transform(runs, lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = found.select("doc_id", runs, "collapsed", longest.alias("best")).select("*", "best.length", (-F.col("best.col2")).alias("start"), (-F.col("best.col3")).alias("period"))
+    return best.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        F.expr("1000 * length div period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return audit_filters(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_chat_format, op2_near_vectors, op3_line_dedup, op4_ngram_join, op5_token_count, op6_language, op7_decontaminate, op8_pack, op9_shards, op10_quality)
+    for f in (
+        op1_chat_format,
+        op2_near_vectors,
+        op3_line_dedup,
+        op4_ngram_join,
+        op5_token_count,
+        op6_language,
+        op7_decontaminate,
+        op8_pack,
+        op9_shards,
+        op10_quality,
+        op11_toxicity,
+        op12_periodic_runs,
+        op13_filter_audit,
+    )
 }
 
 
@@ -199,4 +264,85 @@ SELECT doc_id, coalesce(n, 0) AS n_links, least(doc_id, coalesce(low, doc_id)) A
   least(doc_id, coalesce(low, doc_id)) = doc_id AS kept
 FROM documents LEFT JOIN counted ON doc_id = a LEFT JOIN found ON doc_id = id"""
 
-ORACLES = {"op1_chat_format": _CHAT, "op2_near_vectors": _VECTORS, "op3_line_dedup": _LINES, "op4_ngram_join": _SIMILAR}
+_CRC = """xor(4294967295, list_reduce(
+    list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), CAST(range(8) AS BIGINT[])), lambda x, bit: xor(x >> 1, 3988292384 * (x & 1)))
+  ))"""
+
+_RUNS = f"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, {_CRC} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), placed AS (
+  SELECT *, h // 10 AS g, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM split
+), planted AS (
+  SELECT row, doc_id, CASE WHEN a IS NULL THEN w
+    ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM placed
+), words AS (
+  SELECT row, unnest(w) AS word, unnest(range(len(w))) AS i FROM planted
+), pairs AS (
+  SELECT x.row, x.i, y.i - x.i AS q FROM words x JOIN words y ON x.row = y.row AND x.word = y.word AND x.i < y.i
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM pairs
+), stretches AS (
+  SELECT row, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY row, q, island HAVING count(*) + q >= greatest(12, 2 * q)
+), runs AS (
+  SELECT row, start, length, min(q) AS period FROM stretches GROUP BY row, start, length
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY length DESC, start, period) AS place FROM runs
+), listed AS (
+  SELECT row, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    max(start) FILTER (place = 1) AS start, max(length) FILTER (place = 1) AS length, max(period) FILTER (place = 1) AS period
+  FROM ranked GROUP BY row
+), kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY i) AS text FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.row = w.row AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY row
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, (1000 * length) // period AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM planted p LEFT JOIN listed l ON l.row = p.row LEFT JOIN kept ON kept.row = p.row"""
+
+_AUDIT = """
+WITH letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, filter_order[step] AS letter, filter_order[1:step - 1] AS earlier FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), lowest AS (
+  SELECT coalesce(text, '') AS text, min(doc_id) AS low FROM documents GROUP BY ALL
+), measured AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(d.text, '') AS text, low,
+    regexp_extract_all(coalesce(d.text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents d JOIN lowest l ON coalesce(d.text, '') = l.text
+), labelled AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN m.doc_id > low THEN 'E' ELSE '' END AS failed
+  FROM measured m LEFT JOIN labelled l ON m.doc_id = l.doc_id
+), patterns AS (
+  SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY part, failed
+), laid AS (
+  SELECT *, contains(failed, letter) AS fails, length(translate(earlier, failed, '')) < step - 1 AS gone FROM patterns, steps
+), found AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,
+    CAST(coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (fails AND NOT gone), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (fails AND gone), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (failed = letter), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (fails AND NOT gone), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (fails AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM laid GROUP BY part, filter_order, step, letter
+)
+SELECT * EXCLUDE letter, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM found"""
+
+ORACLES = {
+    "op1_chat_format": _CHAT,
+    "op2_near_vectors": _VECTORS,
+    "op3_line_dedup": _LINES,
+    "op4_ngram_join": _SIMILAR,
+    "op12_periodic_runs": _RUNS,
+    "op13_filter_audit": _AUDIT,
+}
