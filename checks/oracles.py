@@ -479,6 +479,8 @@ ORACLES["prepared_distinct"] = f"WITH {_LABELLED} SELECT md5(text) AS digest, la
 ORACLES["prepared_ids"] = f"""WITH {_LABELLED}
 SELECT printf('raw_train_%05d', row_number() OVER (ORDER BY position) - 1) AS id, position, label FROM grouped_texts WHERE text <> ''"""
 
+ORACLES["prepared_ids_in_ranges"] = ORACLES["prepared_ids"]
+
 _PREPARED = f"""WITH {_LABELLED},
     drawn AS (
         SELECT *, md5(text || ':' || label || ':42') AS draw, count(*) OVER () AS total, count(*) OVER (PARTITION BY label) AS of_label
@@ -504,6 +506,7 @@ _PREPARED = f"""WITH {_LABELLED},
 
 ORACLES["prepared_rows"] = f"""{_PREPARED}
 SELECT split, id, md5(text) AS digest, label, 'labelled_documents' AS source_dataset FROM prepared"""
+ORACLES["prepared_rows_in_ranges"] = ORACLES["prepared_rows"]
 
 _COUNTS = ", ".join(
     [f"count(*) FILTER (split = '{s}') AS {s}_rows" for s in ("train", "val", "test")]

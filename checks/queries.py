@@ -13,6 +13,7 @@ from screenwright.functions import context, mail, normalize, scoring
 from screenwright.functions.chunks import ChunkSettings, estimate_chunk_count
 from screenwright.operators import classifier, clean, dataset, evaluation, expect, scan, tfidf
 from screenwright.operators.chunk import chunk_documents
+from screenwright.operators.lineage import Workspace
 from screenwright.operators.normalize import compose_unicode
 from screenwright.operators.normalize import normalize as normalize_df
 from screenwright.operators.policy import decide, with_safe_context
@@ -397,25 +398,36 @@ def _labelled(spark: Spark, sf: str) -> DataFrame:
     return views.labelled_documents(spark, sf)
 
 
-def _prepared(spark: Spark, sf: str):
+def _prepared(spark: Spark, sf: str, rows_per_range: int | None = None):
     test = views.table(spark, sf, "conversations", "conv_id", "turn", "role", "text").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text", (F.col("role") == "user").cast("int").alias("label")
     )
     train_rows = _labelled(spark, sf).select("doc_id", "text", "label")
-    return prepare(train_rows, test, order="doc_id", dataset_name="labelled_documents", output_dir="out")
+    return prepare(train_rows, test, order="doc_id", dataset_name="labelled_documents", output_dir="out", rows_per_range=rows_per_range)
 
 
 @query
 def prepared_distinct(spark: Spark, sf: str) -> DataFrame:
-    groups = dataset.distinct_texts(dataset.labelled_texts(_labelled(spark, sf), order="doc_id"))
+    groups = dataset.distinct_texts(dataset.labelled_texts(_labelled(spark, sf), order="doc_id"), Workspace(spark))
     return groups.select(F.md5("text").alias("digest"), "label", "position", "copies")
 
 
+def _with_ids(spark: Spark, sf: str, rows_per_range: int | None = None) -> DataFrame:
+    space = Workspace(spark)
+    kept = dataset.without_empty(dataset.distinct_texts(dataset.labelled_texts(_labelled(spark, sf), order="doc_id"), space))
+    narrow = kept.select("position", "label")
+    return dataset.sequential_ids(narrow, "raw_train", space, rows_per_range=rows_per_range).select("id", "position", "label")
+
+
 @query
 def prepared_ids(spark: Spark, sf: str) -> DataFrame:
-    rows = dataset.labelled_texts(_labelled(spark, sf), order="doc_id")
-    kept = dataset.without_empty(dataset.distinct_texts(rows))
-    return dataset.sequential_ids(kept, "raw_train").select("id", "position", "label")
+    return _with_ids(spark, sf)
+
+
+@query
+def prepared_ids_in_ranges(spark: Spark, sf: str) -> DataFrame:
+    """The same numbers from ranges of a few rows each."""
+    return _with_ids(spark, sf, rows_per_range=50)
 
 
 @query
@@ -423,6 +435,12 @@ def prepared_rows(spark: Spark, sf: str) -> DataFrame:
     return _prepared(spark, sf).rows.select("split", "id", F.md5("text").alias("digest"), "label", "source_dataset")
 
 
+@query
+def prepared_rows_in_ranges(spark: Spark, sf: str) -> DataFrame:
+    """The same splits and numbers from ranges of a few rows each."""
+    return _prepared(spark, sf, 50).rows.select("split", "id", F.md5("text").alias("digest"), "label", "source_dataset")
+
+
 @query
 def prepared_summary(spark: Spark, sf: str) -> DataFrame:
     labels = {

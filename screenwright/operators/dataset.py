@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenwright.functions.normalize import normalized_text
+from screenwright.operators.lineage import Workspace
 from screenwright.operators.normalize import compose_unicode
 
-HASH_BUCKETS = 65536
-ROWS_PER_BUCKET = 200_000
-MAX_ORDER_BUCKETS = 1024
+ROWS_PER_RANGE = 1_000_000
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> DataFrame:
@@ -56,26 +55,53 @@ def labelled_texts(
     return compose_unicode(picked, "text").withColumn("text", normalized_text(F.col("text")))
 
 
-def distinct_texts(labelled: DataFrame) -> DataFrame:
-    """One row per (text, label): first position and number of copies.
+def with_identity(labelled: DataFrame, seed: int = 42) -> DataFrame:
+    """Add what stands for a row where its text need not be moved: a number of its own and digests of its content.
 
-    A plain aggregate instead of a window: copies are merged before the
-    shuffle, so a text that fills a third of the table is no hot partition.
-    Empty texts keep their row here, their copies are the removed rows.
+    ``identity`` tells texts and labels apart, ``draw`` is the row's pseudo-random place. The numbers
+    hold once the table is stored.
     """
-    return labelled.groupBy("text", "label").agg(
-        F.min("position").alias("position"), F.count(F.lit(1)).alias("copies")
+    return labelled.withColumns(
+        {
+            "row": F.monotonically_increasing_id(),
+            "identity": F.unhex(F.sha2(F.concat(F.col("label").cast("string"), F.lit(":"), F.col("text")), 256)),
+            "draw": draw_key(F.col("text"), F.col("label"), seed),
+            "empty": F.col("text") == "",
+        }
     )
 
 
-def removed_counts(groups: DataFrame) -> DataFrame:
-    """Numbers of kept, empty and duplicate rows behind ``distinct_texts``."""
-    empty = F.col("text") == ""
-    return groups.agg(
-        F.coalesce(F.sum(F.when(~empty, 1)), F.lit(0)).alias("kept_rows"),
-        F.coalesce(F.sum(F.when(empty, F.col("copies"))), F.lit(0)).alias("removed_empty_rows"),
-        F.coalesce(F.sum(F.when(~empty, F.col("copies") - 1)), F.lit(0)).alias("removed_duplicate_rows"),
-    )
+NARROW = ("label", "position", "row", "identity", "draw", "empty")
+
+
+def distinct_rows(rows: DataFrame, *within: str) -> DataFrame:
+    """One row per text and label, without the text: the row of the first position, and the number of copies.
+
+    A plain aggregate instead of a window: copies are merged before the shuffle, so a text that
+    fills a third of the table is no hot partition. Empty texts keep their row here, their copies
+    are the removed rows.
+    """
+    first = F.min(F.struct("position", "row"))
+    groups = rows.groupBy(*within, "label", "identity", "draw", "empty").agg(first.alias("first"), F.count(F.lit(1)).alias("copies"))
+    return groups.select(*within, "label", "identity", "draw", "empty", "first.position", "first.row", "copies")
+
+
+def distinct_texts(labelled: DataFrame, space: Workspace) -> DataFrame:
+    """One row ``text, label, position, copies`` per text and label; texts are moved once, to join their group."""
+    rows = space.store(with_identity(labelled))
+    groups = distinct_rows(rows.select(*NARROW)).select("row", "label", "position", "copies")
+    return rows.select("row", "text").join(groups, "row").select("text", "label", "position", "copies")
+
+
+def kept_counts() -> list[Column]:
+    """Aggregates over ``distinct_rows`` of train and test rows, in one pass with whatever else is done to them."""
+    kept = ~F.col("empty")
+    per_label = {f"{part}_{label}": kept & (F.col("part") == part) & (F.col("label") == label) for part in ("train", "test") for label in (0, 1)}
+    return [
+        *(F.count_if(condition).alias(name) for name, condition in per_label.items()),
+        F.sum(F.when(F.col("empty"), F.col("copies")).otherwise(0)).alias("removed_empty_rows"),
+        F.sum(F.when(kept, F.col("copies") - 1).otherwise(0)).alias("removed_duplicate_rows"),
+    ]
 
 
 def without_empty(groups: DataFrame) -> DataFrame:
@@ -83,45 +109,34 @@ def without_empty(groups: DataFrame) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, bucket: Column, order: Sequence[str], within: Sequence[str] = (), into: str = "number"
+    df: DataFrame, order: Sequence[str], rows: int, space: Workspace, into: str = "number", rows_per_range: int | None = None
 ) -> DataFrame:
     """Dense numbers from 0 along ``order`` without sorting all rows in one task.
 
-    ``bucket`` must not decrease along ``order``. Rows are numbered inside their
-    bucket and moved up by the size of the buckets before it. The table of
-    offsets has one row per bucket, at most ``HASH_BUCKETS`` per group.
+    Rows are dealt out by ranges of ``order``, as many as ``rows`` (their number) asks for, and sorted
+    inside. A row's number is its place in its range plus the rows of the ranges before; the table of
+    ranges has one row for each. No range grows with the data. ``df`` should be narrow: it is moved whole.
     """
-    marked = df.withColumn("__bucket", bucket)
-    keys = [*within, "__bucket"]
-    before = Window.partitionBy(*within).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows // (rows_per_range or ROWS_PER_RANGE) + 1
+    ordered = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # the upper bits of these numbers are the partition, the lower ones the place in it
+    placed = space.store(ordered.withColumn("__at", F.monotonically_increasing_id()))
+    which, at = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        marked.groupBy(*keys)
+        placed.groupBy(which.alias("__range"))
         .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*keys, F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+        .select("__range", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    return (
-        marked.withColumn("__row", F.row_number().over(inside))
-        .join(F.broadcast(offsets), keys)
-        .withColumn(into, F.col("__before") + F.col("__row") - 1)
-        .drop("__bucket", "__row", "__before")
-    )
-
+    numbered = placed.withColumn("__range", which).join(F.broadcast(offsets), "__range")
+    return numbered.withColumn(into, F.col("__before") + at).drop("__range", "__at", "__before")
 
-def order_bucket(df: DataFrame, key: str) -> Column:
-    """Bucket of a numeric order key by cut points that share the rows out evenly."""
-    rows = df.count()
-    buckets = max(1, min(MAX_ORDER_BUCKETS, rows // ROWS_PER_BUCKET + 1))
-    if buckets == 1:
-        return F.lit(0)
-    cuts = sorted(set(df.approxQuantile(key, [i / buckets for i in range(1, buckets)], 0.1 / buckets)))
-    points = F.array(*map(F.lit, cuts))
-    return F.size(F.filter(points, lambda cut: cut <= F.col(key)))
 
-
-def sequential_ids(df: DataFrame, prefix: str, position: str = "position") -> DataFrame:
+def sequential_ids(
+    df: DataFrame, prefix: str, space: Workspace, position: str = "position", rows_per_range: int | None = None
+) -> DataFrame:
     """Add ``id`` = prefix and the row's number in source order."""
-    numbered = number_rows(df, order_bucket(df, position), [position])
+    numbered = number_rows(df, [position], df.count(), space, rows_per_range=rows_per_range)
     return numbered.withColumn("id", row_id(F.lit(prefix), F.col("number"))).drop("number")
 
 
@@ -134,11 +149,6 @@ def draw_key(text: Column, label: Column, seed: int) -> Column:
     return F.md5(F.concat(text, F.lit(":"), label.cast("string"), F.lit(f":{seed}")))
 
 
-def hash_bucket(digest: Column) -> Column:
-    """First 16 bits of a hex digest as a number."""
-    return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
-
-
 def validation_quota(label_counts: Mapping[int, int], val_size: float = 0.20) -> dict[int, int]:
     """Validation rows per label: shares of the training part by largest remainder."""
     if len(label_counts) == 0 or min(label_counts.values()) < 2:
@@ -155,30 +165,25 @@ def validation_quota(label_counts: Mapping[int, int], val_size: float = 0.20) ->
     return {label: label_counts[label] - share[label] for label in label_counts}
 
 
-def split_train_validation(df: DataFrame, val_size: float = 0.20, seed: int = 42) -> DataFrame:
-    """Mark each row of ``text, label`` as ``train`` or ``val``, stratified by label.
+def split_train_validation(
+    df: DataFrame, counts: Mapping[int, int], space: Workspace, val_size: float = 0.20, rows_per_range: int | None = None
+) -> DataFrame:
+    """Mark each row of ``label, identity, draw`` as ``train`` or ``val``, stratified by label.
 
-    Per label the rows with the lowest digests go to validation until its quota
-    is full. New ids number each part in digest order, a repeatable shuffle.
+    ``counts`` has the rows per label. Per label the rows with the lowest digests go to validation until
+    its quota is full. New ids number each part in digest order, a repeatable shuffle.
     """
-    counts = {row["label"]: row["count"] for row in df.groupBy("label").count().collect()}
     quota = validation_quota(counts, val_size)
-    drawn = df.withColumn("__draw", draw_key(F.col("text"), F.col("label"), seed))
-    bucket = hash_bucket(F.col("__draw"))
-    placed = number_rows(drawn, bucket, ["__draw", "text"], within=["label"], into="__place")
-    limit = F.create_map(*(F.lit(part) for pair in quota.items() for part in pair))
-    marked = placed.withColumn(
-        "split", F.when(F.col("__place") < F.element_at(limit, F.col("label")), "val").otherwise("train")
-    ).drop("__place")
-    numbered = number_rows(marked, bucket, ["__draw", "text"], within=["split"])
-    return numbered.withColumn("id", row_id(F.col("split"), F.col("number"))).drop("number", "__draw")
-
-
-def label_counts(df: DataFrame) -> Column:
-    """Aggregate expression: map of label to number of rows, sorted by label."""
-    return F.map_filter(
-        F.create_map(
-            F.lit("0"), F.count(F.when(F.col("label") == 0, 1)), F.lit("1"), F.count(F.when(F.col("label") == 1, 1))
-        ),
-        lambda _, count: count > 0,
-    )
+    labels = sorted(counts)
+    before = {label: sum(counts[x] for x in labels if x < label) for label in labels}
+    total, held = sum(counts.values()), sum(quota.values())
+
+    def by_label(values: Mapping[int, int]) -> Column:
+        return F.element_at(F.create_map(*(F.lit(part) for pair in values.items() for part in pair)), F.col("label"))
+
+    placed = number_rows(df, ["label", "draw", "identity"], total, space, "__place", rows_per_range)
+    validated = F.col("__place") - by_label(before) < by_label(quota)
+    marked = placed.withColumn("split", F.when(validated, "val").otherwise("train")).drop("__place")
+    numbered = number_rows(marked, ["split", "draw", "identity"], total, space, "number", rows_per_range)
+    own = F.col("number") - F.when(F.col("split") == "val", total - held).otherwise(0)  # train comes first
+    return numbered.withColumn("id", row_id(F.col("split"), own)).drop("number")

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenwright.operators import dataset
-from screenwright.plans.prepare import prepare, write_prepared
+from screenwright.operators.lineage import Workspace
+from screenwright.plans.prepare import prepare, prepare_files, write_prepared
 from screenwright.plans.screen import result_columns, screen_raw
 from screenwright.sources import readers
 from screenwright.streaming.screen_stream import read_raw_stream, screen_stream, write_stream
@@ -62,11 +63,52 @@ def test_quota():
             dataset.validation_quota(counts)
 
 
-def test_numbering_over_many_buckets(spark, monkeypatch):
-    monkeypatch.setattr(dataset, "ROWS_PER_BUCKET", 100)
+def test_numbering_over_many_ranges(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("position"), F.lit("x").alias("text"))
-    rows = dataset.sequential_ids(df.repartition(9), "p").collect()
-    assert sorted((r.position, r.id) for r in rows) == [(i, f"p_{i:05d}") for i in range(5000)]
+    with Workspace(spark) as space:
+        rows = dataset.sequential_ids(df.repartition(9), "p", space, rows_per_range=100).collect()
+        assert sorted((r.position, r.id) for r in rows) == [(i, f"p_{i:05d}") for i in range(5000)]
+        assert dataset.sequential_ids(df.limit(0), "p", space).count() == 0
+        assert Path(space.folder).exists()
+    assert not Path(space.folder).exists()
+
+
+def exchanges_with(df, column):
+    """Exchanges of a physical plan whose rows hold a column."""
+
+    def walk(node):
+        names = {node.output().apply(i).name() for i in range(node.output().size())}
+        own = int("Exchange" in node.nodeName() and column in names)
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    plan = df._jdf.queryExecution().executedPlan()
+    return walk(plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan)
+
+
+def test_texts_are_moved_once(spark):
+    train = table(spark, [(i, f"text {i % 50}", i % 2) for i in range(200)])
+    test = table(spark, [(i, f"text {i % 50}", i % 2) for i in range(200)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        made = prepare(train, test, rows_per_range=7)
+        assert exchanges_with(made.rows, "text") == 1 and exchanges_with(made.rows, "row") >= 2
+        assert exchanges_with(made.summary, "label") == 0
+        narrow = prepare(train, test).rows.collect()
+        assert sorted(made.rows.collect()) == sorted(narrow)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_files_to_files(spark, tmp_path):
+    table(spark, [(i, f"text {i}", i % 2) for i in range(60)] + [(90, " ", 0)]).repartition(3).write.parquet(str(tmp_path / "train"))
+    table(spark, [(1, "b", 0), (2, "b", 0), (3, "c", 1)]).write.parquet(str(tmp_path / "test"))
+    summary = prepare_files(spark, str(tmp_path / "train"), str(tmp_path / "test"), str(tmp_path / "out")).first()
+    assert (summary.train_rows, summary.val_rows, summary.test_rows, summary.removed_empty_rows, summary.removed_duplicate_rows) == (48, 12, 2, 1, 1)
+    for split, n in (("train", 48), ("val", 12), ("test", 2)):
+        rows = readers.read_jsonl(spark, str(tmp_path / "out" / split)).collect()
+        assert len({r.id for r in rows}) == len(rows) == n and {r.source_dataset for r in rows} == {"labelled_texts"}
+    with pytest.raises(FileNotFoundError):
+        prepare_files(spark, str(tmp_path / "none"), str(tmp_path / "test"), str(tmp_path / "out"))
 
 
 def test_stream_equals_batch(spark, tmp_path):
