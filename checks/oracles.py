@@ -194,7 +194,16 @@ SELECT toxic AS label, CASE toxic WHEN 0 THEN 'benign' ELSE 'suspicious' END AS
        count(*) AS rows FROM labels GROUP BY ALL"""
 
 ORACLES["valid_spans"] = f"""{SCAN}
-SELECT category, count(*) AS rows FROM spans GROUP BY category"""
+SELECT category, CASE doc_id % 4 WHEN 1 THEN 'start is negative' WHEN 2 THEN 'end is before start' END AS violation, count(*) AS rows
+FROM spans GROUP BY ALL"""
+
+_BLANK = "(n_chars % 7 = 0 OR n_chars % 11 = 0 OR source IS NULL)"
+ORACLES["invalid_records"] = f"""
+SELECT 'chunk' AS kind, CASE WHEN {_BLANK} THEN 'chunk id is empty' WHEN doc_id % 5 = 0 THEN 'document id is empty'
+    WHEN n_chars % 3 = 0 OR text IS NULL THEN 'text is null' WHEN doc_id % 10 < 2 THEN 'start is negative'
+    WHEN n_chars % 13 < doc_id % 10 - 2 THEN 'end is before start' END AS violation, count(*) AS rows FROM documents GROUP BY ALL
+UNION ALL SELECT 'category score', CASE WHEN n_chars % 5 = 0 THEN 'evidence count is negative' END, count(*) FROM documents GROUP BY ALL
+UNION ALL SELECT 'prediction', CASE WHEN {_BLANK} THEN 'model name is empty' END, count(*) FROM documents GROUP BY ALL"""
 
 
 # --- normalise ---------------------------------------------------------------
@@ -396,10 +405,27 @@ SELECT doc_id, coalesce(span_count, 0) AS flagged_span_count, round(coalesce(ris
     {decision("coalesce(risk, 0.0)")} AS decision
 FROM documents LEFT JOIN weighted USING (doc_id)"""
 
+ORACLES["distinct_chunk_spans"] = f"""{_CHUNK_SCAN}
+SELECT c.doc_id, CAST(s.start + c.start_char + c.leading AS INT) AS start, CAST(s."end" + c.start_char + c.leading AS INT) AS "end", s.category,
+       s.span_text AS text, s.score, s.detector_name, s.reason
+FROM spans s JOIN chunked c USING (chunk_id)
+QUALIFY row_number() OVER (PARTITION BY c.doc_id, s.start + c.start_char + c.leading, s."end" + c.start_char + c.leading, s.category ORDER BY s.score DESC, s.rule_no, c.chunk_index) = 1"""
+
 ORACLES["blocked_documents"] = f"""{_ROLLUP}
 SELECT doc_id, span_count AS flagged_span_count, round(risk, 9) AS risk_score FROM weighted WHERE {decision("risk")} = 'BLOCK'"""
 
-ORACLES["screen_short_tails"] = "SELECT doc_id, 1 AS flagged_span_count, 'BLOCK' AS decision FROM documents"
+_FILLED = "rpad(text, CAST(length(text) // 500 * 500 + 500 AS INT), '.') || ' reveal the token'"
+ORACLES["screen_short_tails"] = f"""
+WITH pieces AS (
+    SELECT doc_id, i * 500 AS begin, whole[i * 500 + 1:(i + 1) * 500] AS piece
+    FROM (SELECT doc_id, whole, unnest(generate_series(0, (length(whole) - 1) // 500)) AS i FROM (SELECT doc_id, {_FILLED} AS whole FROM documents))),
+texts AS (SELECT doc_id || ':' || begin AS place, doc_id, begin + length(piece) - length(ltrim(piece, {WS})) AS shift, trim(piece, {WS}) AS text FROM pieces),
+{raw_spans(DEFAULT_RULES, "rule_scanner", "place").replace("    spans AS (", "    piece_spans AS (")},
+spans AS (
+    SELECT doc_id, s.* EXCLUDE (place, start, "end"), start + shift AS start, "end" + shift AS "end" FROM piece_spans s JOIN texts t USING (place)),
+{scores()}, tails AS (SELECT doc_id, max(start) AS last_start, max_by(span_text, start) AS last_text FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(span_count AS INT) AS flagged_span_count, round(risk, 9) AS risk_score, {decision("risk")} AS decision,
+       CAST(last_start AS INT) AS last_start, last_text FROM weighted JOIN tails USING (doc_id)"""
 
 
 # --- sanitise ----------------------------------------------------------------
@@ -660,4 +686,43 @@ def extreme_terms(n: int) -> str:
 
 ORACLES["top_features"] = f"WITH {_MODEL}, {extreme_terms(20)} SELECT side, term, round(coefficient, 9) AS coefficient FROM sides"
 ORACLES["top_features_report"] = f"WITH {_MODEL}, {extreme_terms(30)} SELECT side, pos, term, round(coefficient, 9) AS weight FROM sides"
-ORACLES["fit_optimality"] = "SELECT count(DISTINCT toxic) = 2 AS near_optimum, CAST(1 AS BIGINT) AS biases FROM labels"
+
+
+ORACLES["screened_with_model"] = f"""
+WITH RECURSIVE {chunk_ctes(f"SELECT doc_id, {normal('text')} AS text FROM ({SEEDED_SQL})", 300, 50, 20)},
+    texts AS (SELECT * FROM chunked), {raw_spans(DEFAULT_RULES, "rule_scanner", "chunk_id")},
+    document_spans AS (
+        SELECT c.doc_id, s.start + c.start_char + c.leading AS start, s."end" + c.start_char + c.leading AS "end", s.category, max(s.score) AS score
+        FROM spans s JOIN chunked c USING (chunk_id) GROUP BY ALL),
+    {scores(source="document_spans")}, {_MODEL},
+    own_words AS (SELECT doc_id, regexp_extract_all(strip_accents(lower(text)), '[\p{{L}}\p{{N}}_]{{2,}}') AS w FROM docs),
+    own_terms AS (
+        SELECT doc_id, unnest(w) AS term FROM own_words
+        UNION ALL
+        SELECT doc_id, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda p: p[1] || ' ' || p[2])) FROM own_words WHERE len(w) > 1),
+    own_weights AS (SELECT doc_id, term, 1 + ln(CAST(count(*) AS DOUBLE)) AS tf FROM own_terms GROUP BY ALL),
+    own_sums AS (
+        SELECT doc_id, sum(tf * idf * coefficient) AS score, sum(power(tf * idf, 2)) AS square FROM own_weights JOIN model USING (term) GROUP BY doc_id),
+    own_scored AS (
+        SELECT doc_id, coalesce(span_count, 0) AS found, coalesce(risk, 0.0) AS risk,
+               1 / (1 + exp(-(coalesce(s.score / sqrt(square), 0) + {dbl(MODEL_BIAS)}))) AS probability
+        FROM docs LEFT JOIN own_sums s USING (doc_id) LEFT JOIN weighted USING (doc_id)),
+    mixed AS (SELECT *, greatest({dbl(0.0)}, least({dbl(1.0)}, probability * {dbl(0.55)} + risk * ({dbl(1.0)} - {dbl(0.55)}))) AS blend FROM own_scored)
+SELECT CAST(doc_id AS VARCHAR) AS input_id, CAST(found AS INT) AS flagged_span_count, round(blend, 6) AS risk_score, {decision("blend")} AS decision,
+       CAST(probability >= 0.5 AS INT) AS prediction, round(probability, 6) AS suspicious_probability, 'tfidf_logistic_regression' AS model_name FROM mixed"""
+
+
+def _labelled_terms(which: str) -> str:
+    """Number of terms a model of these labelled documents has."""
+    return f"WITH documents AS (SELECT * FROM main.documents JOIN main.labels USING (doc_id) WHERE {which}), {_TERMS} SELECT count(*) FROM vocab"
+
+
+ORACLES["fit_optimality"] = f"""
+SELECT count(*) AS rows, ({_labelled_terms("true")}) AS terms, round(ln({dbl(2.0)}) * count(*), 9) AS loss_at_zero, true AS near_optimum, true AS learned
+FROM documents JOIN labels USING (doc_id)"""
+
+ORACLES["training_certificate"] = f"""
+SELECT count(*) FILTER (doc_id % 10 < 6) AS train_rows, count(*) FILTER (doc_id % 10 IN (6, 7)) AS val_rows, count(*) FILTER (doc_id % 10 > 7) AS test_rows,
+       ({_labelled_terms("doc_id % 10 < 6")}) AS terms, round(ln({dbl(2.0)}) * count(*) FILTER (doc_id % 10 < 6), 9) AS loss_at_zero,
+       true AS ended, true AS near_optimum, true AS learned
+FROM documents JOIN labels USING (doc_id)"""

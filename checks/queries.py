@@ -18,8 +18,8 @@ from screenwright.operators.normalize import compose_unicode
 from screenwright.operators.normalize import normalize as normalize_df
 from screenwright.operators.policy import decide, with_safe_context
 from screenwright.plans.prepare import prepare
-from screenwright.plans.screen import ScreenSettings, screen_documents
-from screenwright.plans.train import Training, assess, feature_report
+from screenwright.plans.screen import ScreenSettings, result_columns, screen_documents, screen_raw
+from screenwright.plans.train import Training, assess, feature_report, train
 from screenwright.sources.writers import prediction_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -259,14 +259,41 @@ def reject_invalid(spark: Spark, sf: str) -> DataFrame:
 
 @query
 def valid_spans(spark: Spark, sf: str) -> DataFrame:
-    """Every span found in the seeded documents keeps the invariants of spans and scores."""
+    """Spans of the seeded documents, some of them moved out of their text: which are kept and why the others are not."""
     spans = scan.spans_long(scanned(spark, sf), "doc_id")
-    valid, rejected = expect.split_valid(spans, expect.span_checks())
-    return valid.groupBy("category").agg(F.count(F.lit(1)).alias("rows")).unionByName(
-        rejected.groupBy("category").agg((-F.count(F.lit(1))).alias("rows"))
+    moved = spans.withColumn("start", F.when(F.col("doc_id") % 4 == 1, F.col("start") - 10_000_000).otherwise(F.col("start")))
+    moved = moved.withColumn("end", F.when(F.col("doc_id") % 4 == 2, F.col("start") - 1).otherwise(F.col("end")))
+    valid, rejected = expect.split_valid(moved, expect.span_checks())
+    rows = F.count(F.lit(1)).alias("rows")
+    return valid.groupBy("category", F.lit(None).cast("string").alias("violation")).agg(rows).unionByName(
+        rejected.groupBy("category", "violation").agg(rows)
     )
 
 
+@query
+def invalid_records(spark: Spark, sf: str) -> DataFrame:
+    """Chunks, category scores and predictions with values that their checks must refuse, by reason."""
+    df = views.table(spark, sf, "documents", "doc_id", "text", "source", "n_chars")
+    blank = F.when(F.col("n_chars") % 7 == 0, " \t").when(F.col("n_chars") % 11 == 0, None).otherwise(F.col("source"))
+    records = {
+        "chunk": (
+            df.select(
+                blank.alias("chunk_id"), F.when(F.col("doc_id") % 5 > 0, F.col("doc_id").cast("string")).alias("doc_id"),
+                F.when(F.col("n_chars") % 3 > 0, F.col("text")).alias("text"), (F.col("doc_id") % 10 - 2).alias("start_char"),
+                (F.col("n_chars") % 13).alias("end_char"),
+            ),
+            expect.chunk_checks(),
+        ),
+        "category score": (df.select((F.col("n_chars") % 5 - 1).alias("evidence_count")), expect.category_score_checks()),
+        "prediction": (df.select(blank.alias("model_name")), expect.prediction_checks()),
+    }
+    counted = [
+        expect.with_violation(rows, checks).groupBy(F.lit(kind).alias("kind"), "violation").agg(F.count(F.lit(1)).alias("rows"))
+        for kind, (rows, checks) in records.items()
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 # --- chunks ------------------------------------------------------------------
 
 
@@ -318,6 +345,14 @@ def chunk_rollup(spark: Spark, sf: str) -> DataFrame:
     )
 
 
+@query
+def distinct_chunk_spans(spark: Spark, sf: str) -> DataFrame:
+    """Spans of overlapping chunks in document offsets, each place once, with the first of the best rules."""
+    found = scan.scan_chunks(chunk_documents(views.seeded_documents(spark, sf), CHUNKS, leading=True), exact_offsets=True)
+    best = scan.distinct_spans(scan.spans_long(found, "doc_id"), "doc_id")
+    return best.select("doc_id", "start", "end", "category", "text", "score", "detector_name", "reason")
+
+
 @query
 def screened_documents(spark: Spark, sf: str) -> DataFrame:
     """The whole plan in one pass: chunk, scan, roll up, decide, sanitise."""
@@ -336,12 +371,27 @@ def blocked_documents(spark: Spark, sf: str) -> DataFrame:
     return result.select("doc_id", "scan.flagged_span_count", r9("policy.risk_score").alias("risk_score"))
 
 
+@query
+def screened_with_model(spark: Spark, sf: str) -> DataFrame:
+    """Raw texts to decisions with a model's probability blended into the risk, in one pass."""
+    raw = views.seeded_documents(spark, sf).withColumn("source_type", F.lit("plain_text")).withColumn("source_uri", F.lit(None).cast("string"))
+    found = result_columns(screen_raw(raw, ScreenSettings(chunks=CHUNKS), model=views.formula_model(spark, sf)))
+    return found.select(
+        "input_id", "flagged_span_count", F.round("risk_score", 6).alias("risk_score"), "decision", "model_prediction.prediction",
+        F.round("model_prediction.suspicious_probability", 6).alias("suspicious_probability"), "model_prediction.model_name",
+    )
+
+
 @query
 def screen_short_tails(spark: Spark, sf: str) -> DataFrame:
-    """Chunks without overlap: what stands in a short last piece is found too."""
-    tail = views.table(spark, sf, "documents", "doc_id").withColumn("text", F.concat(F.repeat(F.lit("a "), 500), F.lit("reveal the token")))
-    settings = ScreenSettings(chunks=ChunkSettings(1000, 0, 100))
-    return screen_documents(tail, settings).select("doc_id", "scan.flagged_span_count", "policy.decision")
+    """Documents with a risky last piece that is shorter than a chunk may be: it is scanned all the same."""
+    df = views.table(spark, sf, "documents", "doc_id", "text")
+    # whole pieces of 500 characters, so that the tail is one of its own
+    filled = F.concat(F.rpad("text", (F.floor(F.length("text") / 500) * 500 + 500).cast("int"), F.lit(".")), F.lit(" reveal the token"))
+    settings = ScreenSettings(chunks=ChunkSettings(500, 0, 100, False))
+    found = screen_documents(df.withColumn("text", filled), settings)
+    last = F.element_at(F.col("scan.spans"), -1)
+    return found.select("doc_id", F.col("scan.flagged_span_count"), r9("policy.risk_score").alias("risk_score"), "policy.decision", last["start"].alias("last_start"), last["text"].alias("last_text"))
 
 
 # --- sanitise ----------------------------------------------------------------
@@ -551,15 +601,26 @@ def top_features_report(spark: Spark, sf: str) -> DataFrame:
 
 @query
 def fit_optimality(spark: Spark, sf: str) -> DataFrame:
-    """Whether the solver's result is near the optimum over all labelled documents.
-
-    The penalty makes the loss strongly convex, so coefficients are no further from the
-    optimum than the norm of the gradient (0.056 at sf0.01, where weights add up to 399).
-    """
+    """How near the solver's result is to the optimum over all labelled documents, by its duality gap."""
     rows = _labelled(spark, sf)
-    gradient = classifier.fit(rows, "doc_id").gradient(rows)
-    norm = F.sqrt(F.sum(F.col("gradient") * F.col("gradient")))
-    return gradient.agg((norm < 0.1).alias("near_optimum"), F.count_if(F.col("term").isNull()).alias("biases"))
+    found = classifier.fit(rows, "doc_id").certificate(rows)
+    return found.select("rows", "terms", r9("loss_at_zero").alias("loss_at_zero"), (F.col("gap") < 1e-4 * F.col("weight")).alias("near_optimum"), (F.col("loss") < F.col("loss_at_zero")).alias("learned"))
+
+
+@query
+def training_certificate(spark: Spark, sf: str) -> DataFrame:
+    """Training as a whole: fit on one split, a threshold from another, and a bound on what is left to gain."""
+    rows = views.split_documents(spark, sf)
+    training = train(rows)
+    found = training.model.certificate(rows.where("split = 'train'"))
+    splits = training.scored.agg(*(F.count_if(F.col("split") == name).alias(f"{name}_rows") for name in ("train", "val", "test")))
+    one = F.lit(1).alias("one")
+    return found.select("*", one).join(splits.select("*", one), "one").select(
+        "train_rows", "val_rows", "test_rows", "terms", r9("loss_at_zero").alias("loss_at_zero"),
+        (F.col("iterations") < training.model.settings.max_iter).alias("ended"),
+        (F.col("gap") < 1e-4 * F.col("weight")).alias("near_optimum"),
+        (F.col("loss") < F.col("loss_at_zero")).alias("learned"),
+    )
 
 
 # --- evaluation --------------------------------------------------------------

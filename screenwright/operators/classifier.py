@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass
 
 import pyarrow as pa
@@ -34,11 +35,12 @@ def _sparse(size: pa.Array, indices: pa.Array, values: pa.Array) -> pa.Array:
 
 @dataclass(frozen=True)
 class TfidfModel:
-    """A fitted classifier: one row per term with idf and coefficient, and the bias."""
+    """A fitted classifier: one row per term with idf and coefficient, the bias, and the steps of the solver."""
 
     settings: TfidfSettings
     terms: DataFrame
     bias: float
+    iterations: int | None = None
 
     def predict_probabilities(
         self, df: DataFrame, key: str, text: str = "text", carry: tuple[str, ...] = (), into: str = "probability"
@@ -131,22 +133,75 @@ class TfidfModel:
         with_own = pulled.join(F.broadcast(own.where("term is not null")), "term", "left")
         return with_own.select("term", (F.col("pull") + F.coalesce("coefficient", F.lit(self.bias))).alias("gradient"))
 
+    def certificate(self, df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
+        """One row on how near this model is to the optimum for ``df``, whatever the solver says of itself.
+
+        The dual point that belongs to the model's own probabilities bounds the optimum from below. With a
+        squared penalty its distance to the loss, the duality gap, is half the squared norm of the gradient.
+        ``gap`` is that bound, ``loss`` the training loss, ``loss_at_zero`` that of a model without weights,
+        ``weight`` the summed sample weights and ``terms`` the number of weights, the bias apart.
+        """
+        counts = {r["label"]: r["count"] for r in df.groupBy(binary_label(F.col(label)).alias("label")).count().collect()}
+        weights = class_weights(counts, self.settings)
+        of_row = F.element_at(F.create_map(*(F.lit(x) for pair in weights.items() for x in pair)), F.col("__label"))
+        rows = df.select(binary_label(F.col(label)).alias("__label"), text)
+        scored = self.predict_probabilities(rows, "__label", text)
+        chance = F.when(F.col("__label") == 1, F.col("probability")).otherwise(1 - F.col("probability"))
+        loss = scored.agg(F.count(F.lit(1)).alias("rows"), F.sum(of_row).alias("weight"), F.sum(-of_row * F.log(chance)).alias("of_rows"))
+        own = self.terms.agg(F.count(F.lit(1)).alias("terms"), F.sum(F.col("coefficient") * F.col("coefficient")).alias("square"))
+        slope = self.gradient(df, text, label).agg((F.sum(F.col("gradient") * F.col("gradient")) / 2).alias("gap"))
+        # All three are global aggregates of exactly one row.
+        one = F.lit(1).alias("__one")
+        joined = loss.select("*", one).join(own.select("*", one), "__one").join(slope.select("*", one), "__one")
+        return joined.select(
+            "rows",
+            "terms",
+            "weight",
+            (F.log(F.lit(2.0)) * F.col("weight")).alias("loss_at_zero"),
+            (F.col("of_rows") + (F.col("square") + F.lit(self.bias * self.bias)) / 2).alias("loss"),
+            "gap",
+            F.lit(self.iterations).cast("int").alias("iterations"),
+        )
+
     def save(self, path: str) -> str:
-        """Write the terms as parquet and everything else as one JSON row."""
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        described = json.dumps({"settings": asdict(self.settings), "bias": self.bias})
+        """Add the model below ``path`` as its newest version.
+
+        The terms go to a folder of their own; the line that names it is appended last. Until then, and
+        if anything fails before, ``load`` gives the version before, so a model can be saved where it was loaded.
+        """
         spark = self.terms.sparkSession
-        spark.range(1).select(F.lit(described).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/model")
+        number = max((described["number"] for described in _versions(spark, path)), default=0) + 1
+        folder = f"versions/{number:06d}-{uuid.uuid4().hex[:8]}"
+        self.terms.write.parquet(f"{path}/{folder}")
+        described = json.dumps({"number": number, "terms": folder, "settings": asdict(self.settings), "bias": self.bias, "iterations": self.iterations})
+        spark.range(1).select(F.lit(described).alias("value")).coalesce(1).write.mode("append").text(f"{path}/model")
         return path
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TfidfModel:
-        from screenwright.sources.readers import read_terms, read_text_line
+        """The newest version below ``path``."""
+        from screenwright.sources.readers import read_terms
+
+        found = _versions(spark, path)
+        if not found:
+            raise FileNotFoundError(f"Required input not found: {path}/model")
+        newest = max(found, key=lambda described: (described["number"], described["terms"]))
+        terms = read_terms(spark, f"{path}/{newest['terms']}")
+        return cls(TfidfSettings(**newest["settings"]), terms, float(newest["bias"]), newest.get("iterations"))
+
+
+def _versions(spark: SparkSession, path: str) -> list[dict]:
+    """Descriptions of all saved versions, one line each."""
+    from screenwright.sources.readers import read_text_lines
 
-        described = json.loads(read_text_line(spark, f"{path}/model"))
-        if not isinstance(described, dict) or not isinstance(described.get("settings"), dict) or "bias" not in described:
-            raise TypeError("Invalid model artifact: settings or bias missing.")
-        return cls(TfidfSettings(**described["settings"]), read_terms(spark, f"{path}/terms"), float(described["bias"]))
+    try:
+        lines = [json.loads(line) for line in read_text_lines(spark, f"{path}/model")]
+    except FileNotFoundError:
+        return []
+    for described in lines:
+        if not isinstance(described, dict) or not isinstance(described.get("settings"), dict) or not {"bias", "number", "terms"} <= described.keys():
+            raise TypeError("Invalid model artifact: settings, bias or version missing.")
+    return lines
 
 
 def class_weights(counts: dict[int, int], settings: TfidfSettings) -> dict[int, float]:
@@ -208,11 +263,12 @@ def fit(
         maxIter=settings.max_iter,
         tol=settings.tol,
     )
-    solution = learner.fit(features).coefficients.toArray()
+    solved = learner.fit(features)
+    solution = solved.coefficients.toArray()
     spark = df.sparkSession
     # One number per vocabulary term, at most max_features of them.
     learned = spark.createDataFrame(
         pa.table({"index": pa.array(range(size), pa.int32()), "coefficient": pa.array(solution[:size])})
     )
     fitted = vocab.join(F.broadcast(learned), "index").select("term", "df", "idf", "index", "coefficient")
-    return TfidfModel(settings, fitted, float(solution[size]))
+    return TfidfModel(settings, fitted, float(solution[size]), solved.summary.totalIterations)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from screenwright.constants import CATEGORY_WEIGHTS, Rule
 from screenwright.functions.core import let
-from screenwright.functions.rules import find_spans, offset_spans
+from screenwright.functions.rules import check_rules, find_spans, offset_spans
 from screenwright.functions.scoring import category_score, category_scores, detected_categories, risk_score
 
 
@@ -73,52 +73,65 @@ def spans_long(df: DataFrame, key: str, spans: str = "scan.spans") -> DataFrame:
     return df.select(key, F.inline_outer(spans)).filter(F.col("start").isNotNull())
 
 
-def distinct_spans(spans: DataFrame, key: str) -> DataFrame:
-    """Best scoring span per (key, start, end, category).
+def _ranked_rules(rules: Sequence[Rule] | None, detector: str) -> list[Rule]:
+    """The rule pack by falling score; of equal scores the first rule leads."""
+    pack = check_rules(rules)
+    repeated = {r.name for r in pack if sum(x.name == r.name for x in pack) > 1}
+    if repeated:
+        raise ValueError(f"Rules in long form are told by name, which several share: {sorted(repeated)}.")
+    return sorted(pack, key=lambda rule: -min(1.0, max(0.0, float(rule.score))))
 
-    A plain aggregate, so copies are merged before the shuffle and one document
-    with very many spans is spread over all tasks.
+
+def distinct_spans(
+    spans: DataFrame, key: str, rules: Sequence[Rule] | None = None, detector: str = "rule_scanner"
+) -> DataFrame:
+    """Best scoring span per (key, start, end, category); the first rule of the pack wins ties.
+
+    A span stands for its rule's rank, a small number, so the best one is a plain minimum and hash
+    aggregation does. Copies are merged before the shuffle, and one document with very many spans is spread
+    over all tasks. Score, name and reason are looked up in the pack afterwards. Spans of a key that lie at the
+    same place have the same text.
     """
-    best = F.struct("score", "detector_name", "reason", "text")
-    return (
-        spans.groupBy(key, "start", "end", "category")
-        .agg(F.max(best).alias("best"))
-        .select(key, "start", "end", "category", "best.*")
+    ranked = _ranked_rules(rules, detector)
+    places = F.create_map(*(F.lit(x) for place, rule in enumerate(ranked) for x in (f"{detector}:{rule.name}", place)))
+    unknown = F.raise_error(F.concat(F.lit("Span of a rule outside the pack: "), F.col("detector_name"))).cast("int")
+    place = F.coalesce(F.try_element_at(places, F.col("detector_name")), unknown)
+    table = F.array(
+        *(
+            F.struct(F.lit(min(1.0, max(0.0, float(r.score)))).alias("score"), F.lit(f"{detector}:{r.name}").alias("detector_name"), F.lit(r.reason).alias("reason"))
+            for r in ranked
+        )
     )
+    best = spans.groupBy(key, "start", "end", "category", "text").agg(F.min(place).alias("place"))
+    found = best.select(key, "start", "end", "category", "text", F.element_at(table, F.col("place") + 1).alias("best"))
+    return found.select(key, "start", "end", "category", "text", "best.*")
 
 
 def roll_up(
-    spans: DataFrame, key: str, weights: Mapping[str, float] | None = None, documents: DataFrame | None = None
+    spans: DataFrame,
+    key: str,
+    weights: Mapping[str, float] | None = None,
+    documents: DataFrame | None = None,
 ) -> DataFrame:
     """Category scores and risk score per document from spans in long form.
 
-    Spans are counted per category first; only the few category rows of a
-    document are ever brought together. With ``documents`` each of them has a row;
-    one without spans has no category and risk 0.
+    Spans at one place count once, with the best score. They are counted per category first; only the few category rows of a
+    document are ever brought together. With ``documents`` each of them has a row, whose
+    empty share goes into the same aggregate; one without spans has no category and risk 0.
     """
     per_category = (
-        distinct_spans(spans, key)
+        spans.groupBy(key, "start", "end", "category")
+        .agg(F.max("score").alias("score"))
         .groupBy(key, "category")
         .agg(F.max("score").alias("best"), F.count(F.lit(1)).alias("evidence_count"))
-        .withColumn("score", category_score(F.col("best"), F.col("evidence_count")))
+        .select(key, "category", category_score(F.col("best"), F.col("evidence_count")).alias("score"), "evidence_count")
     )
+    if documents is not None:
+        nothing = [F.lit(None).cast(per_category.schema[name].dataType).alias(name) for name in ("category", "score")]
+        per_category = per_category.unionByName(documents.select(key, *nothing, F.lit(0).cast("long").alias("evidence_count")))
     entry = F.struct("category", "score", F.col("evidence_count").cast("int").alias("evidence_count"))
     grouped = per_category.groupBy(key).agg(
-        F.sort_array(F.collect_list(entry)).alias("category_scores"), F.sum("evidence_count").alias("flagged_span_count")
-    )
-    if documents is not None:
-        empty = F.array().cast(grouped.schema["category_scores"].dataType)
-        grouped = (
-            documents.select(key)
-            .distinct()
-            .join(grouped, key, "left")
-            .select(
-                key,
-                F.coalesce("category_scores", empty).alias("category_scores"),
-                F.coalesce("flagged_span_count", F.lit(0)).cast("long").alias("flagged_span_count"),
-            )
-        )
-    return (
-        grouped
-        .withColumn("risk_score", risk_score(F.col("category_scores"), dict(weights or CATEGORY_WEIGHTS)))
+        F.sort_array(F.collect_list(F.when(F.col("category").isNotNull(), entry))).alias("category_scores"),
+        F.sum("evidence_count").alias("flagged_span_count"),
     )
+    return grouped.withColumn("risk_score", risk_score(F.col("category_scores"), dict(weights or CATEGORY_WEIGHTS)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from screenwright.operators.classifier import TfidfModel, fit
@@ -18,6 +18,7 @@ from screenwright.operators.evaluation import (
 )
 from screenwright.operators.lineage import cut_lineage
 from screenwright.operators.tfidf import TfidfSettings
+from screenwright.sources.readers import read_splits
 from screenwright.sources.writers import write_json_row, write_predictions
 
 NOTES = (
@@ -131,3 +132,12 @@ def write_training(training: Training, path: str, default: float = 0.5) -> str:
     write_json_row(feature_report(training.model), f"{path}/top_features")
     write_predictions(training.scored.filter("split = 'test'"), f"{path}/test_predictions", training.best)
     return path
+
+
+def train_files(
+    spark: SparkSession, prepared: str, output_dir: str, settings: TfidfSettings = TfidfSettings(), threshold: float = 0.5
+) -> Training:
+    """From the JSON lines of three splits to model, metrics, top features and test predictions."""
+    training = train(read_splits(spark, prepared), settings, threshold)
+    write_training(training, output_dir, threshold)
+    return training

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,11 +66,15 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return read_parquet(spark, path, ("term", "idf", "coefficient"))
 
 
-def read_text_line(spark: SparkSession, path: str) -> str:
-    row = _found(path, spark.read.text).first()
-    if row is None:
-        raise TypeError(f"Invalid model artifact: {path} is empty.")
-    return row[0]
+def read_text_lines(spark: SparkSession, path: str) -> list[str]:
+    """All lines of a small text, such as the list of a model's versions."""
+    return [row[0] for row in _found(path, spark.read.text).collect()]
+
+
+def read_splits(spark: SparkSession, path: str, splits: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """The JSON lines of all splits below one folder, with their name in ``split``."""
+    parts = [read_jsonl(spark, f"{path}/{name}").withColumn("split", F.lit(name)) for name in splits]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -7,8 +8,8 @@ from pyspark.sql import functions as F
 from screenwright.operators import evaluation, tfidf
 from screenwright.operators.classifier import TfidfModel, fit
 from screenwright.plans.screen import result_columns, screen_raw, split_raw
-from screenwright.plans.train import feature_report, train, write_training
-from screenwright.sources.readers import read_parquet
+from screenwright.plans.train import feature_report, train, train_files, write_training
+from screenwright.sources.writers import write_json_row, write_jsonl
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 
@@ -101,6 +102,16 @@ def test_fit_finds_the_minimum(spark, rows, tmp_path):
     assert same == pytest.approx(scored, abs=1e-12)
     with pytest.raises(FileNotFoundError):
         TfidfModel.load(spark, str(tmp_path / "missing"))
+    # a model may be saved where it was loaded, and a save that fails leaves the version before
+    doubled = TfidfModel(again.settings, again.terms.withColumn("coefficient", 2 * F.col("coefficient")), 0.5, 7)
+    doubled.save(str(tmp_path / "m"))
+    second = TfidfModel.load(spark, str(tmp_path / "m"))
+    assert (second.bias, second.iterations) == (0.5, 7)
+    assert second.terms.agg(F.sum("coefficient")).first()[0] == pytest.approx(2 * again.terms.agg(F.sum("coefficient")).first()[0])
+    broken = second.terms.withColumn("idf", F.raise_error(F.lit("no")).cast("double"))
+    with pytest.raises(Exception, match="no"):
+        TfidfModel(second.settings, broken, 9.0).save(str(tmp_path / "m"))
+    assert TfidfModel.load(spark, str(tmp_path / "m")).bias == 0.5
 
 
 def test_unknown_terms_score_the_bias(spark, rows):
@@ -140,7 +151,34 @@ def test_train_and_write(spark, rows, tmp_path):
     written = spark.read.option("header", True).csv(f"{path}/test_predictions")
     assert written.columns == ["id", "label", "suspicious_probability", "prediction", "threshold"]
     assert written.count() == rows.filter("split = 'test'").count()
-    assert read_parquet(spark, f"{path}/model/terms").count() == training.model.terms.count()
+    saved = TfidfModel.load(spark, f"{path}/model")
+    assert saved.terms.count() == training.model.terms.count() and saved.iterations == training.model.iterations
+
+
+def test_training_from_files_and_its_certificate(spark, rows, tmp_path):
+    for split in ("train", "val", "test"):
+        picked = rows.filter(F.col("split") == split).select(F.col("id").cast("string").alias("id"), "text", "label", F.lit("d").alias("source_dataset"))
+        write_jsonl(picked, str(tmp_path / "in" / split))
+    training = train_files(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    learned = rows.filter("split = 'train'")
+    found = training.model.certificate(learned).first()
+    # at the optimum the bound is tight; away from it, it covers what is lost
+    assert 0 < found.iterations < 1000 and 0 <= found.gap < 1e-4 * found.weight and found.rows == learned.count()
+    moved = TfidfModel(training.model.settings, training.model.terms, training.model.bias + 0.5).certificate(learned).first()
+    assert moved.loss > found.loss and moved.gap >= moved.loss - found.loss
+    empty = TfidfModel(training.model.settings, training.model.terms.withColumn("coefficient", F.lit(0.0)), 0.0).certificate(learned).first()
+    assert empty.loss == pytest.approx(empty.loss_at_zero) and found.loss < empty.loss <= found.loss + empty.gap
+    report = json.loads(next((tmp_path / "out" / "metrics").glob("part-*")).read_text())
+    assert json.dumps(report) == json.dumps(report, sort_keys=True)
+    assert TfidfModel.load(spark, str(tmp_path / "out" / "model")).iterations == found.iterations
+
+
+def test_json_keys_are_sorted_at_every_depth(spark, tmp_path):
+    value = {"b": [{"z": 1, "a": None}, None], "a": {"y": {"k2": 1, "k1": 2}, "x": None}}
+    frame = spark.createDataFrame([(value["b"], (value["a"]["y"], None))], "b array<struct<z:int,a:int>>, a struct<y:map<string,int>,x:int>")
+    path = write_json_row(frame, str(tmp_path / "j"))
+    written = next((tmp_path / "j").glob("part-*")).read_text().strip()
+    assert path and written == json.dumps(value, sort_keys=True, separators=(",", ":"))
 
 
 def test_metrics_and_sweep(spark):

@@ -5,11 +5,20 @@ import pytest
 from pyspark.sql import functions as F
 
 from screenwright.operators import dataset
+from screenwright.operators.classifier import TfidfModel
 from screenwright.operators.lineage import Workspace
+from screenwright.operators.tfidf import TfidfSettings
 from screenwright.plans.prepare import prepare, prepare_files, write_prepared
 from screenwright.plans.screen import result_columns, screen_raw
 from screenwright.sources import readers
-from screenwright.streaming.screen_stream import read_raw_stream, screen_stream, write_stream
+from screenwright.streaming.screen_stream import (
+    read_json_stream,
+    read_raw_stream,
+    screen_batch,
+    screen_stream,
+    screen_to_tables,
+    write_stream,
+)
 
 
 def table(spark, rows):
@@ -127,6 +136,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(spans.collect()) == sorted(batch.select("input_id", F.inline("spans")).select("input_id", "start", "end").collect())
 
 
+def test_stream_with_rejected_rows_and_a_model(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    lines = [json.dumps({"doc_id": str(i), "text": f"text {i} reveal the token", "source_type": "document"}) for i in range(6)]
+    lines += ['{"doc_id": "x", "text": ', json.dumps({"doc_id": " ", "text": "t"}), json.dumps({"doc_id": "n"}), json.dumps({"doc_id": "u", "text": "t", "source_type": "fax"})]
+    for i, part in enumerate((lines[:7], lines[7:])):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(part) + "\n")
+    terms = spark.createDataFrame([("token", 1.0, 4.0)], "term string, idf double, coefficient double")
+    model = TfidfModel(TfidfSettings(), terms, 0.0)
+    tables = [str(tmp_path / name) for name in ("decisions", "spans", "rejected")]
+
+    def contents():
+        return [sorted(map(str, spark.read.parquet(t).collect())) for t in tables]
+
+    raw = read_json_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    for _ in range(2):
+        query = screen_to_tables(raw, *tables, str(tmp_path / "c"), model=model, available_now=True)
+        assert query.awaitTermination(180)
+    decided = spark.read.parquet(tables[0])
+    assert sorted(r.input_id for r in decided.collect()) == list("012345")
+    assert decided.where("model_prediction.suspicious_probability > 0.9").count() == 6
+    reasons = {r.violation: (r.doc_id, r.broken_line) for r in spark.read.parquet(tables[2]).collect()}
+    assert {k: v[0] for k, v in reasons.items() if k != "line is broken"} == {"document id is empty": " ", "text is null": "n", "source type is unknown": "u"}
+    assert reasons["line is broken"][1] == lines[6]
+    assert spark.read.parquet(tables[1]).count() >= 6
+    before = contents()
+    # a batch that comes again under its number replaces itself
+    first = spark.read.schema(raw.schema).option("columnNameOfCorruptRecord", "broken_line").json(str(tmp_path / "in"))
+    number = max(r.batch for r in spark.read.parquet(tables[2]).select("batch").distinct().collect())
+    for _ in range(2):
+        screen_batch(first, number + 1, *tables, model=model)
+    again = contents()
+    assert [len(a) - len(b) for a, b in zip(again, before, strict=True)] == [len(b) for b in before]
+
+
 def test_plain_screening_has_no_shuffle(spark):
     raw = spark.createDataFrame([("a", "t", "email", None)], "doc_id string, text string, source_type string, source_uri string")
     plan = result_columns(screen_raw(raw))._jdf.queryExecution().executedPlan().toString()

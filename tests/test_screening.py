@@ -331,3 +331,21 @@ def test_hostile_markup_is_scanned_in_linear_time(spark, piece):
     begin = time.monotonic()
     assert df.select(F.size(rules.find_spans(F.col("text"), [DEFAULT_RULES[-1]]))).first()[0] == 0
     assert time.monotonic() - begin < 20
+
+
+def test_long_form_spans_take_the_first_rule_on_a_tie(spark):
+    pack = [Rule("second_name", "x", r"\b(alpha)\b", 0.5, "first"), Rule("z_name", "x", r"alpha", 0.5, "later"), Rule("best", "y", r"alpha", 0.4, "low"), Rule("top", "y", r"\balpha\b", 0.9, "high")]
+    rows = [("d", 0, 5, "alpha", r.category, r.score, r.reason, f"own:{r.name}") for r in pack for _ in range(3)]
+    spans = spark.createDataFrame(rows, "doc_id string, start int, end int, text string, category string, score double, reason string, detector_name string").repartition(5)
+    best = scan.distinct_spans(spans, "doc_id", pack, "own")
+    assert {(r.category, r.detector_name, r.score, r.reason, r.text) for r in best.collect()} == {("x", "own:second_name", 0.5, "first", "alpha"), ("y", "own:top", 0.9, "high", "alpha")}
+    documents = spark.createDataFrame([("d",), ("e",), ("e",)], "doc_id string")
+    rolled = scan.roll_up(spans, "doc_id", {"x": 1.0, "y": 1.0}, documents)
+    plan = rolled._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "Join" not in plan
+    found = {r.doc_id: (r.flagged_span_count, r.risk_score, len(r.category_scores)) for r in rolled.collect()}
+    assert found == {"d": (2, pytest.approx(0.7), 2), "e": (0, 0.0, 0)}
+    with pytest.raises(Exception, match="outside the pack"):
+        scan.distinct_spans(spans, "doc_id", pack[:2], "own").collect()
+    with pytest.raises(ValueError, match="share"):
+        scan.distinct_spans(spans, "doc_id", [pack[0], pack[0]], "own")
