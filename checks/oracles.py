@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from checks.queries import CUSTOM_RULES, CUSTOM_WEIGHTS, METRICS
+from checks.queries import CUSTOM_RULES, CUSTOM_WEIGHTS, GATED_RULES, METRICS
 from checks.views import MODEL_BIAS, NOISY_SQL, SCORED_SQL, SEEDED_SQL
 from screenwright.constants import (
     BANDS,
@@ -181,6 +181,10 @@ WITH texts AS (SELECT doc_id, text FROM documents), {raw_spans(CUSTOM_RULES, "ow
 SELECT doc_id, round(risk, 9) AS risk_score, s.start, s."end", s.category, s.detector_name
 FROM risks LEFT JOIN spans s USING (doc_id)"""
 
+ORACLES["gated_rules"] = f"""
+WITH texts AS (SELECT doc_id, text FROM documents), {raw_spans(GATED_RULES, "own")}
+SELECT doc_id, start, "end", category, detector_name FROM spans"""
+
 ORACLES["scan_pages_raw"] = f"""
 WITH texts AS (SELECT page_id AS doc_id, html AS text FROM pages), {raw_spans(DEFAULT_RULES, "rule_scanner")}, {scores()}, {RISKS}
 SELECT doc_id AS page_id, CAST(span_count AS INT) AS flagged_span_count, round(risk, 9) AS risk_score FROM risks"""
@@ -285,6 +289,9 @@ WITH n AS (SELECT page_id, html, {normal(visible("html"))} AS text FROM pages)
 SELECT page_id, text, length(html) AS original_length, length(text) AS cleaned_length,
        length(html) <> length(text) AS changed, 'html' AS cleaner FROM n"""
 
+ORACLES["clean_nested_html"] = f"""
+SELECT page_id, {normal(visible("html || '<p>tail<p>more<p>end'"))} AS text, {title("html")} AS title FROM pages"""
+
 ORACLES["html_titles"] = f"SELECT page_id, {title('html')} AS title FROM pages"
 
 _HEAD = "'From: a@example.com' || chr(10) || 'Subject: s' || chr(10) || ' folded: on' || chr(10)"

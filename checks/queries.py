@@ -30,6 +30,13 @@ CUSTOM_RULES = (
     Rule("token_assignment", "secret", r"token\s*=\s*\"[^\"]+\"", 0.90, "Assigned token."),
     Rule("email_address", "personal", r"[a-z0-9._]+@[a-z0-9.]+\.[a-z]{2,}", 0.60, "E-mail address."),
 )
+GATED_RULES = (
+    *CUSTOM_RULES,
+    Rule("http_address", "address", r"https?://(www\.)?\S+", 0.30, "Address."),
+    Rule("wrapped", "style", r"(?:[Tt]he|and)\s+[a-z]+ion[ .,]", 0.20, "Style."),
+    Rule("digits", "number", r"\d{3,}", 0.10, "Number."),
+    Rule("never", "none", r"(zyx|wvu)+\s*=\s*abc", 0.50, "None."),
+)
 CUSTOM_WEIGHTS = {"license": 0.2, "secret": 0.5}
 CHUNKS = ChunkSettings(300, 50, 20)
 
@@ -129,6 +136,14 @@ def custom_rules(spark: Spark, sf: str) -> DataFrame:
     )
 
 
+@query
+def gated_rules(spark: Spark, sf: str) -> DataFrame:
+    """Own patterns that run only where a string occurs that each of their matches must hold."""
+    df = scan.scan(views.table(spark, sf, "documents", "doc_id", "text"), rules=GATED_RULES, detector="own")
+    spans = scan.spans_long(df, "doc_id")
+    return spans.select("doc_id", "start", "end", "category", "detector_name")
+
+
 @query
 def scan_pages_raw(spark: Spark, sf: str) -> DataFrame:
     """Rule scan of uncleaned pages."""
@@ -204,6 +219,15 @@ def html_titles(spark: Spark, sf: str) -> DataFrame:
     return clean.clean_html(pages).select("page_id", "cleaned.title")
 
 
+@query
+def clean_nested_html(spark: Spark, sf: str) -> DataFrame:
+    """Pages between elements without text that nest, end early, close themselves or never close."""
+    pages = views.table(spark, sf, "pages", "page_id", "html")
+    front = "<svg><title>no</title><svg>no</svg>no</svg><noscript><TEMPLATE>no</noscript>"
+    behind = "<template>no<template a='</template>'>no</template><canvas>no</template>tail<svg/>more</svg><i title='<svg>'>end</i><canvas>no<p>no</svg>"
+    return clean.clean_html(pages.withColumn("html", F.concat(F.lit(front), "html", F.lit(behind)))).select("page_id", "cleaned.text", "cleaned.title")
+
+
 @query
 def email_bodies(spark: Spark, sf: str) -> DataFrame:
     df = views.mails(spark, sf)

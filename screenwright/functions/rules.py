@@ -32,7 +32,7 @@ _FOLDED = ("".join(map(chr, (0x130, 0x131, 0x17F, 0x212A))), "iisk")
 
 _RULE = (
     "struct<number:int,category:string,score:double,reason:string,detector_name:string,pattern:string,"
-    "lists:array<array<array<string>>>,contains:string>"
+    "lists:array<array<array<string>>>,contains:string,factors:array<string>>"
 )
 _RAW = "struct<start:int,end:int,category:string,rank:double,rule:int,text:string>"
 
@@ -96,6 +96,63 @@ def _words_present(text: Column, words: Sequence[str]) -> Column:
     return F.array_distinct(F.transform(found, lambda word: F.lower(F.translate(word, *_FOLDED))))
 
 
+def required_factors(pattern: str) -> list[str]:
+    """Lower-case ASCII strings of which every match of a pattern holds at least one; none if there are no such strings.
+
+    A sequence needs each of its parts, so its longest literal, or a part that needs one, will do. Alternatives need
+    factors each. What may be absent, and classes of characters, need nothing.
+    """
+
+    def weight(factors: list[str]) -> int:
+        return min(map(len, factors), default=0)
+
+    def of_sequence(items) -> list[str]:
+        found: list[list[str]] = []
+        run = ""
+        todo = list(items)[::-1]
+        while todo:
+            kind, value = todo.pop()
+            name = str(kind)
+            if name == "LITERAL" and 32 < value < 127 or (name, value) == ("LITERAL", 32):
+                run += chr(value).lower()
+                continue
+            if name in ("AT", "ASSERT", "ASSERT_NOT"):
+                continue
+            if name == "SUBPATTERN":
+                todo += list(value[-1])[::-1]
+                continue
+            found.append([run] if run else [])
+            run = ""
+            if name == "BRANCH":
+                arms = [of_sequence(arm) for arm in value[1]]
+                found.append([f for arm in arms for f in arm] if all(arms) else [])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] >= 1:
+                found.append(of_sequence(value[2]))
+            elif name == "ATOMIC_GROUP":
+                found.append(of_sequence(value))
+        found.append([run] if run else [])
+        return max(found, key=weight)
+
+    # not of texts in free spacing, which rules may not use
+    return sorted(set(of_sequence(re._parser.parse(pattern, re.IGNORECASE | re.MULTILINE | re.DOTALL))))
+
+
+def _factors(rule: Rule) -> list[str]:
+    """Factors of rules that are neither word lists nor have a literal form of their own."""
+    return [] if _word_lists(rule) or rule.contains or rule.linear else required_factors(rule.pattern)
+
+
+def _factors_present(text: Column, factors: Sequence[str]) -> Column:
+    """The longest factor at each place of the text where one begins, found in one pass.
+
+    A factor that is not reported begins one that is. Letters that match an ASCII letter when case is ignored are
+    reported as that letter.
+    """
+    longest = sorted(factors, key=lambda f: (-len(f), f))
+    found = F.regexp_extract_all(text, F.lit(f"(?iu)(?=({'|'.join(map(re.escape, longest))}))"), F.lit(1))
+    return F.array_distinct(F.transform(found, lambda f: F.lower(F.translate(f, *_FOLDED))))
+
+
 def _rule_table(rules: Sequence[Rule], detector: str) -> Column:
     """The rule pack as one constant array, so that its size does not grow the plan."""
     rows = [
@@ -108,20 +165,22 @@ def _rule_table(rules: Sequence[Rule], detector: str) -> Column:
             "pattern": spark_pattern(rule.linear or rule.pattern),
             "lists": [[term.split() for term in terms] for terms in _word_lists(rule) or ()],
             "contains": rule.contains,
+            "factors": _factors(rule),
         }
         for number, rule in enumerate(rules, start=1)
     ]
     return F.from_json(F.lit(json.dumps(rows)), f"array<{_RULE}>")
 
 
-def _may_match(rule: Column, text: Column, present: Column) -> Column:
-    """False only where the rule surely has no match: a word of each list must be there."""
+def _may_match(rule: Column, text: Column, present: Column, beginning: Column) -> Column:
+    """False only where the rule surely has no match: a word of each list, or one of its factors, must be there."""
 
     def has_term(terms: Column) -> Column:
         return F.exists(terms, lambda words: F.forall(words, lambda word: F.array_contains(present, word)))
 
     literal = F.coalesce(F.contains(text, rule["contains"]), F.lit(True))
-    return literal & F.forall(rule["lists"], has_term)
+    held = F.exists(rule["factors"], lambda f: F.exists(beginning, lambda longest: F.startswith(longest, f)))
+    return literal & F.forall(rule["lists"], has_term) & ((F.size(rule["factors"]) == 0) | held)
 
 
 def _matches(rule: Column, text: Column) -> Column:
@@ -233,7 +292,11 @@ def find_spans(text: Column, rules: Sequence[Rule] | None = None, detector: str
     pack = check_rules(rules)
     table = _rule_table(pack, detector)
     words = _key_words(pack)
-    present = _words_present(text, words) if words else F.array().cast("array<string>")
+    factors = sorted({f for rule in pack for f in _factors(rule)})
+    nothing = F.array().cast("array<string>")
+    present = F.struct(
+        (_words_present(text, words) if words else nothing).alias("words"), (_factors_present(text, factors) if factors else nothing).alias("factors")
+    )
 
     def described(hit: Column) -> Column:
         rule = F.element_at(table, hit["rule"])
@@ -245,7 +308,7 @@ def find_spans(text: Column, rules: Sequence[Rule] | None = None, detector: str
     linear = {number: rule for number, rule in enumerate(pack, start=1) if rule.linear}
 
     def scanned(found: Column) -> Column:
-        candidates = F.filter(table, lambda rule: ~rule["number"].isin(*linear) & _may_match(rule, text, found))
+        candidates = F.filter(table, lambda rule: ~rule["number"].isin(*linear) & _may_match(rule, text, found["words"], found["factors"]))
         plain = F.flatten(F.transform(candidates, lambda rule: _matches(rule, text)))
         special = (_linear_matches(rule, F.element_at(table, number), text) for number, rule in linear.items())
         return let(

@@ -90,12 +90,14 @@ def clean_text(df: DataFrame, raw: str = "text", source_type: str = "source_type
     text = F.col(raw)
     # The MIME stage is evaluated for every row, so its input is null outside messages.
     held = df.withColumn("__body", _email_body(text, F.coalesce(message, F.lit(False))))
-    held = held.withColumn(
-        _HELD,
-        F.when(page, visible_text(text)).when(message, _email_lines(F.col("__body"))).otherwise(text),
-    ).withColumn(_TITLE, F.when(page, raw_title(text)))
+    found = F.struct(
+        F.when(page, visible_text(text)).when(message, _email_lines(F.col("__body"))).otherwise(text).alias(_HELD),
+        F.when(page, raw_title(text)).alias(_TITLE),
+    )
+    # behind a generator, so that markup is gone through once and the Arrow stages stay apart
+    held = held.select(*df.columns, F.inline(F.array(found)))
     cleaner = F.when(page, "html").when(message, "email").otherwise("plain_text")
-    return _finish(held.drop("__body"), raw, into, cleaner)
+    return _finish(held, raw, into, cleaner)
 
 
 def create_documents(

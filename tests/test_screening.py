@@ -349,3 +349,77 @@ def test_long_form_spans_take_the_first_rule_on_a_tie(spark):
         scan.distinct_spans(spans, "doc_id", pack[:2], "own").collect()
     with pytest.raises(ValueError, match="share"):
         scan.distinct_spans(spans, "doc_id", [pack[0], pack[0]], "own")
+
+
+def random_pattern(rng, depth=0):
+    simple = ["ab", "b", r"\s", "[bc]", "a.c", r"\w", "é", "k", "-", r"\."]
+    if depth > 2 or rng.random() < 0.4:
+        return "".join(rng.choice(simple) for _ in range(rng.randint(1, 3)))
+    inner = [random_pattern(rng, depth + 1) for _ in range(rng.randint(1, 3))]
+    shape = rng.choice(["cat", "alt", "star", "plus", "opt", "ahead", "group"])
+    return {"cat": "".join(inner), "alt": f"(?:{'|'.join(inner)})", "star": f"(?:{inner[0]})*{inner[-1]}", "plus": f"(?:{inner[0]})+", "opt": f"(?:{inner[0]})?{inner[-1]}", "ahead": f"(?={inner[0]}){inner[-1]}", "group": f"({inner[0]})a"}[shape]
+
+
+def test_factors_of_own_patterns_lose_no_match(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "b", "c", "AB", " ", "é", "K", chr(0x212A), "-", ".", "abc"]) for _ in range(rng.randint(0, 14))) for _ in range(300)]
+    pack = []
+    while len(pack) < 40:
+        pattern = random_pattern(rng)
+        try:
+            rules.check_rules([Rule("r", "c", pattern, 0.5, "r")])
+        except ValueError:
+            continue
+        found = rules.required_factors(pattern)
+        compiled = re.compile(pattern, re.IGNORECASE | re.MULTILINE | re.DOTALL)
+        plain = str.maketrans({chr(0x212A): "k", chr(0x130): "i"})
+        for m in (m for t in texts for m in compiled.finditer(t)):
+            # what only looks ahead may lie behind the match
+            assert not found or any(f in m.string[m.start():].translate(plain).lower() for f in found), (pattern, found, m)
+        pack.append(Rule(f"r{len(pack)}", "c", pattern, 0.5, "r"))
+    assert sum(bool(rules.required_factors(r.pattern)) for r in pack) > 20
+    df = frame(spark, texts).repartition(4)
+
+    def spans():
+        rows = df.select("id", F.transform(rules.find_spans(F.col("text"), pack), lambda s: F.struct(s["start"], s["end"], s["detector_name"])).alias("s")).collect()
+        return sorted((r.id, [tuple(x) for x in r.s]) for r in rows)
+
+    gated = spans()
+    monkeypatch.setattr(rules, "_factors", lambda rule: [])
+    assert spans() == gated and sum(len(s) for _, s in gated) > 1000
+
+
+def test_factors():
+    want = {r"token\s*=\s*x": ["token"], r"(abc|de)+f": ["abc", "de"], r"a?b*": [], r"(?:ab|c*)d": ["d"], r"[ab]c\bd": ["cd"], r"x{2}yz": ["yz"], r"(ab)(cd)?(ef)": ["ab"], r"AB\.C": ["ab.c"], "é+": []}
+    assert {p: rules.required_factors(p) for p in want} == want
+
+
+def shown_text(markup):
+    """Text of simple markup by a stack: dropped elements hide what they hold, end tags close what is open inside."""
+    out, stack = [], []
+    for token in re.findall(r"<[^>]*>|[^<]+", markup):
+        name = re.match(r"</?(\w+)", token)
+        if not token.startswith("<"):
+            out += [] if stack else [token.strip()]
+        elif not token.endswith("/>") and name.group(1) in ("svg", "template", "canvas", "noscript"):
+            if not token.startswith("</"):
+                stack.append(name.group(1))
+            elif name.group(1) in stack and stack[0] != name.group(1):
+                pass  # hidden by the outermost element in any case
+            elif name.group(1) in stack:
+                same = [i for i, x in enumerate(stack) if x == name.group(1)]
+                del stack[same[-1]:]
+    return " ".join(x for x in out if x)
+
+
+def test_nested_dropped_elements(spark):
+    rng = random.Random(3)
+    parts = ["<svg>", "</svg>", "<svg a='x'>", "<template>", "</template>", "<p>", "</p>", "<svg/>", "<canvas>", "</canvas>", "one", "two", " three ", "<i>"]
+    pages = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 25))) for _ in range(400)]
+    found = frame(spark, pages, "html").select("id", html.visible_text(F.col("html")).alias("t")).orderBy("id").collect()
+    assert [r.t for r in found] == [shown_text(p) for p in pages]
+    title = "<svg><title>no</title></svg><title>a<!-- x --> b</title><script><svg></script>t"
+    row = frame(spark, [title], "html").select(html.raw_title(F.col("html")).alias("title"), html.visible_text(F.col("html")).alias("t")).first()
+    assert row.title == "a b" and row.t.endswith("t")
+    long = "<svg>x</svg>y" * 20_000 + "<template>" * 20_000
+    assert one(spark, F.length(html.visible_text(F.lit(long)))) == 2 * 20_000 - 1
