@@ -20,14 +20,17 @@ from screenwright.llm.common import checkpointed
 from screenwright.llm.components import connected_components
 
 THRESHOLD = 0.9
-#: Shards: at least so many, and enough that none has more than so many vectors.
-SHARDS, SHARD_ROWS = 8, 500_000
+#: Shards: at least so many, and enough that none has more than so many vectors, or bytes of them and their graph.
+SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 500_000, 1 << 30
 #: Neighbours of a node above and on the lowest level, beam while building, first beam of a query.
 NEIGHBOURS, LOWEST, BUILD_BEAM, BEAM = 12, 24, 48, 48
 #: The audit: so many members, each moved to the threshold's edge, of which this share has to be found.
 AUDIT, RECALL = 256, 0.98
 #: Nodes expanded per step, and bytes for the marks of visited nodes.
 EXPAND, MARK_BYTES = 4, 32 << 20
+#: Queries whose beams are full of links are compared with all members, in blocks of so many values, once a wider
+#: beam would cost more: a step along links costs as much as so many values of a matrix product.
+STEP_COST, BLOCK_VALUES = 16, 4 << 20
 
 
 class Graph:
@@ -202,50 +205,68 @@ class Shard:
             found = hit = 0
             for start in range(0, len(q), self.graph.rows):
                 part = slice(start, start + self.graph.rows)
-                ids, _ = self.graph.search(q[part], beam)
-                mine = true[part]
+                ids, sims = self.graph.search(q[part], beam)
+                narrow = sims[:, -1] < self.threshold - 1e-3  # beams that are full of links get wider ones in any case
+                mine = true[part][narrow]
                 found += mine.sum()
-                hit += sum(mine[i, np.unique(row[row >= 0])].sum() for i, row in enumerate(ids))
+                hit += sum(mine[i, np.unique(row[row >= 0])].sum() for i, row in enumerate(ids[narrow]))
             if hit >= RECALL * found:
                 return beam
             beam *= 2
         return n
 
-    def _find(self, i: int) -> int:
-        parent = self.parent
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
+    def _roots(self, nodes: np.ndarray) -> np.ndarray:
+        """The smallest node of the group of each node, as far as groups are known."""
+        roots = self.parent[nodes]
+        while True:
+            above = self.parent[roots]
+            if (above == roots).all():
+                self.parent[nodes] = roots
+                return roots
+            roots = above
+
+    def _answered(self, id_: int, q: np.ndarray, members: np.ndarray) -> tuple[int, int, int] | None:
+        """The row of one query, whose members are joined; ``members`` are candidates to be verified."""
+        members = members[(self.exact[members] @ q >= self.threshold) & (self.ids[members] != id_)]
+        if not len(members):
+            return None
+        roots = np.unique(self._roots(members))
+        self.parent[roots] = roots[0]
+        return id_, int(self.copies[members].sum()), int(self.ids[roots[0]])
 
     def answer(self, ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """``(id, links, one linked id)`` of each query with links in this shard."""
+        n = len(self.ids)
         for start in range(0, len(q), self.graph.rows):
-            waiting, beam = np.arange(start, min(len(q), start + self.graph.rows)), self.beam
+            waiting, beam = np.arange(start, min(len(q), start + self.graph.rows)), min(self.beam, n)
             while len(waiting):
-                beam = min(beam, len(self.ids))
                 found, sims = self.graph.search(q[waiting], beam)
                 # a beam that holds links only may have missed some
-                full = (sims[:, -1] >= self.threshold - 1e-3) & (beam < len(self.ids))
                 close = sims >= self.threshold - 1e-3
+                full = close[:, -1] & (beam < n)
                 for i in np.flatnonzero(close.any(axis=1) & ~full).tolist():
-                    at = waiting[i]
-                    members = found[i][close[i]]
-                    members = members[(self.exact[members] @ q[at] >= self.threshold) & (self.ids[members] != ids[at])]
-                    if len(members):
-                        root = self._find(int(members[0]))
-                        for m in members[1:].tolist():
-                            other = self._find(m)
-                            if other != root:
-                                root, other = min(root, other), max(root, other)
-                                self.parent[other] = root
-                        yield int(ids[at]), int(self.copies[members].sum()), int(self.ids[members[0]])
-                waiting, beam = waiting[full], beam * 2
+                    if row := self._answered(int(ids[waiting[i]]), q[waiting[i]], found[i][close[i]]):
+                        yield row
+                waiting, beam = waiting[full], min(2 * beam, n)
+                if STEP_COST * LOWEST * beam >= n:
+                    yield from self._compared(ids, q, waiting)
+                    break
+
+    def _compared(self, ids: np.ndarray, q: np.ndarray, waiting: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Rows of queries that lie in large groups, by products with all members."""
+        block = max(1, BLOCK_VALUES // len(self.ids))
+        for start in range(0, len(waiting), block):
+            part = waiting[start : start + block]
+            sims = q[part].astype(np.float32) @ self.graph.x.T
+            for at, near in zip(part.tolist(), sims >= self.threshold - 1e-3, strict=True):
+                if row := self._answered(int(ids[at]), q[at], np.flatnonzero(near)):
+                    yield row
 
     def forest(self) -> Iterator[tuple[int, int, int]]:
         """Links among members that queries have joined, without a count."""
-        for i in np.flatnonzero(self.parent != np.arange(len(self.parent))).tolist():
-            yield int(self.ids[i]), 0, int(self.ids[self._find(i)])
+        roots = self._roots(np.arange(len(self.parent)))
+        for i in np.flatnonzero(roots != np.arange(len(roots))).tolist():
+            yield int(self.ids[i]), 0, int(self.ids[roots[i]])
 
 
 def _rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
@@ -278,7 +299,7 @@ def _answer_shards(threshold: float):
                 if (shards[start], dims[start]) != key:
                     yield from close()
                     key, shard, members = (shards[start], dims[start]), None, []
-                ids = part.column(part.schema.get_field_index("rep")).to_numpy(zero_copy_only=False)
+                ids = part.column(part.schema.get_field_index("node")).to_numpy(zero_copy_only=False)
                 if kinds[start] == 0:
                     members.append((ids, _unit(part), part.column(part.schema.get_field_index("copies")).to_numpy(zero_copy_only=False)))
                     continue
@@ -306,44 +327,50 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shards: int =
 
     Null or zero vectors, vectors with null or non-finite components and rows with a
     null id link with nothing. Vectors of different dimension do not link. Equal
-    vectors are one node of the graph, so copies do not grow it; repeated ids link
-    like others. An empty table gives an empty one; other columns are not read.
+    vectors are one node of the graph, so copies do not grow it. Nodes have numbers of
+    their own: rows that share an id but not a vector are judged each for itself. An empty
+    table gives an empty one; other columns are not read.
     """
     if threshold <= 0:
         raise ValueError("The threshold has to be positive.")
     given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector"))
     key = F.when(usable(F.col("vector")) & F.col("vec_id").isNotNull(), F.md5(F.col("vector").cast("string")))
     keyed = given.withColumn("key", key)
-    nodes = checkpointed(
+    grouped = (
         keyed.where("key is not null")
         .groupBy("key")
-        .agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+        .agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
     )
-    count = nodes.count()
-    shards = max(shards, -(-count // shard_rows))
+    nodes = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
+    count, width = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
+    # vectors in both precisions, and links
+    most = max(1, min(shard_rows, SHARD_BYTES // (12 * (width or 1) + 8 * LOWEST)))
+    shards = max(shards, -(-count // most))
     own = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    columns = ("shard", "dim", "kind", "rep", "copies", "vector")
+    columns = ("shard", "dim", "kind", "node", "copies", "vector")
     dim = F.size("vector").alias("dim")
-    members = nodes.select(own.alias("shard"), dim, F.lit(0).alias("kind"), "rep", "copies", "vector")
+    members = nodes.select(own.alias("shard"), dim, F.lit(0).alias("kind"), "node", "copies", "vector")
     every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    queries = nodes.select(every.alias("shard"), dim, F.lit(1).alias("kind"), "rep", F.lit(0).cast("long").alias("copies"), "vector")
+    queries = nodes.select(every.alias("shard"), dim, F.lit(1).alias("kind"), "node", F.lit(0).cast("long").alias("copies"), "vector")
     dealt = (
         members.unionByName(queries)
         .select(*columns)
         .repartitionByRange(shards, "shard")
-        .sortWithinPartitions("shard", "dim", "kind", "rep")
+        .sortWithinPartitions("shard", "dim", "kind", "node")
     )
     found = checkpointed(dealt.mapInArrow(_answer_shards(threshold), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found, "id", "other")
-    per_node = checkpointed(
-        nodes.select(F.col("key").alias("node"), "rep", "copies")
-        .join(links.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(components.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    linked = checkpointed(
+        nodes.select("node", "key", "low", "copies")
+        .join(links.withColumnRenamed("id", "node"), "node", "left")
+        .join(components.select(F.col("id").alias("node"), F.col("component").alias("root")), "node", "left")
+        .select(F.col("key").alias("own_key"), "low", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
+    lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
+    per_node = linked.join(lowest, "root").select("own_key", "links", "component")
     component = F.coalesce("component", "vec_id")
-    return keyed.drop("vector").join(per_node, F.col("key") == F.col("node"), "left").select(
+    return keyed.drop("vector").join(per_node, F.col("key") == F.col("own_key"), "left").select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
