@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from screenwright.functions.core import note, noted, paged
+
 BEGIN, END, OPEN, CLOSE = "<s>", "</s>", "[INST]", "[/INST]"
 #: Strings that steer the template; a backslash behind their first character disarms them inside texts.
 CONTROL = (BEGIN, END, OPEN, CLOSE)
@@ -29,20 +31,22 @@ def unescape(text: Column) -> Column:
     return F.replace(text, F.lit(GUARD * 2), F.lit(GUARD))
 
 
-def _merge(turns: Column) -> Column:
+def _block_starts(turns: Column) -> Column:
+    """Places (from 1) of the turns whose role differs from that of the turn in front."""
+    return F.filter(
+        F.sequence(F.lit(1), F.size(turns)),
+        lambda i: (i == 1) | (F.element_at(turns, i)["role"] != F.element_at(turns, F.greatest(i - 1, F.lit(1)))["role"]),
+    )
+
+
+def _merge(turns: Column, starts: Column) -> Column:
     """Blocks ``(role, texts)``: a turn joins the last block if the role is the same.
 
-    The fold notes block starts only; texts are sliced out afterwards, so that the
-    work stays in proportion to the number of turns.
+    Both arguments should be columns, not expressions, since each block reads them.
     """
-    n = F.size(turns)
-    starts = F.filter(
-        F.sequence(F.lit(1), n),
-        lambda i: (i == 1) | (F.element_at(turns, i)["role"] != F.element_at(turns, F.greatest(i - 1, F.lit(1)))["role"]),
-    )
 
     def block(start: Column, k: Column) -> Column:
-        stop = F.coalesce(F.try_element_at(starts, (k + 2).cast("int")), n + 1)
+        stop = F.coalesce(F.try_element_at(starts, (k + 2).cast("int")), F.size(turns) + 1)
         return F.struct(
             F.element_at(turns, start)["role"].alias("role"),
             F.transform(F.slice(turns, start, stop - start), lambda t: t["text"]).alias("texts"),
@@ -72,7 +76,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     )
     gathered = given.groupBy("conv").agg(F.array_sort(F.collect_list("t")).alias("turns"))
     # inline() keeps each step computed once: the optimiser does not copy a generator's input
-    blocks = gathered.select("conv", F.inline(F.array(F.struct(_merge(F.col("turns")).alias("blocks")))))
+    started = gathered.select("conv", "turns", F.inline(F.array(F.struct(_block_starts(F.col("turns")).alias("starts")))))
+    blocks = started.select("conv", F.inline(F.array(F.struct(_merge(F.col("turns"), F.col("starts")).alias("blocks")))))
     pieces = F.flatten(
         F.transform(
             F.col("blocks"),
@@ -93,20 +98,17 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
         )
     )
     cut = blocks.select("conv", F.inline(F.array(F.struct(pieces.alias("pieces")))))
-    ends = F.aggregate(
+    # spans are noted in a string, since an array that grows in a fold is copied as a whole at each step
+    noted_spans = F.aggregate(
         F.col("pieces"),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,length:long>>").alias("spans")),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("spans")),
         lambda acc, p: F.struct(
             (acc["at"] + F.length(p["s"])).alias("at"),
-            F.when(
-                p["loss"],
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), F.length(p["s"]).cast("long").alias("length")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
+            F.when(p["loss"], note(acc["spans"], acc["at"], F.length(p["s"]))).otherwise(acc["spans"]).alias("spans"),
         ),
         lambda acc: acc["spans"],
     )
+    ends = noted(noted_spans, "start", "length").cast("array<struct<start:bigint,length:bigint>>")
     out = cut.select(
         "conv",
         F.inline(
@@ -138,4 +140,8 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int")))), "")
+
+    def texts(cut) -> Column:
+        return F.transform(spans, lambda s: unescape(cut(s["start"].cast("int"), (s["start"] + s["length"]).cast("int"))))
+
+    return F.array_join(paged(formatted, texts), "")
