@@ -11,50 +11,39 @@ from __future__ import annotations
 
 import json
 import random
-from math import exp, lgamma
+from math import sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from screenwright.llm.common import checkpointed, free_names
 
-#: Most cells (partitions x shards) of a matrix; beyond it fewer, larger partitions are asked for.
+#: Most cells (partitions x shards) of a matrix; beyond it neighbouring partitions are taken together as one.
 MOST_CELLS = 4_000_000
 #: Rows of a shard that are numbered in one task, about.
 ROWS_PER_SLICE = 1_000_000
 
 
-def _log_choose(n: int, k: int) -> float:
-    return lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
-
-
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
     """How many of ``drawn`` items, taken without replacement, are good.
 
-    Inversion outwards from the mode; the expected work is the standard deviation.
+    Inversion over weights relative to the mode's, divided by their sum, so no digits are lost in factorials. Weights
+    beyond twelve standard deviations are smaller than a random number can tell.
     """
     low, high = max(0, drawn - bad), min(good, drawn)
     if low == high:
         return low
-    mode = min(high, max(low, (drawn + 1) * (good + 1) // (good + bad + 2)))
-    peak = exp(_log_choose(good, mode) + _log_choose(bad, drawn - mode) - _log_choose(good + bad, drawn))
-    left = rng.random() - peak
-    up = down = mode
-    p_up = p_down = peak
-    while left > 0 and (up < high or down > low):
-        if up < high:
-            p_up *= (good - up) * (drawn - up) / ((up + 1) * (bad - drawn + up + 1))
-            up += 1
-            left -= p_up
-            if left <= 0:
-                return up
-        if down > low:
-            p_down *= down * (bad - drawn + down) / ((good - down + 1) * (drawn - down + 1))
-            down -= 1
-            left -= p_down
-            if left <= 0:
-                return down
-    return mode
+    total = good + bad
+    mode = min(high, max(low, (drawn + 1) * (good + 1) // (total + 2)))
+    spread = sqrt(drawn * (good / total) * (bad / total) * (max(total - drawn, 1) / max(total - 1, 1)))
+    reach = int(12 * spread) + 50
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    k = np.arange(first, last, dtype=np.float64)
+    steps = np.log((good - k) / (k + 1)) + np.log((drawn - k) / (bad - drawn + k + 1))
+    logs = np.append(0.0, np.cumsum(steps))
+    sums = np.cumsum(np.exp(logs - logs[mode - first]))
+    return first + min(int(np.searchsorted(sums, rng.random() * sums[-1], side="right")), last - first)
 
 
 def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list[int]]:
@@ -81,7 +70,8 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 7) -> DataFram
     Shard sizes differ by one row at most and every assignment is equally likely. Null
     values, empty texts, ties and repeated rows are rows like any other; equal rows
     cannot be told apart and may change places. An empty table gives an empty one.
-    Columns named ``shard`` or ``slot`` are replaced. The keys that decide are written
+    Columns named ``shard`` or ``slot`` are replaced. Any number of partitions will do: where there are more than
+    ``MOST_CELLS`` allows, several are read by one task, without a shuffle. The keys that decide are written
     to the checkpoint folder, so a task that is run again decides the same.
     """
     if shards < 1:
@@ -91,14 +81,12 @@ def shuffle_into_shards(rows: DataFrame, shards: int, seed: int = 7) -> DataFram
     at, key, cuts, cell, base = free_names(rows, "at_", "key_", "cuts_", "cell_", "base_")
     # local permutation: the random key is a digest of the row and of its place
     placed = checkpointed(
-        rows.withColumn(key, F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
+        rows.coalesce(max(1, MOST_CELLS // shards)).withColumn(key, F.xxhash64(F.lit(seed), F.monotonically_increasing_id()))
         .sortWithinPartitions(key)
         .withColumn(at, F.monotonically_increasing_id())
     )
     partition, rank = F.shiftright(F.col(at), 33).cast("int"), F.col(at).bitwiseAND((1 << 33) - 1)
     sizes = {r["p"]: r["n"] for r in placed.groupBy(partition.alias("p")).agg(F.count("*").alias("n")).collect()}
-    if len(sizes) * shards > MOST_CELLS:
-        raise ValueError("Too many partitions for the communication matrix; coalesce the rows first.")
     order = sorted(sizes)
     matrix = communication_matrix([sizes[p] for p in order], shards, seed)
     table = []
