@@ -6,14 +6,11 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import table
+from screenwright.llm.common import remove, scratch, table
 from screenwright.llm.decontaminate import decontaminate
 from screenwright.llm.language import identify_language, learn_samples
 from screenwright.llm.line_dedup import dedup_lines
@@ -21,13 +18,17 @@ from screenwright.llm.ngram_join import keep_one
 from screenwright.llm.packing import pack
 
 
-def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with text that a language can be told of: only null texts and texts without a letter go.
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str, wanted: tuple[str, ...] | None = None, least: float = 0.0) -> DataFrame:
+    """Documents in a wanted language (all that are learned, unless told), with the predicted one where ``lang`` is null.
 
-    Those have score 0. A null score says that nothing could be learned, which is no reason to drop a row.
+    Documents go whose prediction is none of ``wanted`` or has a score of at most ``least``; null texts and texts
+    without a letter have score 0. A null score says that nothing could be learned, which is no reason to drop a row.
     """
     found = identify_language(docs, learn_samples(docs))
-    return found.where(F.col("score").isNull() | (F.col("score") > 0)).drop("lang_pred", "score")
+    right = (F.col("score") > least) & (F.lit(True) if wanted is None else F.col("lang_pred").isin(*wanted))
+    kept = found.where(F.col("score").isNull() | right)
+    told = F.when(F.col("score").isNotNull(), F.col("lang_pred"))
+    return kept.withColumn("lang", F.coalesce("lang", told)).select(*docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,21 +64,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the one all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if base is None:
-        if "cluster" in spark.sparkContext.master or not spark.sparkContext.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a folder all executors share.")
-        base = tempfile.mkdtemp(prefix="screenwright-pipeline-")
-    return f"{base.rstrip('/')}/pipeline-{uuid.uuid4()}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table ``documents``; the last stage's rows."""
-    docs = table(spark, sf_dir, "documents")
-    folder = _folder(spark)
+    """All stages over the whole table ``documents``; the last stage's rows.
+
+    What a stage wrote goes once the next one has been written; the rows returned read the last table.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
+    folder = scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
