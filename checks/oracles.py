@@ -695,7 +695,7 @@ ORACLES["top_features"] = f"WITH {_MODEL}, {extreme_terms(20)} SELECT side, term
 ORACLES["top_features_report"] = f"WITH {_MODEL}, {extreme_terms(30)} SELECT side, pos, term, round(coefficient, 9) AS weight FROM sides"
 
 
-ORACLES["screened_with_model"] = f"""
+ORACLES["screened_with_model"] = rf"""
 WITH RECURSIVE {chunk_ctes(f"SELECT doc_id, {normal('text')} AS text FROM ({SEEDED_SQL})", 300, 50, 20)},
     texts AS (SELECT * FROM chunked), {raw_spans(DEFAULT_RULES, "rule_scanner", "chunk_id")},
     document_spans AS (
