@@ -1,28 +1,40 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 An item that occurs in a text with at most k edits, cut into k + 1 pieces, has a piece
-that occurs unchanged. All pieces are looked up at once by an Aho-Corasick automaton;
-the surroundings of each hit are verified by Myers' bit-parallel edit distance.
+that occurs unchanged. Pieces are a table of 64-bit hashes. A bit map of bounded size
+lets the tasks that read the texts send on only places where a piece may stand; these
+are joined with the pieces. Places of one item in one text that could touch are merged
+into one stretch, and Myers' bit-parallel edit distance runs once over each stretch.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import slices, texts_of
+from screenwright.llm.common import checkpointed, remove, scratch, slices, texts_of
 
 #: One edit is allowed for each so many characters of the normalised item.
 CHARS_PER_EDIT = 16
-#: Characters of items that are looked up in one pass; more items take more passes.
-BLOCK_CHARS = 8_000_000
+#: Characters of items whose pieces share one bit map; more items take more passes over the texts.
+BLOCK_CHARS = 32_000_000
+#: Bits of a bit map for each piece, and at most (32 MB).
+PIECE_BITS, MOST_BITS = 64, 1 << 28
+#: Places in texts and pieces in items are noted in steps of so many characters.
+STEP = 64
+#: Characters that are hashed at a time.
+SEGMENT = 1 << 20
 
 _OTHER = re.compile(r"[\W_]+")
+_U = np.uint64
+_BASE, _BASE2, _BASE4 = (_U(pow(0x9E3779B97F4A7C15, n, 1 << 64)) for n in (1, 2, 4))
+_GRAM = 8
 
 
 def normalise(text: str) -> str:
@@ -92,128 +104,290 @@ def bits_of(pattern: str) -> dict[str, int]:
     return bits
 
 
-class Items:
-    """Normalised benchmark items, their pieces and bit tables."""
-
-    def __init__(self, items: list[tuple[int, str]], chars_per_edit: int):
-        import ahocorasick
-
-        self.items = [(item_id, text, budget(len(text), chars_per_edit)) for item_id, raw in items if (text := normalise(raw))]
-        self.bits = [(bits_of(text), bits_of(text[::-1])) for _, text, _ in self.items]
-        where: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for number, (_, text, edits) in enumerate(self.items):
-            for offset, piece in pieces(text, edits):
-                where[piece].append((number, offset))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in where.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        self.automaton.make_automaton()
-
-    def find(self, text: str) -> list[tuple[int, int, int, int]]:
-        """``(item_id, begin, end, distance)`` in a normalised text: for each item its nearest occurrence, the first of several."""
-        if not self.items:
-            return []
-        hits: dict[int, list[int]] = defaultdict(list)
-        for last, (length, places) in self.automaton.iter(text):
-            for number, offset in places:
-                hits[number].append(last + 1 - length - offset)
-        found = []
-        for number, starts in hits.items():
-            item_id, item, edits = self.items[number]
-            best = None
-            reached = -1
-            for start in sorted(set(starts)):
-                low, high = max(0, start - edits), min(len(text), start + len(item) + edits)
-                if best and best[0] == 0 or reached >= high:
-                    continue
-                if text.startswith(item, max(0, start)) and start >= 0:
-                    distance, end = 0, start + len(item)
-                else:
-                    distance, end = myers(self.bits[number][0], len(item), text[low:high])
-                    end += low
-                if edits == 0 and (text[end : end + 1].isalnum() or text[: max(0, end - len(item))][-1:].isalnum()):
-                    continue  # a short item has to stand between word ends
-                if distance <= edits and (best is None or distance < best[0]):
-                    best = (distance, end)
-            if best:
-                distance, end = best
-                low = max(0, end - len(item) - edits)
-                _, back = myers(self.bits[number][1], len(item), text[low:end][::-1])
-                found.append((item_id, end - back, end, distance))
-        return found
-
-
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple[int, str]]]:
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
-        if size > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row["item_id"], row["text"]))
-        size += len(row["text"])
-    return blocks
+def nearest(item: str, edits: int, stretch: str, first: bool, last: bool) -> tuple[int, int, int] | None:
+    """``(distance, end, begin)`` of the nearest occurrence within the budget, the first of several.
 
+    Without a budget an occurrence has to stand between word ends; ``first`` and ``last``
+    tell whether the stretch begins and ends where its text does.
+    """
+    at = stretch.find(item)
+    if edits == 0:
+        while at >= 0:
+            end = at + len(item)
+            left = first if at == 0 else stretch[at - 1] == " "
+            right = last if end == len(stretch) else stretch[end] == " "
+            if left and right:
+                return 0, end, at
+            at = stretch.find(item, at + 1)
+        return None
+    if at >= 0:
+        return 0, at + len(item), at
+    distance, end = myers(bits_of(item), len(item), stretch)
+    if distance > edits:
+        return None
+    _, back = myers(bits_of(item[::-1]), len(item), stretch[max(0, end - len(item) - edits) : end][::-1])
+    return distance, end, end - back
 
-def find_items(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``doc_id, item_id, begin, end, distance, budget_edits``, one row per document and item found in it.
 
-    ``begin`` and ``end`` are code points of the original text. Items go out in blocks
-    of bounded size, each searched in all texts. Null and empty texts hold nothing;
-    null and empty items are found nowhere; repeated documents or items are reported
-    each; documents with a null id too. Items shorter than ``chars_per_edit`` have to
-    occur unchanged between word ends. Other columns are not read.
-    """
-    out = None
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    for block in _blocks(benchmark, block_chars):
-        part = docs.mapInArrow(_search(block, chars_per_edit), "doc_id long, item_id long, begin long, end long, distance int, budget_edits int")
-        out = part if out is None else out.unionByName(part)
-    return out
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-_built: dict[int, Items] = {}
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(33))) * _U(0xFF51AFD7ED558CCD)
+    return h ^ (h >> _U(32))
 
 
-def _items(block: list[tuple[int, str]], chars_per_edit: int) -> Items:
-    """The automaton of a block, built once per process."""
-    key = hash((tuple(block), chars_per_edit))
-    if key not in _built:
-        _built.clear()
-        _built[key] = Items(block, chars_per_edit)
-    return _built[key]
+def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of single characters, and of the eight that begin at each place."""
+    one = (codes.astype(_U) + _U(1)) * _U(0xC4CEB9FE1A85EC53)
+    two = one[:-1] * _BASE + one[1:]
+    four = two[:-2] * _BASE2 + two[2:]
+    return one, four[:-4] * _BASE4 + four[4:]
 
 
-def _search(block: list[tuple[int, str]], chars_per_edit: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = _items(block, chars_per_edit)
-        edits = {item_id: k for item_id, _, k in items.items}
+def _piece_keys(one: np.ndarray, eight: np.ndarray, starts: np.ndarray, length: int, whole: bool) -> np.ndarray:
+    """Hashes of the pieces of one length at the given places. Whole items are told apart from parts."""
+    h = np.zeros(len(starts), _U)
+    if length < _GRAM:
+        for j in range(length):
+            h = h * _BASE + one[starts + j]
+    else:
+        for j in [*range(0, length - _GRAM, _GRAM), length - _GRAM]:
+            h = _mix(h * _BASE + eight[starts + j])
+    return _mix(h + _U(2 * length + whole))
+
+
+def _gates(eight: np.ndarray) -> np.ndarray:
+    """What the first eight characters of a piece leave in the bit map."""
+    return _mix(eight + _U(1))
+
+
+def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    shift = _U(64 - (bits.bit_length() - 1))
+    return (keys >> shift).astype(np.int64), ((keys * _BASE) >> shift).astype(np.int64)
+
+
+def _inside(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    a, b = _places(keys, len(bitmap) * 8)
+    return ((bitmap[a >> 3] >> (a & 7).astype(np.uint8)) & (bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+_ITEM = "item_id long, item string, edits int, block int"
+_PIECE = "key long, gate long, number long, item_chars int, edits int, step int, length int, whole boolean, block int"
+_SUSPECT = "doc_id long, text_id string, text string, block int, keys array<long>, steps array<int>"
+
+
+def _item_table(benchmark: DataFrame, chars_per_edit: int, block_chars: int) -> DataFrame:
+    """Normalised items, numbered; items without a letter or digit are left out."""
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
-                found = items.find(normalise(text)) if text else []
-                if found:
-                    _, at = normalise_at(text)
-                    rows.extend((doc_id, i, at[a], at[b - 1] + 1, d, edits[i]) for i, a, b, d in found)
+            rows = [(i, t, budget(len(t), chars_per_edit), 0) for i, raw in zip(part.column(0).to_pylist(), texts_of(part), strict=True) if (t := normalise(raw))]
             if rows:
-                columns = zip(*rows, strict=True)
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "begin", "end", "distance", "budget_edits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), [pa.int64(), pa.string(), pa.int32(), pa.int32()], strict=True)], ["item_id", "item", "edits", "block"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").mapInArrow(clean, _ITEM)
+    items = checkpointed(items.withColumn("number", F.monotonically_increasing_id()))
+    size, rows = items.agg(F.sum(F.length("item").cast("long")), F.count("*")).first()
+    blocks = min(-(-(size or 0) // block_chars), rows) or 1
+    return items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"))
+
+
+def _piece_table(items: DataFrame) -> DataFrame:
+    """One row per piece of each item, written out."""
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()]
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "item", max_bytes=1 << 20):
+            columns: list[list[np.ndarray]] = [[] for _ in names]
+            for number, item, edits, block in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                cuts = pieces(item, edits)
+                offsets, lengths = np.array([a for a, _ in cuts]), np.array([len(p) for _, p in cuts])
+                one, eight = _grams(_codes(item + "\n" * _GRAM))
+                keys, gates = np.zeros(len(cuts), _U), np.zeros(len(cuts), _U)
+                for length in np.unique(lengths).tolist():
+                    same = lengths == length
+                    keys[same] = _piece_keys(one, eight, offsets[same], length, edits == 0)
+                    gates[same] = _gates(eight[offsets[same]]) if length >= _GRAM else keys[same]
+                n = np.ones(len(cuts), np.int64)
+                for column, values in zip(columns, [keys.view(np.int64), gates.view(np.int64), n * number, n * len(item), n * edits, offsets // STEP, lengths, n == (edits == 0), n * block], strict=True):
+                    column.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    return checkpointed(items.select("number", "item", "edits", "block").mapInArrow(cut, _PIECE))
+
+
+def _bitmap(part: DataFrame) -> bytes:
+    """The bit map of one block's pieces, at most ``MOST_BITS / 8`` bytes however many pieces there are."""
+    bits = 1 << 10
+    wanted = part.count() * PIECE_BITS
+    while bits < min(wanted, MOST_BITS):
+        bits *= 2
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.concatenate([batch.column(i).to_numpy().view(_U) for i in (0, 1)])
+            at = np.unique(np.concatenate(_places(keys, bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bit"])
+
+    words = part.select("key", "gate").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    whole = np.zeros(bits // 32, np.uint32)
+    whole[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return whole.astype("<u4").tobytes()
+
+
+def _suspected(bitmap, kinds: list[tuple[int, bool]], block: int) -> Callable:
+    """Texts with the steps at which a piece may stand, by the bit map."""
+    reach = max((length for length, _ in kinds), default=0) + _GRAM
+
+    def places(codes: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for base in range(1, len(codes) - reach, SEGMENT):
+            part = codes[base : base + SEGMENT + reach]
+            before = codes[base - 1 : base - 1 + len(part)]
+            one, eight = _grams(part)
+            size = min(SEGMENT, len(part) - reach)
+            gated = np.flatnonzero(_inside(bits, _gates(eight[:size]))) if any(length >= _GRAM for length, _ in kinds) else None
+            for length, whole in kinds:
+                starts = gated if length >= _GRAM else np.arange(size)
+                if whole:
+                    starts = starts[(before[starts] <= 32) & (part[starts + length] <= 32)]
+                keys = _piece_keys(one, eight, starts, length, whole)
+                found = _inside(bits, keys)
+                yield starts[found] + base, keys[found]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.frombuffer(bitmap.value, np.uint8)
+        for part in slices(batches, "text"):
+            texts = texts_of(part)
+            clean = [normalise(t) for t in texts]
+            ends = np.cumsum([1] + [len(t) + 1 for t in clean])
+            found = list(places(_codes("\n" + "\n".join(clean) + "\n" * (reach + 1)), bits))
+            at = np.concatenate([a for a, _ in found] or [np.zeros(0, np.int64)])
+            if not len(at):
+                continue
+            keys = np.concatenate([k for _, k in found])
+            row = np.searchsorted(ends, at, "right") - 1
+            spots = np.unique(np.rec.fromarrays([row, keys, (at - ends[row]) // STEP], names="row,key,step"))
+            rows, first, sizes = np.unique(spots.row, return_index=True, return_counts=True)
+            ids = part.column(0).take(pa.array(rows))
+            offsets = pa.array(np.append(first, len(spots)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ids,
+                    pa.array([hashlib.sha256(texts[r].encode()).hexdigest() for r in rows]),
+                    pa.array([texts[r] for r in rows]),
+                    pa.array(np.full(len(rows), block), pa.int32()),
+                    pa.ListArray.from_arrays(offsets, pa.array(spots.key.view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(spots.step, pa.int32())),
+                ],
+                [c.split()[0] for c in _SUSPECT.split(", ")],
+            )
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs`` in which no item is found, unchanged. Null and empty texts stay; nothing is shuffled."""
+def _clean_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in slices(batches, "text"):
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([normalise(t) for t in texts_of(part)])], ["text_id", "clean"])
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    for part in slices(batches, "stretch"):
+        rows = []
+        for text_id, number, item, edits, low, last, stretch in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            found = nearest(item, edits, stretch, low == 0, last)
+            if found:
+                rows.append((text_id, number, found[0], low + found[1], low + found[2]))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["text_id", "number", "distance", "end", "begin"])
+
+
+def _stretches(suspects: DataFrame, parts: DataFrame) -> DataFrame:
+    """``text_id, number, low, high``: where items may stand, in characters of the normalised text, none touching another."""
+    spots = suspects.select("text_id", F.explode(F.arrays_zip("keys", "steps")).alias("s")).select("text_id", F.col("s.keys").alias("key"), F.col("s.steps").alias("text_step")).distinct()
+    parts = parts.select("key", "number", "item_chars", "edits", "step").distinct()
+    # a piece at step t of the text and s of the item: the item begins within STEP - 1 characters of (t - s) * STEP
+    start = (F.col("text_step") - F.col("step")).cast("long") * STEP
+    low = F.greatest(start - STEP - 2 * F.col("edits"), F.lit(0).cast("long"))
+    high = start + STEP + F.col("edits") + F.col("item_chars") + 1
+    each = spots.join(parts, "key").select("text_id", "number", low.alias("low"), high.alias("high")).distinct()
+    order = Window.partitionBy("text_id", "number").orderBy("high")
+    opens = F.coalesce((F.col("low") > F.lag("high").over(order)).cast("int"), F.lit(0))
+    runs = each.withColumn("opens", opens).withColumn("run", F.sum("opens").over(order))
+    return runs.groupBy("text_id", "number", "run").agg(F.min("low").alias("low"), F.max("high").alias("high")).drop("run")
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int, block_chars: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """The suspected rows, what was found in each of their texts, the items, and the folder that holds the first two."""
+    spark = docs.sparkSession
+    items = _item_table(benchmark, chars_per_edit, block_chars)
+    parts = _piece_table(items)
+    folder = scratch(spark, "decontaminate")
+    kinds: dict[int, list[tuple[int, bool]]] = {}
+    for row in parts.select("block", "length", "whole").distinct().collect():  # lengths up to chars_per_edit, for each block
+        kinds.setdefault(row["block"], []).append((row["length"], row["whole"]))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text <> ''")
+    suspects = spark.createDataFrame([], _SUSPECT)
+    for block, lengths in sorted(kinds.items()):
+        sent = spark.sparkContext.broadcast(_bitmap(parts.where(F.col("block") == block)))
+        suspects = suspects.unionByName(narrow.mapInArrow(_suspected(sent, lengths, block), _SUSPECT))
+    suspects.write.parquet(f"{folder}/suspects")
+    suspects = spark.read.schema(_SUSPECT).parquet(f"{folder}/suspects")
+
+    where = _stretches(suspects, parts)
+    texts = suspects.select("text_id", "text").dropDuplicates(["text_id"]).mapInArrow(_clean_texts, "text_id string, clean string")
+    size = (F.col("high") - F.col("low")).cast("int")
+    shown = where.join(texts, "text_id").select("text_id", "number", "low", F.substring("clean", (F.col("low") + 1).cast("int"), size).alias("stretch"), (F.col("high") >= F.length("clean")).alias("last"))
+    rows = shown.join(items.select("number", "item", "edits"), "number").select("text_id", "number", "item", "edits", "low", "last", "stretch")
+    found = rows.mapInArrow(_verify, "text_id string, number long, distance int, end long, begin long")
+    best = found.groupBy("text_id", "number").agg(F.min(F.struct("distance", "end", "begin")).alias("b")).select("text_id", "number", "b.*")
+    best.write.parquet(f"{folder}/found")
+    return suspects, spark.read.parquet(f"{folder}/found"), items, folder
+
+
+def _source_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    for part in slices(batches, "text"):
+        rows = []
+        for text_id, found, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), texts_of(part), strict=True):
+            _, at = normalise_at(text)
+            rows.extend((text_id, f["number"], f["distance"], at[f["begin"]], at[f["end"] - 1] + 1) for f in found)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["text_id", "number", "distance", "begin", "end"])
 
-    def keep(block: list[tuple[int, str]]):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = _items(block, chars_per_edit)
-            for part in slices(batches, "text"):
-                yield part.filter(pa.array([not (text and items.find(normalise(text))) for text in texts_of(part)], pa.bool_()))
 
-        return run
+def find_items(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``doc_id, item_id, begin, end, distance, budget_edits``, one row per document and item found in it.
 
-    for block in _blocks(benchmark, block_chars):
-        docs = docs.mapInArrow(keep(block), docs.schema)
-    return docs
+    ``begin`` and ``end`` are code points of the original text: the nearest occurrence,
+    the first to end of several. Equal texts are searched once. Null and empty texts
+    hold nothing; null and empty items are found nowhere; repeated documents or items
+    are reported each; documents with a null id too. Items shorter than
+    ``chars_per_edit`` have to occur unchanged between word ends. Other columns are not
+    read. The texts of suspected documents are written below the checkpoint folder and
+    removed before this returns.
+    """
+    suspects, found, items, folder = _search(docs, benchmark, chars_per_edit, block_chars)
+    texts = suspects.select("text_id", "text").dropDuplicates(["text_id"])
+    grouped = found.groupBy("text_id").agg(F.collect_list(F.struct("number", "distance", "begin", "end")).alias("found"))
+    placed = grouped.join(texts, "text_id").select("text_id", "found", "text").mapInArrow(_source_places, "text_id string, number long, distance int, begin long, end long")
+    named = placed.join(items.select("number", "item_id", "edits", "block"), "number")
+    out = suspects.select("doc_id", "text_id", "block").join(named, ["text_id", "block"])
+    out = checkpointed(out.select("doc_id", "item_id", "begin", "end", "distance", F.col("edits").alias("budget_edits")))
+    remove(docs.sparkSession, folder)
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, chars_per_edit: int = CHARS_PER_EDIT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of ``docs`` in which no item is found, unchanged. Null and empty texts stay.
+
+    The digests of texts with an item are a written table, so that Spark knows their
+    size: few are sent to all tasks and no document is shuffled, many are shuffled.
+    ``docs`` is read twice.
+    """
+    _, found, _, folder = _search(docs, benchmark, chars_per_edit, block_chars)
+    remove(docs.sparkSession, f"{folder}/suspects")
+    dirty = found.select("text_id").distinct()
+    return docs.join(dirty, F.sha2(docs["text"].cast("binary"), 256) == dirty["text_id"], "left_anti")
