@@ -23,9 +23,9 @@ from screenwright.llm.common import checkpointed, remove, scratch, slices, texts
 #: One edit is allowed for each so many characters of the normalised item.
 CHARS_PER_EDIT = 16
 #: Characters of items whose pieces share one bit map; more items take more passes over the texts.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 16_000_000
 #: Bits of a bit map for each piece, and at most (32 MB).
-PIECE_BITS, MOST_BITS = 64, 1 << 28
+PIECE_BITS, MOST_BITS = 128, 1 << 28
 #: Places in texts and pieces in items are noted in steps of so many characters.
 STEP = 64
 #: Characters that are hashed at a time.
@@ -163,14 +163,21 @@ def _gates(eight: np.ndarray) -> np.ndarray:
     return _mix(eight + _U(1))
 
 
-def _places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _places(keys: np.ndarray, bits: int, probes: int) -> list[np.ndarray]:
+    """Bits of a key, so many."""
     shift = _U(64 - (bits.bit_length() - 1))
-    return (keys >> shift).astype(np.int64), ((keys * _BASE) >> shift).astype(np.int64)
+    return [((keys * _U(pow(int(_BASE), n, 1 << 64))) >> shift).astype(np.int64) for n in range(probes)]
 
 
-def _inside(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    a, b = _places(keys, len(bitmap) * 8)
-    return ((bitmap[a >> 3] >> (a & 7).astype(np.uint8)) & (bitmap[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+#: Bits that are set for a gate, and for a piece.
+_GATE, _KEY = 2, 4
+
+
+def _inside(bitmap: np.ndarray, keys: np.ndarray, probes: int) -> np.ndarray:
+    seen = np.ones(len(keys), np.uint8)
+    for at in _places(keys, len(bitmap) * 8, probes):
+        seen &= bitmap[at >> 3] >> (at & 7).astype(np.uint8)
+    return seen.astype(bool)
 
 
 _ITEM = "item_id long, item string, edits int, block int"
@@ -228,8 +235,8 @@ def _bitmap(part: DataFrame) -> bytes:
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = np.concatenate([batch.column(i).to_numpy().view(_U) for i in (0, 1)])
-            at = np.unique(np.concatenate(_places(keys, bits)))
+            keys, gates = (batch.column(i).to_numpy().view(_U) for i in (0, 1))
+            at = np.unique(np.concatenate(_places(keys, bits, _KEY) + _places(gates, bits, _GATE)))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "bit"])
 
     words = part.select("key", "gate").mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -248,13 +255,13 @@ def _suspected(bitmap, kinds: list[tuple[int, bool]], block: int) -> Callable:
             before = codes[base - 1 : base - 1 + len(part)]
             one, eight = _grams(part)
             size = min(SEGMENT, len(part) - reach)
-            gated = np.flatnonzero(_inside(bits, _gates(eight[:size]))) if any(length >= _GRAM for length, _ in kinds) else None
+            gated = np.flatnonzero(_inside(bits, _gates(eight[:size]), _GATE)) if any(length >= _GRAM for length, _ in kinds) else None
             for length, whole in kinds:
                 starts = gated if length >= _GRAM else np.arange(size)
                 if whole:
                     starts = starts[(before[starts] <= 32) & (part[starts + length] <= 32)]
                 keys = _piece_keys(one, eight, starts, length, whole)
-                found = _inside(bits, keys)
+                found = _inside(bits, keys, _KEY)
                 yield starts[found] + base, keys[found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
