@@ -9,6 +9,7 @@ name, so that a short sample is not beaten for its shortness; the cheapest parse
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ SAMPLE_DOCS, SAMPLE_CHARS, PLACES = 64, 600, 6
 MODEL_BYTES = 128 << 20
 #: Symbols of a text that are parsed as one row. Phrases end at the row's end.
 ROW = 256
-#: Letters with a symbol of their own, and symbols shared by all other letters.
-LETTERS, SHARED = 88, 7
+#: Letters of the samples with a symbol of their own; each other one is a pair of symbols of its own.
+LETTERS = 88
 UNKNOWN = "und"
 
 
@@ -62,7 +63,12 @@ def learn_samples(docs: DataFrame, max_docs: int = SAMPLE_DOCS, max_chars: int =
 
 
 class Symbols:
-    """Numbers for characters: 0 between words, then the frequent letters, then shared ones."""
+    """Numbers for characters: 0 between words, then the frequent letters, the halves of pairs, one for letters no sample holds.
+
+    The halves grow with the square root of the letters that the samples hold, so scripts with
+    thousands of letters are told apart letter by letter in a table of bounded width. Numbers are
+    bytes; past ``LETTERS`` + 82 * 82 letters the rarest pairs are shared.
+    """
 
     def __init__(self, texts: list[str]):
         counts: dict[str, int] = {}
@@ -70,19 +76,31 @@ class Symbols:
             for c in text.lower():
                 if c.isalpha():
                     counts[c] = counts.get(c, 0) + 1
-        frequent = sorted(counts, key=lambda c: (-counts[c], c))[:LETTERS]
-        number = {c: i + 1 for i, c in enumerate(frequent)}
-        self.count = 1 + len(frequent) + SHARED
-        self.of = np.zeros(0x110000, np.uint8)
+        letters = sorted(counts, key=lambda c: (-counts[c], c))
+        single, paired = letters[:LETTERS], letters[LETTERS:]
+        half = min(82, math.isqrt(len(paired) - 1) + 1) if paired else 0
+        pairs = len(single) + 1
+        number = {c: (i + 1, 0) for i, c in enumerate(single)}
+        number.update({c: (pairs + i // half % half, pairs + half + i % half) for i, c in enumerate(paired)})
+        self.count = pairs + 2 * half + 1
+        self.of, self.then = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint8)
         for code in range(0x110000):
             c = chr(code)
             if c.isalpha():
-                self.of[code] = number.get(c.lower()[0]) or 1 + len(frequent) + code % SHARED
+                self.of[code], self.then[code] = number.get(c.lower()[0], (self.count - 1, 0))
+        self.paired = bool(paired)
 
     def encode(self, text: str) -> np.ndarray:
         """Symbols of a text; what stands between letters is one symbol."""
-        out = self.of[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-        return out[(out > 0) | np.append(True, out[:-1] > 0)] if len(out) else out
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.of[codes]
+        if not len(out):
+            return out
+        kept = (out > 0) | np.append(True, out[:-1] > 0)
+        if self.paired:
+            then = self.then[codes]
+            return np.stack([out, then], 1).ravel()[np.stack([kept, then > 0], 1).ravel()]
+        return out[kept]
 
 
 def suffix_automaton(symbols: list[int], count: int) -> np.ndarray:
