@@ -181,13 +181,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
     A null or empty text is one empty line and becomes the empty text. Texts of any
     length are handled whole; rows that share a doc_id lose the same lines; an empty
-    table gives an empty one. Existing columns of the two names are replaced.
+    table gives an empty one. Existing columns of the two names, in any case, are replaced.
     """
     lists = repeated_lines(docs, min_chars, min_docs)
-    (digests,) = free_names(docs, "digests_")
-    key, = free_names(docs, "doc_key_")
+    digests, key = free_names(docs, "digests_", "doc_key_")
     lists = lists.select(F.col("doc_id").alias(key), F.col("digests").alias(digests))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    columns = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
     joined = docs.select(*columns).join(lists, F.col("doc_id").eqNullSafe(F.col(key)), "left").drop(key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,10 +296,10 @@ def keep_one(docs: DataFrame, **settings) -> DataFrame:
     goes only for itself: other texts under its id have their own group. Rows that link
     with nothing stay, rows with null ids too.
     """
-    dropped = _judged(docs, **settings).where("not kept").select(F.col("doc_id").alias("dropped_id_"), F.col("digest").alias("dropped_digest_")).distinct()
-    digest, turn = free_names(docs, "digest_", "turn_")
+    digest, turn, gone_id, gone_digest = free_names(docs, "digest_", "turn_", "gone_id_", "gone_digest_")
+    dropped = _judged(docs, **settings).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("digest").alias(gone_digest)).distinct()
     given = docs.withColumn(digest, _digest())
-    rest = given.join(dropped, (given["doc_id"] == F.col("dropped_id_")) & (given[digest] == F.col("dropped_digest_")), "left_anti")
+    rest = given.join(dropped, (F.col("doc_id") == F.col(gone_id)) & (F.col(digest) == F.col(gone_digest)), "left_anti")
     # the rows are dealt by doc_id and digest already, so numbering equal ones shuffles nothing
     number = F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(digest))
     numbered = rest.withColumn(turn, number)
