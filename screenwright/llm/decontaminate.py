@@ -29,7 +29,7 @@ PIECE_BITS, MOST_BITS = 128, 1 << 28
 #: Places in texts and pieces in items are noted in steps of so many characters.
 STEP = 64
 #: Characters that are hashed at a time.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 17
 
 _OTHER = re.compile(r"[\W_]+")
 _U = np.uint64
@@ -266,7 +266,7 @@ def _suspected(bitmap, kinds: list[tuple[int, bool]], block: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(bitmap.value, np.uint8)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", max_bytes=1 << 20):
             texts = texts_of(part)
             clean = [normalise(t) for t in texts]
             ends = np.cumsum([1] + [len(t) + 1 for t in clean])
