@@ -27,6 +27,8 @@ N, THRESHOLD = 5, 0.8
 RECALL, ROWS = 0.9999, 5
 #: Classes of a candidate group that are compared with each other in one task; a larger group is cut into such blocks, each pair of which is a task's work.
 BLOCK = 256
+#: Bytes of texts whose n-grams are made at a time; a longer text is a slice by itself.
+SLICE_BYTES = 1 << 18
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -53,7 +55,7 @@ _powers: list[np.ndarray] = []
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of them."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 2 * SLICE_BYTES)
         _powers[:] = [np.cumprod(np.concatenate([np.ones(1, _U), np.full(size - 1, b, _U)])) for b in (_BASE, _INVERSE)]
     return _powers[0], _powers[1]
 
@@ -115,7 +117,7 @@ def _sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """``(doc_id, key, bands)`` of each row; key and bands are null where there is no n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", max_bytes=1 << 20):
+        for part in slices(batches, "text", max_bytes=SLICE_BYTES):
             grams, counts = shingles(texts_of(part), n)
             some = np.flatnonzero(counts)
             hashes = band_hashes(grams, counts[some], bands, rows) if len(some) else np.zeros((0, bands), np.int64)
@@ -246,7 +248,7 @@ def _judged(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     members = checkpointed(members)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", max_bytes=1 << 20):
+        for part in slices(batches, "text", max_bytes=SLICE_BYTES):
             grams, counts = shingles(texts_of(part), n)
             ends = np.cumsum(counts)
             sets = [grams[e - c : e].tobytes() for e, c in zip(ends, counts, strict=True)]
