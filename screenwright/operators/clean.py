@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+from collections.abc import Iterator
 from email import policy as mail_policy
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from screenwright.functions import mail
 from screenwright.functions.html import raw_title, visible_text
 from screenwright.functions.normalize import normalized_text
+from screenwright.operators.arrow import text_slices
 from screenwright.operators.normalize import compose_unicode
 
 _HELD = "__composed"
@@ -20,7 +22,7 @@ _TITLE = "__title"
 
 
 @F.arrow_udf(T.StringType())
-def _multipart_body(raw: pa.Array) -> pa.Array:
+def _multipart_body(raws: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """First text/plain part as it stands in the message, else the message itself."""
 
     def plain_part(text: str) -> str:
@@ -30,7 +32,8 @@ def _multipart_body(raw: pa.Array) -> pa.Array:
         payloads = (p.get_payload(decode=False) for p in plain)
         return next((payload for payload in payloads if isinstance(payload, str)), text)
 
-    return pa.array([None if text is None else plain_part(text) for text in raw.to_pylist()], pa.string())
+    for part in text_slices(raws):
+        yield pa.array([None if text is None else plain_part(text) for text in part.to_pylist()], pa.string())
 
 
 def extract_email_body(df: DataFrame, raw: str = "text", into: str = "body") -> DataFrame:

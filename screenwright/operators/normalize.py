@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from screenwright.functions.normalize import normalized
+from screenwright.operators.arrow import struct_slices
 
 # The pre-check knows this many of the longest runs of composed characters, and
 # every run in the blocks of punctuation and kana. More runs spare more texts
@@ -20,10 +22,19 @@ STABLE_RUNS = 24
 COMMON_BLOCKS = ((0x2010, 0x206F), (0x3040, 0x30FF))
 
 
-@F.arrow_udf(T.StringType())
-def _nfkc(text: pa.Array) -> pa.Array:
-    normalize = unicodedata.normalize
-    return pa.array([t if t is None else normalize("NFKC", t) for t in text.to_pylist()], pa.string())
+def _nfkc(*texts: Column) -> list[Column]:
+    """The texts' NFKC forms, by one Python stage for all of them."""
+    names = [f"c{at}" for at in range(len(texts))]
+
+    @F.arrow_udf(T.StructType([T.StructField(name, T.StringType()) for name in names]))
+    def composed(rows: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        normalize = unicodedata.normalize
+        for part in struct_slices(rows):
+            made = [[t if t is None else normalize("NFKC", t) for t in part.field(at).to_pylist()] for at in range(len(names))]
+            yield pa.StructArray.from_arrays([pa.array(column, pa.string()) for column in made], names=names)
+
+    found = composed(F.struct(*(text.alias(name) for text, name in zip(texts, names, strict=True))))
+    return [found[name] for name in names]
 
 
 @lru_cache(maxsize=1)
@@ -68,10 +79,8 @@ def compose_unicode(df: DataFrame, *columns: str) -> DataFrame:
     other rows pass a null, so ASCII data never pays for the transfer.
     """
     check = may_change_under_nfkc()
-    composed = {
-        name: F.coalesce(_nfkc(F.when(F.col(name).rlike(check), F.col(name))), F.col(name)) for name in columns
-    }
-    return df.withColumns(composed)
+    found = _nfkc(*(F.when(F.col(name).rlike(check), F.col(name)) for name in columns))
+    return df.withColumns({name: F.coalesce(text, F.col(name)) for name, text in zip(columns, found, strict=True)})
 
 
 def normalize(df: DataFrame, text: str = "text", into: str = "norm", collapse_runs: bool = True) -> DataFrame:
