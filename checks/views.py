@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from screenwright.operators import tfidf
 from screenwright.operators.classifier import TfidfModel
+from screenwright.operators.lineage import cut_lineage
 from screenwright.sources.readers import read_parquet, spread
 
 SEEDS = (
@@ -120,7 +121,9 @@ def formula_model(spark: SparkSession, sf_dir: str) -> TfidfModel:
     documents = table(spark, sf_dir, "documents", "doc_id", "text")
     vocab = tfidf.vocabulary(tfidf.document_frequency(tfidf.terms_of(documents)), documents.count())
     share = F.conv(F.substring(F.md5("term"), 1, 6), 16, 10).cast("double") / F.lit(16777216.0)
-    return TfidfModel(tfidf.TfidfSettings(), vocab.withColumn("coefficient", (share - 0.5) * 8.0), MODEL_BIAS)
+    # Written once: a model's terms are read by several jobs, each of which would count all documents again.
+    terms = cut_lineage(vocab.withColumn("coefficient", (share - 0.5) * 8.0))
+    return TfidfModel(tfidf.TfidfSettings(), terms, MODEL_BIAS)
 
 
 def split_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

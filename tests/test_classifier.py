@@ -257,3 +257,13 @@ def test_long_ngrams_do_not_overflow():
     terms = tfidf._counted(words, 6, 6).to_pylist()
     assert len(terms[0]) == 3000 and sum(t["tf"] for t in terms[0]) == 5995 and terms[1] == []
     assert terms[0][0] == {"term": "w0000 w0001 w0002 w0003 w0004 w0005", "tf": 2}
+
+
+def test_formula_model_counts_documents_once(spark, tmp_path):
+    """Several jobs read a model's terms; none of them goes back to the documents."""
+    from checks.views import formula_model
+
+    spark.createDataFrame([(i, "alpha beta gamma") for i in range(4)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    model = formula_model(spark, str(tmp_path))
+    plan = model.top_features(2)._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "ArrowEvalPython" not in plan
