@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import checkpointed, remove, scratch, slices, texts_of
+from screenwright.llm.common import checkpointed, let_go, remove, scratch, slices, texts_of
 
 #: One edit is allowed for each so many characters of the normalised item.
 CHARS_PER_EDIT = 16
@@ -265,6 +265,7 @@ def _suspected(bitmap, kinds: list[tuple[int, bool]], block: int) -> Callable:
                 yield starts[found] + base, keys[found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         bits = np.frombuffer(bitmap.value, np.uint8)
         for part in slices(batches, "text", max_bytes=1 << 20):
             texts = texts_of(part)
@@ -296,11 +297,13 @@ def _suspected(bitmap, kinds: list[tuple[int, bool]], block: int) -> Callable:
 
 
 def _clean_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for part in slices(batches, "text"):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([normalise(t) for t in texts_of(part)])], ["text_id", "clean"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
     for part in slices(batches, "stretch"):
         rows = []

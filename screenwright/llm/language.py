@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import learnable, slices, texts_of
+from screenwright.llm.common import held, learnable, slices, texts_of
 
 #: The sample: at most so many documents per language, characters of each, and places all over it that they are from.
 SAMPLE_DOCS, SAMPLE_CHARS, PLACES = 64, 600, 6
@@ -152,17 +152,20 @@ class Model:
         encoded = {language: [self.symbols.encode(t + " ") for t in texts] for language, texts in samples.items()}
         most = model_bytes // (2 * 4 * self.symbols.count)
         share = most / max(1, sum(len(s) for texts in encoded.values() for s in texts))
-        tables, roots, at, named = [], [], 0, []
+        roots, at, named = [], 0, []
+        # room for the most states that there can be; memory is taken only for those that are written
+        table = np.empty((2 * sum(len(s) for texts in encoded.values() for s in texts) + len(self.languages) + 1, self.symbols.count), np.int32)
         for language in self.languages:
             joined = np.concatenate([_thinned(s, share) for s in encoded[language]] or [np.zeros(0, np.uint8)])
             named.append(len(joined) + self.symbols.count)
-            table = suffix_automaton(joined.tolist(), self.symbols.count)
+            own = suffix_automaton(joined.tolist(), self.symbols.count)
+            own[own >= 0] += at
+            table[at : at + len(own)] = own
             roots.append(at)
-            tables.append(np.where(table >= 0, table + at, -1))
-            at += len(table)
-        tables.append(np.full((1, self.symbols.count), -1, np.int32))  # behind a symbol that a language lacks
+            at += len(own)
+        table[at] = -1  # behind a symbol that a language lacks
         self.lost = at
-        self.table = np.concatenate(tables).ravel()
+        self.table = table[: at + 1].ravel()
         self.roots = np.array(roots, np.int64)
         self.cost = np.log(np.array(named, np.float64))
 
@@ -219,9 +222,6 @@ class Model:
         return languages, scores
 
 
-_built: dict[int, Model] = {}
-
-
 def identify_language(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """All columns of ``docs`` plus ``lang_pred`` and ``score`` (columns of these names are replaced).
 
@@ -234,10 +234,7 @@ def identify_language(docs: DataFrame, samples: dict[str, list[str]]) -> DataFra
     key = hash(tuple((k, tuple(v)) for k, v in sorted(samples.items())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _built:
-            _built.clear()
-            _built[key] = Model(samples)
-        model = _built[key]
+        model = held(("language", key), lambda: Model(samples))
         for part in slices(batches, "text", max_bytes=2 << 20):
             languages, scores = model.predict(texts_of(part))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])

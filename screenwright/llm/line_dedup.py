@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import checkpointed, free_names
+from screenwright.llm.common import checkpointed, free_names, let_go
 
 #: What a key is stripped of at both ends.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -91,6 +91,7 @@ def _filters(docs: DataFrame, min_chars: int, bits: int) -> bytes:
     """The merged filter of hashes seen in at least two documents, as bits."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen = _Seen(bits)
         for batch in batches:
             waiting: list[int] = []
@@ -105,6 +106,7 @@ def _filters(docs: DataFrame, min_chars: int, bits: int) -> bytes:
             yield _page_batch([row])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         once: dict[int, np.ndarray] = {}
         twice: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -146,6 +148,7 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
     suspected = docs.sparkSession.sparkContext.broadcast(_filters(docs, min_chars, bits))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         twice = np.frombuffer(zlib.decompress(suspected.value), np.uint8)
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
@@ -190,6 +193,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     joined = docs.select(*columns).join(lists, F.col("doc_id").eqNullSafe(F.col(key)), "left").drop(key)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for batch in batches:
             at, lost_at = batch.schema.get_field_index("text"), batch.schema.get_field_index(digests)
             texts, n_lines, n_dropped = [], [], []

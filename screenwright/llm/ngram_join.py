@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import checkpointed, free_names, slices, texts_of
+from screenwright.llm.common import checkpointed, free_names, let_go, slices, texts_of
 from screenwright.llm.components import connected_components
 
 N, THRESHOLD = 5, 0.8
@@ -117,6 +117,7 @@ def _sketches(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """``(doc_id, key, bands)`` of each row; key and bands are null where there is no n-gram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, "text", max_bytes=SLICE_BYTES):
             grams, counts = shingles(texts_of(part), n)
             some = np.flatnonzero(counts)
@@ -176,6 +177,7 @@ def _compare_groups(threshold: float):
             yield list({r["class"]: r for r in group}.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         out: list[tuple[int, int, int]] = []
         for group in groups(batches):
             if len(group) > 1:
@@ -248,6 +250,7 @@ def _judged(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: f
     members = checkpointed(members)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for part in slices(batches, "text", max_bytes=SLICE_BYTES):
             grams, counts = shingles(texts_of(part), n)
             ends = np.cumsum(counts)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import slices, texts_of
+from screenwright.llm.common import held, slices, texts_of
 
 SIZE = 2048
 #: Cost, in tokens of padding, of a cut behind a sentence inside a document, and of one inside a sentence.
@@ -28,12 +28,9 @@ SENTENCE_CUT, FORCED_CUT = 32, 256
 PLAN_TOKENS = 1 << 18
 END_ID = 1
 #: Words remembered per Python worker; a full memory is emptied, which costs time only.
-REMEMBERED = 600_000
+REMEMBERED = 1 << 17
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 
-_loaded: dict[str, WordIds] = {}
-
-
 class WordIds(dict):
     """Ids of a vocabulary whose words never hold white space, as packed 32-bit numbers, remembered by word."""
 
@@ -88,9 +85,7 @@ _LETTERS = _byte_letters()
 
 
 def load_words(path: str) -> WordIds:
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    return held(("words", path), lambda: WordIds(path))
 
 
 def padding(length: int, size: int = SIZE) -> int:
