@@ -20,7 +20,9 @@ from screenwright.operators.lineage import cut_lineage
 from screenwright.operators.tfidf import (
     TfidfSettings,
     document_frequency,
+    folded_text,
     known_terms,
+    known_weights,
     terms_of,
     tfidf_rows,
     vocabulary,
@@ -47,10 +49,10 @@ class TfidfModel:
     ) -> DataFrame:
         """``key``, carried columns and the probability of class 1.
 
-        No vectors are built and nothing is shuffled: the score is a sum inside
+        No vectors are built, no terms spelled out and nothing is shuffled: the score is a sum inside
         the row, so rows with equal or null keys stay apart.
         """
-        known = known_terms(F.col("terms"), self.terms, ("coefficient",), self.settings)
+        known = known_weights(F.col(text), self.terms, "coefficient", self.settings)
         start = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("square"))
         sums = F.aggregate(
             known,
@@ -65,9 +67,9 @@ class TfidfModel:
             margin = F.coalesce(F.try_divide(total["score"], F.sqrt(total["square"])), F.lit(0.0)) + F.lit(self.bias)
             return F.struct((F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))).alias(into))
 
-        terms = terms_of(df.select(key, *carry, text), text, self.settings)
+        folded = folded_text(df.select(key, *carry, text), text, self.settings.lowercase)
         # behind a generator, so that a filter on the probability does not repeat the sum
-        return terms.select(key, *carry, F.inline(F.array(let(sums, probability))))
+        return folded.select(key, *carry, F.inline(F.array(let(sums, probability))))
 
     def predict(
         self, df: DataFrame, key: str, text: str = "text", carry: tuple[str, ...] = (), threshold: float = 0.5

@@ -3,10 +3,13 @@
 import unicodedata
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from screenwright.operators import arrow
+from screenwright.operators import arrow, tfidf
+from screenwright.operators.classifier import TfidfModel
 from screenwright.operators.clean import clean_html
 from screenwright.operators.normalize import compose_unicode
+from screenwright.operators.tfidf import TfidfSettings
 
 
 def test_slices_are_bounded_and_whole():
@@ -35,3 +38,22 @@ def test_pages_of_several_slices(spark):
     pages = [(i, f"<title>ﬁ{i}</title><p>{'Ａ' * 50_000}{i}</p>") for i in range(12)]
     found = clean_html(spark.createDataFrame(pages, "i int, html string").coalesce(1)).orderBy("i").select("i", "cleaned.text", "cleaned.title").collect()
     assert [(r.title, r.text.endswith(str(r.i)), len(r.text)) for r in found] == [(f"fi{i}", True, 21 + len(f"fi{i}{i}")) for i in range(12)]
+
+
+def test_scoring_sends_back_numbers_of_known_terms_only(spark):
+    """One stage counts and looks up; weights are those of the terms themselves, in their order."""
+    settings = TfidfSettings(min_df=1, max_df=1.0, ngram_range=(1, 3))
+    texts = ["Ünder the old bridge the old bridge", "the old", None, "", "zz", "bridge under the bridge", "old the old the old"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    table = spark.createDataFrame(
+        [(t, 1.0 + 0.1 * at, 0.3 * at - 1) for at, t in enumerate(["the", "old", "the old", "under the old", "bridge the", "the old bridge the", "old  the", "z"])],
+        "term string, idf double, coefficient double",
+    )
+    terms = tfidf.terms_of(rows, settings=settings)
+    named = terms.select("i", tfidf.known_terms(F.col("terms"), table, ("coefficient",), settings).alias("k")).orderBy("i").collect()
+    folded = tfidf.folded_text(rows)
+    found = folded.select("i", tfidf.known_weights(F.col("text"), table, "coefficient", settings).alias("k"))
+    assert [[(e.weight, e.coefficient) for e in r.k] for r in found.orderBy("i").collect()] == [[(e.weight, e.coefficient) for e in r.k] for r in named]
+    assert sum(len(r.k) for r in named) > 10
+    plan = TfidfModel(settings, table, 0.1).predict_probabilities(rows, "i")._jdf.queryExecution().optimizedPlan().toString()
+    assert "term:string" not in plan and plan.count("ArrowEvalPython") == 2
