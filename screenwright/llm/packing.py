@@ -8,18 +8,20 @@ a monotone queue finds it in constant time.
 
 from __future__ import annotations
 
+import json
 import os
-from array import array
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Iterator
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import held, slices, texts_of
+from screenwright.llm.common import held, slices
 
 SIZE = 2048
 #: Cost, in tokens of padding, of a cut behind a sentence inside a document, and of one inside a sentence.
@@ -27,58 +29,128 @@ SENTENCE_CUT, FORCED_CUT = 32, 256
 #: Tokens planned at once. The last window of a plan is planned again with what follows.
 PLAN_TOKENS = 1 << 18
 END_ID = 1
-#: Words remembered per Python worker; a full memory is emptied, which costs time only.
+#: Words remembered per Python worker; those not met for longest are forgotten, which costs time only.
 REMEMBERED = 1 << 17
-_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: Runs of ids copied at once.
+GATHERED = 1 << 16
+#: Kinds of bytes: letters (those of the Latin-1 letters from U+00C0 on with them), marks, digits; any other byte keeps its part whole.
+LETTER, MARK, DIGIT, OTHER = range(4)
+_KINDS = np.full(256, OTHER, np.uint8)
+_KINDS[33:127] = [LETTER if chr(c).isalpha() else DIGIT if chr(c).isdigit() else OTHER if chr(c) == "'" else MARK for c in range(33, 127)]
+_KINDS[0x80:0xC0] = _KINDS[0xC3] = LETTER
 
-class WordIds(dict):
-    """Ids of a vocabulary whose words never hold white space, as packed 32-bit numbers, remembered by word."""
+
+class WordIds:
+    """Ids of a vocabulary whose words never hold white space and end in ``</w>``, as packed 32-bit numbers, remembered by word."""
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        model["merges"] = list(map(tuple, model["merges"]))
+        #: The library's own memory of words would only be looked through in vain.
+        self.tokenizer.model = BPE(cache_capacity=0, **{k: v for k, v in model.items() if k != "type" and v is not None})
+        #: The same model for words that are already parted, lower-cased and in byte letters.
+        self.by_word = Tokenizer(self.tokenizer.model)
+        self.by_word.pre_tokenizer = CharDelimiterSplit(" ")
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
-        self.sentence_end = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.sentence_end, self.word_end = np.zeros((2, max(vocabulary.values()) + 1), bool)
         for token, i in vocabulary.items():
             self.sentence_end[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?")
+            self.word_end[i] = token.endswith("</w>")
+        self.memory: OrderedDict[str, bytes] = OrderedDict()
 
     def encoded(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, part: str) -> bytes:
-        """Latin-1 letters with marks behind are two words; any other part goes through the whole tokenizer."""
-        word = part.rstrip(_MARKS)
-        lower = word.lower()
-        if not (word.isalpha() and max(word) < "Ā"):
-            ids = _packed(self.encoded(part))
-        elif part != lower:
-            ids = self[lower] + (self[part[len(word) :]] if len(word) < len(part) else b"")
-        else:
-            letters = lower if lower.isascii() else lower.encode().decode("latin-1").translate(_LETTERS)
-            ids = _packed([t.id for t in self.tokenizer.model.tokenize(letters)])
-        self[part] = ids
-        return ids
-
-    def of(self, text: str) -> np.ndarray:
-        """Ids of a text. Blanks and line feeds part words and carry no id."""
-        if len(self) > REMEMBERED:
-            self.clear()
-            self[""] = b""
-        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.int32)
-
-
-def _packed(ids: list[int]) -> bytes:
-    return array("i", ids).tobytes()
+    def spelled(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-cased words, from one call of the tokenizer."""
+        letters = " ".join(words)
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_LETTERS)
+        ids = np.array(self.by_word.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.int32)
+        ends = (4 * np.flatnonzero(self.word_end[ids]) + 4).tolist()
+        packed = ids.tobytes()
+        return [packed[i:j] for i, j in pairwise([0, *ends])]
+
+    def remembered(self, words: list[str], whole: list[bool]) -> list[bytes]:
+        """Ids of different words; ``whole`` ones are parts of texts that only the whole tokenizer takes apart."""
+        memory = self.memory
+        found = list(map(memory.get, words))
+        known = [ids is not None for ids in found]
+        deque(map(memory.move_to_end, compress(words, known)), 0)
+        missing = [i for i, is_known in enumerate(known) if not is_known]
+        new = [words[i] for i in missing if not whole[i]]
+        memory.update(zip(new, self.spelled(new), strict=True))
+        for i in missing:
+            if whole[i]:
+                memory[words[i]] = np.array(self.encoded(words[i]), np.int32).tobytes()
+            found[i] = memory[words[i]]
+        while len(memory) > REMEMBERED:
+            memory.popitem(last=False)
+        return found
+
+    def of_parts(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different parts, end to end, and how many each has."""
+        lengths = pc.binary_length(parts).to_numpy()
+        stops = np.append(0, np.cumsum(lengths))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), "")
+        data = np.frombuffer(joined[0].as_buffer(), np.uint8)
+        kinds = _KINDS[data]
+        accented = np.flatnonzero(data[:-1] == 0xC3) + 1
+        kinds[accented[np.isin(data[accented], (0x97, 0xB7))]] = OTHER
+        whole = np.diff(np.append(0, np.cumsum(kinds == OTHER))[stops]) > 0
+        for token in self.added:
+            whole |= pc.match_substring(pc.ascii_lower(parts), token).to_numpy(zero_copy_only=False)
+        inside = np.repeat(whole, lengths)
+        lower = data + np.uint8(32) * ((data >= 65) & (data <= 90) & ~inside)
+        lower[accented] += np.uint8(32) * ((data[accented] < 0x9F) & ~inside[accented])
+        begins = np.ones(len(data), bool)
+        begins[1:] = ((kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)) & ~inside[1:]
+        begins[stops[:-1][lengths > 0]] = True
+        starts = np.append(np.flatnonzero(begins), len(data)).astype(np.int32)
+        words = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts), pa.py_buffer(lower)).dictionary_encode()
+        places = words.indices.to_numpy()
+        only = np.zeros(len(words.dictionary), bool)
+        only[places] = inside[starts[:-1]]
+        packed = self.remembered(words.dictionary.to_numpy(zero_copy_only=False).tolist(), only.tolist())
+        sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        ids = _runs(np.frombuffer(b"".join(packed), np.int32), sizes, places)
+        before = np.append(0, np.cumsum(sizes[places]))
+        return ids, np.diff(before[np.append(0, np.cumsum(begins))[stops]])
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text. White space parts words and carries no id; a null text has none."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.string()))
+        parts = lists.flatten().dictionary_encode()
+        places = parts.indices.to_numpy()
+        ids, sizes = self.of_parts(parts.dictionary)
+        stops = np.append(0, np.cumsum(sizes[places]))[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        return np.split(_runs(ids, sizes, places), stops[:-1])
+
+
+def _runs(ids: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Runs of ids by their places; run k has ``sizes[k]`` ids and lies behind run k - 1."""
+    starts = np.cumsum(sizes) - sizes
+    found = [ids[:0]]
+    for i in range(0, len(places), GATHERED):
+        block = places[i : i + GATHERED]
+        counts = sizes[block]
+        shift = starts[block] - np.cumsum(counts) + counts
+        found.append(ids[np.repeat(shift, counts) + np.arange(counts.sum())])
+    return np.concatenate(found)
 
 
 def _byte_letters() -> dict[int, str]:
-    """The printable letter that stands for each byte in a byte-level vocabulary."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    """The printable letter that stands for each byte in a byte-level vocabulary; blanks stay, as they part words."""
+    plain = [*range(32, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain[1:]]
+    return {b: chr(256 + i) for i, b in enumerate(rest)} | {b: chr(b) for b in plain}
 
 
 _LETTERS = _byte_letters()
@@ -93,6 +165,19 @@ def padding(length: int, size: int = SIZE) -> int:
     return 0 if length & (length - 1) == 0 else size - length
 
 
+def _power_windows(positions: list[int], size: int) -> tuple[list[int], list[int]]:
+    """Begins of windows whose length is a power of two, by end; and where those of each end start in that list."""
+    places = np.array(positions) - positions[0]
+    index = np.full(places[-1] + 1, -1, np.int32)
+    index[places] = np.arange(len(places))
+    begins = np.full((len(places), size.bit_length()), -1, np.int32)
+    for k in range(size.bit_length()):
+        near = np.searchsorted(places, 1 << k)
+        begins[near:, k] = index[places[near:] - (1 << k)]
+    found = begins >= 0
+    return begins[found].tolist(), np.append(0, np.cumsum(found.sum(1))).tolist()
+
+
 def best_cuts(positions: list[int], penalties: list[int], size: int = SIZE) -> list[int]:
     """The cheapest cuts from the first to the last position, as indexes.
 
@@ -102,23 +187,20 @@ def best_cuts(positions: list[int], penalties: list[int], size: int = SIZE) -> l
     n = len(positions)
     best, back = [0] * n, [0] * n
     queue: deque[int] = deque([0])
-    at = {positions[0]: 0}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k <= size]
+    exact, first = _power_windows(positions, size)
     reach = [positions[0]] + [0] * (n - 1)  # best + position, what the queue compares
     for j in range(1, n):
         here = positions[j]
         while positions[queue[0]] < here - size:
             queue.popleft()
-        i = queue[0]
-        cost, source = reach[i] + size - here, i
-        for p in powers:
-            i = at.get(here - p)
-            if i is not None and best[i] <= cost:
-                if best[i] < cost or i < source:
+        source = queue[0]
+        cost = reach[source] + size - here
+        if first[j] < first[j + 1]:
+            for i in exact[first[j] : first[j + 1]]:
+                if best[i] <= cost and (best[i] < cost or i < source):
                     cost, source = best[i], i
         cost += penalties[j]
         best[j], back[j] = cost, source
-        at[here] = j
         value = reach[j] = cost + here
         while queue and reach[queue[-1]] >= value:
             queue.pop()
@@ -151,9 +233,9 @@ class _Packer:
             return
         cuts: dict[int, int] = {0: 0}
         offset = 0
+        sentences = np.flatnonzero(self.sentence_end[np.concatenate([ids for _, ids, _, _ in self.waiting])]) + 1
+        cuts.update(dict.fromkeys(sentences.tolist(), SENTENCE_CUT))
         for _, ids, start, total in self.waiting:
-            for p in np.flatnonzero(self.sentence_end[ids[:-1]]).tolist():
-                cuts[offset + p + 1] = SENTENCE_CUT
             offset += len(ids)
             cuts[offset] = 0 if start + len(ids) == total else FORCED_CUT
         if last:  # the rest may end in short sequences without padding
@@ -203,8 +285,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
 
         def pieces() -> Iterator[tuple]:
             for part in slices(batches, "text", max_bytes=1 << 20):
-                for doc_id, text in zip(part.column(0).to_pylist(), texts_of(part), strict=True):
-                    yield from packer.add(doc_id, np.append(words.of(text), np.int32(END_ID)))
+                for doc_id, ids in zip(part.column(0).to_pylist(), words.of(part.column(1)), strict=True):
+                    yield from packer.add(doc_id, np.append(ids, np.int32(END_ID)))
             yield from packer.plan(True)
 
         rows: list[tuple] = []
