@@ -31,6 +31,8 @@ PLAN_TOKENS = 1 << 18
 END_ID = 1
 #: Words remembered per Python worker; those not met for longest are forgotten, which costs time only.
 REMEMBERED = 1 << 17
+#: Words given to the tokenizer at once.
+SPELLED = 1 << 10
 #: Runs of ids copied at once.
 GATHERED = 1 << 16
 #: Kinds of bytes: letters (those of the Latin-1 letters from U+00C0 on with them), marks, digits; any other byte keeps its part whole.
@@ -69,14 +71,17 @@ class WordIds:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def spelled(self, words: list[str]) -> list[bytes]:
-        """Ids of lower-cased words, from one call of the tokenizer."""
-        letters = " ".join(words)
-        if not letters.isascii():
-            letters = letters.encode().decode("latin-1").translate(_LETTERS)
-        ids = np.array(self.by_word.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.int32)
-        ends = (4 * np.flatnonzero(self.word_end[ids]) + 4).tolist()
-        packed = ids.tobytes()
-        return [packed[i:j] for i, j in pairwise([0, *ends])]
+        """Ids of lower-cased words; the tokenizer gets many at a time."""
+        found = []
+        for k in range(0, len(words), SPELLED):
+            letters = " ".join(words[k : k + SPELLED])
+            if not letters.isascii():
+                letters = letters.encode().decode("latin-1").translate(_LETTERS)
+            ids = np.array(self.by_word.encode_batch_fast([letters], add_special_tokens=False)[0].ids, np.int32)
+            ends = (4 * np.flatnonzero(self.word_end[ids]) + 4).tolist()
+            packed = ids.tobytes()
+            found += [packed[i:j] for i, j in pairwise([0, *ends])]
+        return found
 
     def remembered(self, words: list[str], whole: list[bool]) -> list[bytes]:
         """Ids of different words; ``whole`` ones are parts of texts that only the whole tokenizer takes apart."""
@@ -287,6 +292,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
             for part in slices(batches, "text", max_bytes=1 << 20):
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.of(part.column(1)), strict=True):
                     yield from packer.add(doc_id, np.append(ids, np.int32(END_ID)))
+                pa.default_memory_pool().release_unused()
             yield from packer.plan(True)
 
         rows: list[tuple] = []
