@@ -289,7 +289,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE) -> DataFrame:
         packer = _Packer(words.sentence_end, TaskContext.get().partitionId() << 33, size)
 
         def pieces() -> Iterator[tuple]:
-            for part in slices(batches, "text", max_bytes=1 << 20):
+            for part in slices(batches, "text", max_bytes=1 << 21):
                 for doc_id, ids in zip(part.column(0).to_pylist(), words.of(part.column(1)), strict=True):
                     yield from packer.add(doc_id, np.append(ids, np.int32(END_ID)))
                 pa.default_memory_pool().release_unused()
