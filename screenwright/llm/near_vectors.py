@@ -1,36 +1,43 @@
 """Near-duplicate vectors by hierarchical navigable small-world graphs, one per shard.
 
-Vectors are dealt into shards. The task of a shard builds its graph and answers all
-queries on it; every vector queries every shard. Before it answers, a task audits its
-beam against brute force and widens it until the recall is met; a query whose beam is
-full of links gets a wider one. Links are verified in double precision, counted in the
-task, and only the links of a spanning forest leave it, to be joined into components.
+Vectors are dealt into shards. The task of a shard builds a graph of hubs, which finds
+the buckets of vectors that a query is compared with, for queries of its own and of
+other shards; of each two shards one asks the other. Before it answers, a task audits
+its beam against brute force and widens it until the recall is met; a query that has
+links up to the end of its beam gets a wider one. Links near the threshold are verified
+in double precision, links are counted in the task for both ends, and only the links
+of a spanning forest leave it, to be joined into components.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from screenwright.llm.common import checkpointed
+from screenwright.llm.common import checkpointed, let_go
 from screenwright.llm.components import connected_components
 
 THRESHOLD = 0.9
 #: Shards: at least so many, and enough that none has more than so many vectors, or bytes of them and their graph.
 SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 500_000, 1 << 30
-#: Neighbours of a node above and on the lowest level, beam while building, first beam of a query.
-NEIGHBOURS, LOWEST, BUILD_BEAM, BEAM = 12, 24, 48, 48
+#: Neighbours of a hub above and on the lowest level, beam while building, first beam of a query, beam of a member that
+#: looks for its hub; a shard of n vectors has as many hubs as the root of n.
+NEIGHBOURS, LOWEST, BUILD_BEAM, BEAM, NEAREST = 12, 24, 48, 32, 8
 #: The audit: so many members, each moved to the threshold's edge, of which this share has to be found.
 AUDIT, RECALL = 256, 0.98
 #: Nodes expanded per step, and bytes for the marks of visited nodes.
 EXPAND, MARK_BYTES = 4, 32 << 20
-#: Queries whose beams are full of links are compared with all members, in blocks of so many values, once a wider
-#: beam would cost more: a step along links costs as much as so many values of a matrix product.
+#: Queries with links up to the end of their beams are compared with all members, in blocks of so many values, once a
+#: wider beam would cost more: a step along links costs as much as so many values of a matrix product.
 STEP_COST, BLOCK_VALUES = 16, 4 << 20
+#: Queries answered at once, linked pairs counted at once, and rows told at once.
+BLOCK_ROWS, PAIRS, TOLD_ROWS = 16384, 1 << 20, 65536
 
 
 class Graph:
@@ -122,8 +129,11 @@ class Graph:
             ids, values = np.take_along_axis(ids, best, 1), np.take_along_axis(values, best, 1)
             links[part] = self._diverse(np.where(np.isfinite(values), ids, -1), values, width)
 
-    def _beam(self, q: np.ndarray, entry: np.ndarray, at: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``width`` nearest nodes found from the entries, by falling similarity; -1 where there are fewer."""
+    def _beam(self, q: np.ndarray, entry: np.ndarray, at: int, width: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ``width`` nearest nodes found from the entries, by falling similarity; -1 where there are fewer.
+
+        ``known`` has the similarities of the queries to all nodes, if they are cheaper than those along the links.
+        """
         links, n, b = self.links[at], len(self.x), len(q)
         seen = np.zeros((b, n + 1), bool)
         seen[:, n] = True
@@ -133,7 +143,8 @@ class Graph:
         fresh = entry < n
         fresh[:, 1:] &= entry[:, 1:] != entry[:, :-1]
         ids = np.where(fresh, entry, -1)
-        sims = np.where(fresh, np.einsum("bcd,bd->bc", self.x[ids], q), -np.inf).astype(np.float32)
+        sims = np.einsum("bcd,bd->bc", self.x[ids], q) if known is None else known[line, ids]
+        sims = np.where(fresh, sims, -np.inf).astype(np.float32)
         seen[line, entry] = True
         open_ = fresh.copy()
         width_now = max(width, ids.shape[1])
@@ -153,13 +164,15 @@ class Graph:
             row = active[:, None]
             nodes = ids[row, pick]
             open_[row, pick] = False
-            around = np.where(good[:, :, None], links[nodes], -1).reshape(len(active), -1)
+            around = np.where(good[:, :, None], links.take(nodes, axis=0), -1).reshape(len(active), -1)
             around = np.where(around < 0, n, around)
             around.sort(axis=1)
             around[:, 1:][around[:, 1:] == around[:, :-1]] = n
-            around[seen[row, around]] = n
-            seen[row, around] = True
-            close = np.einsum("bcd,bd->bc", self.x[np.minimum(around, n - 1)], q[active]).astype(np.float32)
+            cells = row * (n + 1) + around
+            around[seen.take(cells)] = n
+            seen.ravel()[cells] = True
+            there = np.minimum(around, n - 1)
+            close = np.einsum("bcd,bd->bc", self.x[there], q[active]).astype(np.float32) if known is None else known.take(row * n + there)
             close[around == n] = -np.inf
             all_ids = np.concatenate([ids[active], around], axis=1)
             all_sims = np.concatenate([sims[active], close], axis=1)
@@ -175,45 +188,78 @@ class Graph:
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         q = np.ascontiguousarray(q, np.float32)
         entry = np.full((len(q), 1), self.order[0])
+        known = q @ self.x.T if len(self.x) <= STEP_COST * LOWEST * beam else None
         for at in range(self.top, 0, -1):
-            entry, _ = self._beam(q, entry, at, 4)
-        return self._beam(q, entry, 0, beam)
+            entry, _ = self._beam(q, entry, at, 4, known)
+        return self._beam(q, entry, 0, beam, known)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 class Shard:
-    """The vectors of a shard and their graph."""
+    """The vectors of a shard in buckets, each of those nearest to one hub, and the graph of the hubs.
+
+    A query takes the buckets of the hubs that the graph finds, by one product for all queries of a bucket. ``gained``
+    counts the links of members that others have asked for.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, copies: np.ndarray, threshold: float):
-        self.ids, self.exact, self.copies, self.threshold = ids, vectors, copies, threshold
-        self.graph = Graph(vectors)
-        self.parent = np.arange(len(ids))
+        n, d = vectors.shape
+        self.threshold, self.block = threshold, max(1, min(BLOCK_ROWS, BLOCK_VALUES // d))
+        hubs = np.sort(np.random.default_rng(5).permutation(n)[: math.isqrt(n)])
+        self.graph = Graph(_unit(vectors[hubs]))
+        hub = np.empty(n, np.int32)
+        for part in self._blocks(n):
+            hub[part] = self._found(_unit(vectors[part]).astype(np.float32), NEAREST)[:, 0]
+        order = np.argsort(hub, kind="stable")
+        self.hub, self.ids, self.exact, self.copies = hub[order], ids[order], vectors[order], copies[order]
+        self.starts = np.searchsorted(self.hub, np.arange(len(hubs) + 1))
+        self.x = np.empty((n, d), np.float32)
+        for part in self._blocks(n):
+            self.x[part] = _unit(self.exact[part])
+        self.parent, self.gained = np.arange(n), np.zeros(n, np.int64)
         self.beam = self._audited(BEAM)
 
+    def _blocks(self, n: int) -> Iterator[slice]:
+        for start in range(0, n, self.block):
+            yield slice(start, min(n, start + self.block))
+
+    def _found(self, q: np.ndarray, beam: int) -> np.ndarray:
+        """The hubs of a beam for each query, by falling similarity; -1 where there are fewer."""
+        rows = self.graph.rows
+        return np.concatenate([self.graph.search(q[start : start + rows], beam)[0] for start in range(0, len(q), rows)])
+
     def _audited(self, beam: int) -> int:
-        """The first beam, doubled from ``beam`` on, that finds members from queries at the threshold's edge."""
+        """The first beam, half as wide again each time, that finds members from queries at the threshold's edge."""
         n, d = self.exact.shape
         rng = np.random.default_rng(9)
         chosen = rng.permutation(n)[:AUDIT]
         side = rng.normal(size=(len(chosen), d))
-        base = self.exact[chosen]
+        base = _unit(self.exact[chosen])
         side -= (side * base).sum(axis=1, keepdims=True) * base
         norm = np.linalg.norm(side, axis=1, keepdims=True)
         edge = self.threshold + 1e-4
         q = edge * base + np.sqrt(max(0.0, 1 - edge**2)) * side / np.where(norm > 0, norm, 1)
-        true = q @ self.exact.T >= self.threshold
-        while beam < n:
-            found = hit = 0
-            for start in range(0, len(q), self.graph.rows):
-                part = slice(start, start + self.graph.rows)
-                ids, sims = self.graph.search(q[part], beam)
-                narrow = sims[:, -1] < self.threshold - 1e-3  # beams that are full of links get wider ones in any case
-                mine = true[part][narrow]
-                found += mine.sum()
-                hit += sum(mine[i, np.unique(row[row >= 0])].sum() for i, row in enumerate(ids[narrow]))
-            if hit >= RECALL * found:
+        # the hubs in whose buckets the links of a query are, and how many
+        true = np.zeros((len(q), len(self.starts) - 1), np.int64)
+        for part in self._blocks(n):
+            row, member = np.nonzero(q @ _unit(self.exact[part]).T >= self.threshold)
+            np.add.at(true, (row, self.hub[part][member]), 1)
+        q = q.astype(np.float32)
+        while beam < true.shape[1]:
+            hubs = self._found(q, beam)
+            links = np.where(hubs >= 0, np.take_along_axis(true, hubs, 1), 0)
+            hit, all_ = links.sum(axis=1), true.sum(axis=1)
+            final = (hit == all_) | ~links[:, beam // 2 :].any(axis=1)  # other beams have links up to their end and get wider ones
+            if hit[final].sum() >= RECALL * all_[final].sum():
                 return beam
-            beam *= 2
-        return n
+            beam += beam // 2
+        return true.shape[1]
 
     def _roots(self, nodes: np.ndarray) -> np.ndarray:
         """The smallest node of the group of each node, as far as groups are known."""
@@ -225,92 +271,141 @@ class Shard:
                 return roots
             roots = above
 
-    def _answered(self, id_: int, q: np.ndarray, members: np.ndarray) -> tuple[int, int, int] | None:
-        """The row of one query, whose members are joined; ``members`` are candidates to be verified."""
-        members = members[(self.exact[members] @ q >= self.threshold) & (self.ids[members] != id_)]
-        if not len(members):
-            return None
-        roots = np.unique(self._roots(members))
-        self.parent[roots] = roots[0]
-        return id_, int(self.copies[members].sum()), int(self.ids[roots[0]])
-
-    def answer(self, ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """``(id, links, one linked id)`` of each query with links in this shard."""
-        n = len(self.ids)
-        for start in range(0, len(q), self.graph.rows):
-            waiting, beam = np.arange(start, min(len(q), start + self.graph.rows)), min(self.beam, n)
-            while len(waiting):
-                found, sims = self.graph.search(q[waiting], beam)
-                # a beam that holds links only may have missed some
-                close = sims >= self.threshold - 1e-3
-                full = close[:, -1] & (beam < n)
-                for i in np.flatnonzero(close.any(axis=1) & ~full).tolist():
-                    if row := self._answered(int(ids[waiting[i]]), q[waiting[i]], found[i][close[i]]):
-                        yield row
-                waiting, beam = waiting[full], min(2 * beam, n)
-                if STEP_COST * LOWEST * beam >= n:
-                    yield from self._compared(ids, q, waiting)
-                    break
-
-    def _compared(self, ids: np.ndarray, q: np.ndarray, waiting: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """Rows of queries that lie in large groups, by products with all members."""
-        block = max(1, BLOCK_VALUES // len(self.ids))
-        for start in range(0, len(waiting), block):
-            part = waiting[start : start + block]
-            sims = q[part].astype(np.float32) @ self.graph.x.T
-            for at, near in zip(part.tolist(), sims >= self.threshold - 1e-3, strict=True):
-                if row := self._answered(int(ids[at]), q[at], np.flatnonzero(near)):
-                    yield row
+    def _join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Put the groups of each two nodes together."""
+        while True:
+            a, b = self._roots(a), self._roots(b)
+            apart = a != b
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
+    def _near(self, q: np.ndarray, narrow: np.ndarray, rows: np.ndarray, start: int, stop: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs ``(place in rows, member)`` that link, of the queries ``rows`` and the members from ``start`` on."""
+        step = max(1, BLOCK_VALUES // max(1, stop - start))
+        for at in range(0, len(rows) if start < stop else 0, step):
+            sims = (narrow[rows[at : at + step]] @ self.x[start:stop].T).ravel()
+            close = np.flatnonzero(sims >= self.threshold - 1e-3)
+            for begin in range(0, len(close), PAIRS):
+                found = close[begin : begin + PAIRS]
+                edge = np.flatnonzero(sims[found] < self.threshold + 1e-3)
+                place, member = np.divmod(found, stop - start)
+                place, member = place + at, member + start
+                right = np.ones(len(found), bool)
+                for first in range(0, len(edge), self.block):
+                    few = edge[first : first + self.block]
+                    right[few] = (_unit(self.exact[member[few]]) * q[rows[place[few]]]).sum(axis=1) >= self.threshold
+                yield place[right], member[right]
+
+    def own(self) -> Iterator[tuple[int, int, int]]:
+        """``answer`` for the members themselves."""
+        for part in self._blocks(len(self.ids)):
+            yield from self.answer(self.ids[part], _unit(self.exact[part]))
+
+    def answer(self, ids: np.ndarray, q: np.ndarray, copies: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """``(id, links, one linked id)`` of each query with links in this shard.
+
+        With ``copies`` of the queries, which then do not get asked by the members, the members gain these links too.
+        """
+        for part in self._blocks(len(q)):
+            yield from self._answered(ids[part], q[part], None if copies is None else copies[part])
+
+    def _answered(self, ids: np.ndarray, q: np.ndarray, copies: np.ndarray | None) -> Iterator[tuple[int, int, int]]:
+        count = len(self.starts) - 1
+        narrow, links, first = q.astype(np.float32), np.zeros(len(q), np.int64), np.full(len(q), -1)
+
+        def note(row: np.ndarray, member: np.ndarray) -> np.ndarray:
+            other = self.ids[member] != ids[row]
+            row, member = row[other], member[other]
+            np.add.at(links, row, self.copies[member])
+            if copies is not None:
+                np.add.at(self.gained, member, copies[row])
+            fresh = first[row] < 0
+            first[row[fresh]] = member[fresh]
+            self._join(member, first[row])
+            return other
+
+        # row * count + hub of what the waiting queries have been compared with
+        waiting, beam, before = np.arange(len(q)), self.beam, np.zeros(0, np.int64)
+        while len(waiting) and beam < count:
+            hubs = self._found(narrow[waiting], beam)
+            rows, late = np.repeat(waiting, beam), np.tile(np.arange(beam) >= beam // 2, len(waiting))
+            hubs = hubs.ravel()
+            new = (hubs >= 0) & ~np.isin(rows * count + hubs, before) if len(before) else hubs >= 0
+            order = np.flatnonzero(new)[np.argsort(hubs[new], kind="stable")]
+            rows, late, hubs = rows[order], late[order], hubs[order]
+            full, cuts = np.zeros(len(q), bool), np.flatnonzero(np.diff(hubs)) + 1
+            for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hubs)], strict=True):
+                own, hub = rows[begin:end], hubs[begin]
+                for place, member in self._near(q, narrow, own, self.starts[hub], self.starts[hub + 1]):
+                    other = note(own[place], member)
+                    place = place[other]
+                    full[own[place[late[begin:end][place]]]] = True
+            # a beam that has links up to its end may have missed some
+            stay = full[rows]
+            before = np.concatenate([before[full[before // count]], rows[stay] * count + hubs[stay]])
+            waiting, beam = np.flatnonzero(full), 2 * beam
+            if STEP_COST * LOWEST * beam >= len(self.ids):
+                break
+        for place, member in self._near(q, narrow, waiting, 0, len(self.ids)):
+            row = waiting[place]
+            new = ~np.isin(row * count + self.hub[member], before) if len(before) else np.ones(len(row), bool)
+            note(row[new], member[new])
+        linked = np.flatnonzero(first >= 0)
+        yield from zip(ids[linked].tolist(), links[linked].tolist(), self.ids[first[linked]].tolist(), strict=True)
 
     def forest(self) -> Iterator[tuple[int, int, int]]:
-        """Links among members that queries have joined, without a count."""
+        """Links among members that queries have joined, with the count of those that members have gained."""
         roots = self._roots(np.arange(len(self.parent)))
-        for i in np.flatnonzero(roots != np.arange(len(roots))).tolist():
-            yield int(self.ids[i]), 0, int(self.ids[roots[i]])
+        told = np.flatnonzero((roots != np.arange(len(roots))) | (self.gained > 0))
+        yield from zip(self.ids[told].tolist(), self.gained[told].tolist(), self.ids[roots[told]].tolist(), strict=True)
 
 
 def _rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["id", "links", "other"])
 
 
-def _unit(batch: pa.RecordBatch) -> np.ndarray:
-    column = batch.column(batch.schema.get_field_index("vector"))
-    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def _answer_shards(threshold: float):
-    """Rows of a shard arrive together: its members first, then all queries."""
+    """Rows of a shard arrive together: its members first, then the queries of other shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shard, members = None, None, []
 
+        def told(rows: Iterator[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+            while some := list(islice(rows, TOLD_ROWS)):
+                yield _rows(some)
+
+        def built() -> Iterator[pa.RecordBatch]:
+            nonlocal shard
+            if shard is None and members:
+                parts = [np.concatenate(c) for c in zip(*members, strict=True)]
+                members.clear()
+                shard = Shard(*parts, threshold)
+                yield from told(shard.own())
+
         def close() -> Iterator[pa.RecordBatch]:
-            rows = list(shard.forest()) if shard is not None else []
-            if rows:
-                yield _rows(rows)
+            yield from built()
+            if shard is not None:
+                yield from told(shard.forest())
 
+        let_go()
         for batch in batches:
-            shards, dims, kinds = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("shard", "dim", "kind"))
+            column = {c: batch.column(batch.schema.get_field_index(c)) for c in ("shard", "dim", "kind", "node", "copies")}
+            shards, dims, kinds, nodes, copies = (c.to_numpy(zero_copy_only=False) for c in column.values())
             cuts = np.flatnonzero((np.diff(shards) != 0) | (np.diff(dims) != 0) | (np.diff(kinds) != 0)) + 1
             for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 part = batch.slice(start, stop - start)
                 if (shards[start], dims[start]) != key:
                     yield from close()
                     key, shard, members = (shards[start], dims[start]), None, []
-                ids = part.column(part.schema.get_field_index("node")).to_numpy(zero_copy_only=False)
+                vectors = part.column(part.schema.get_field_index("vector")).flatten().to_numpy(zero_copy_only=False).reshape(stop - start, -1)
                 if kinds[start] == 0:
-                    members.append((ids, _unit(part), part.column(part.schema.get_field_index("copies")).to_numpy(zero_copy_only=False)))
+                    members.append((nodes[start:stop], vectors, copies[start:stop]))
                     continue
-                if shard is None:
-                    if not members:  # no member of this dimension in the shard
-                        continue
-                    shard = Shard(*(np.concatenate(c) for c in zip(*members, strict=True)), threshold)
-                    members = []
-                rows = list(shard.answer(ids, _unit(part)))
-                if rows:
-                    yield _rows(rows)
+                yield from built()
+                if shard is not None:  # else no member of this dimension is in the shard
+                    yield from told(shard.answer(nodes[start:stop], _unit(vectors), copies[start:stop]))
         yield from close()
 
     return run
@@ -334,43 +429,48 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, shards: int =
     if threshold <= 0:
         raise ValueError("The threshold has to be positive.")
     given = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("vector"))
-    key = F.when(usable(F.col("vector")) & F.col("vec_id").isNotNull(), F.md5(F.col("vector").cast("string")))
-    keyed = given.withColumn("key", key)
-    grouped = (
-        keyed.where("key is not null")
-        .groupBy("key")
-        .agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    good = usable(F.col("vector")) & F.col("vec_id").isNotNull()
+    # 128 bits of two hashes stand for a vector
+    keyed = given.withColumns({"key": F.when(good, F.xxhash64("vector")), "twin": F.when(good, F.xxhash64(F.lit(1), "vector"))})
+    equal = keyed.where("key is not null").groupBy("key", "twin")
+    nodes = checkpointed(
+        equal.agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"), F.max(F.size("vector")).alias("dim")).withColumn("node", F.monotonically_increasing_id())
     )
-    nodes = checkpointed(grouped.withColumn("node", F.monotonically_increasing_id()))
-    count, width = nodes.agg(F.count("*"), F.max(F.size("vector"))).first()
+    count, width = nodes.agg(F.count("*"), F.max("dim")).first()
     # vectors in both precisions, and links
     most = max(1, min(shard_rows, SHARD_BYTES // (12 * (width or 1) + 8 * LOWEST)))
     shards = max(shards, -(-count // most))
-    own = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    columns = ("shard", "dim", "kind", "node", "copies", "vector")
-    dim = F.size("vector").alias("dim")
-    members = nodes.select(own.alias("shard"), dim, F.lit(0).alias("kind"), "node", "copies", "vector")
-    every = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
-    queries = nodes.select(every.alias("shard"), dim, F.lit(1).alias("kind"), "node", F.lit(0).cast("long").alias("copies"), "vector")
+    own, step = F.pmod("key", F.lit(shards)).cast("int"), F.col("step")
     dealt = (
-        members.unionByName(queries)
-        .select(*columns)
-        .repartitionByRange(shards, "shard")
+        equal.agg(F.any_value("vector").alias("vector"))
+        .join(nodes, ["key", "twin"])
+        # to the own shard as a member, and as a query to half of the others; the other half asks this one
+        .select(own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(shards // 2))).alias("step"), "dim", "node", "copies", "vector")
+        .where((2 * step < shards) | (2 * F.col("own") < shards))
+        .select(F.pmod(F.col("own") + step, F.lit(shards)).alias("shard"), "dim", (step > 0).cast("int").alias("kind"), "node", "copies", "vector")
+        .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "dim", "kind", "node")
     )
     found = checkpointed(dealt.mapInArrow(_answer_shards(threshold), "id long, links long, other long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     components = connected_components(found, "id", "other")
     linked = checkpointed(
-        nodes.select("node", "key", "low", "copies")
-        .join(links.withColumnRenamed("id", "node"), "node", "left")
+        nodes.join(links.withColumnRenamed("id", "node"), "node", "left")
         .join(components.select(F.col("id").alias("node"), F.col("component").alias("root")), "node", "left")
-        .select(F.col("key").alias("own_key"), "low", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+        .where("links > 0 or root is not null or copies > 1")  # other vectors stand alone
+        .select(
+            F.col("key").alias("own_key"),
+            F.col("twin").alias("own_twin"),
+            "low",
+            F.coalesce("root", "node").alias("root"),
+            (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"),
+        )
     )
     lowest = linked.groupBy("root").agg(F.min("low").alias("component"))
-    per_node = linked.join(lowest, "root").select("own_key", "links", "component")
+    per_node = linked.join(lowest, "root").select("own_key", "own_twin", "links", "component")
     component = F.coalesce("component", "vec_id")
-    return keyed.drop("vector").join(per_node, F.col("key") == F.col("own_key"), "left").select(
+    same = (F.col("key") == F.col("own_key")) & (F.col("twin") == F.col("own_twin"))
+    return keyed.drop("vector").join(per_node, same, "left").select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),
         component.alias("component_id"),
