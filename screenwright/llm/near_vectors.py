@@ -26,9 +26,9 @@ from screenwright.llm.components import connected_components
 THRESHOLD = 0.9
 #: Shards: at least so many, and enough that none has more than so many vectors, or bytes of them and their graph.
 SHARDS, SHARD_ROWS, SHARD_BYTES = 8, 500_000, 1 << 30
-#: Neighbours of a hub above and on the lowest level, beam while building, first beam of a query, beam of a member that
+#: Neighbours of a hub above and on the lowest level, beam while building, first beam of a query, also of a member that
 #: looks for its hub; a shard of n vectors has as many hubs as the root of n.
-NEIGHBOURS, LOWEST, BUILD_BEAM, BEAM, NEAREST = 12, 24, 48, 32, 8
+NEIGHBOURS, LOWEST, BUILD_BEAM, BEAM = 12, 24, 48, 32
 #: The audit: so many members, each moved to the threshold's edge, of which this share has to be found.
 AUDIT, RECALL = 256, 0.98
 #: Nodes expanded per step, and bytes for the marks of visited nodes.
@@ -166,11 +166,11 @@ class Graph:
             open_[row, pick] = False
             around = np.where(good[:, :, None], links.take(nodes, axis=0), -1).reshape(len(active), -1)
             around = np.where(around < 0, n, around)
+            around[seen.take(row * (n + 1) + around)] = n
             around.sort(axis=1)
+            around = around[:, : max(1, int((around < n).sum(axis=1).max()))]
             around[:, 1:][around[:, 1:] == around[:, :-1]] = n
-            cells = row * (n + 1) + around
-            around[seen.take(cells)] = n
-            seen.ravel()[cells] = True
+            seen.ravel()[row * (n + 1) + around] = True
             there = np.minimum(around, n - 1)
             close = np.einsum("bcd,bd->bc", self.x[there], q[active]).astype(np.float32) if known is None else known.take(row * n + there)
             close[around == n] = -np.inf
@@ -213,11 +213,12 @@ class Shard:
         self.threshold, self.block = threshold, max(1, min(BLOCK_ROWS, BLOCK_VALUES // d))
         hubs = np.sort(np.random.default_rng(5).permutation(n)[: math.isqrt(n)])
         self.graph = Graph(_unit(vectors[hubs]))
-        hub = np.empty(n, np.int32)
+        found = np.empty((n, BEAM), np.int32)
         for part in self._blocks(n):
-            hub[part] = self._found(_unit(vectors[part]).astype(np.float32), NEAREST)[:, 0]
-        order = np.argsort(hub, kind="stable")
-        self.hub, self.ids, self.exact, self.copies = hub[order], ids[order], vectors[order], copies[order]
+            found[part] = self._found(_unit(vectors[part]).astype(np.float32), BEAM)
+        order = np.argsort(found[:, 0], kind="stable")
+        self.hubs = found[order]
+        self.hub, self.ids, self.exact, self.copies = self.hubs[:, 0].copy(), ids[order], vectors[order], copies[order]
         self.starts = np.searchsorted(self.hub, np.arange(len(hubs) + 1))
         self.x = np.empty((n, d), np.float32)
         for part in self._blocks(n):
@@ -235,7 +236,7 @@ class Shard:
         return np.concatenate([self.graph.search(q[start : start + rows], beam)[0] for start in range(0, len(q), rows)])
 
     def _audited(self, beam: int) -> int:
-        """The first beam, half as wide again each time, that finds members from queries at the threshold's edge."""
+        """The first beam, an eighth wider each time, that finds members from queries at the threshold's edge."""
         n, d = self.exact.shape
         rng = np.random.default_rng(9)
         chosen = rng.permutation(n)[:AUDIT]
@@ -258,7 +259,7 @@ class Shard:
             final = (hit == all_) | ~links[:, beam // 2 :].any(axis=1)  # other beams have links up to their end and get wider ones
             if hit[final].sum() >= RECALL * all_[final].sum():
                 return beam
-            beam += beam // 2
+            beam += max(1, beam // 8)
         return true.shape[1]
 
     def _roots(self, nodes: np.ndarray) -> np.ndarray:
@@ -299,9 +300,10 @@ class Shard:
                 yield place[right], member[right]
 
     def own(self) -> Iterator[tuple[int, int, int]]:
-        """``answer`` for the members themselves."""
+        """``answer`` for the members themselves, whose first beams are known; once only."""
+        hubs, self.hubs = self.hubs, None
         for part in self._blocks(len(self.ids)):
-            yield from self.answer(self.ids[part], _unit(self.exact[part]))
+            yield from self._answered(self.ids[part], _unit(self.exact[part]), None, hubs[part] if self.beam == BEAM else None)
 
     def answer(self, ids: np.ndarray, q: np.ndarray, copies: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
         """``(id, links, one linked id)`` of each query with links in this shard.
@@ -311,7 +313,8 @@ class Shard:
         for part in self._blocks(len(q)):
             yield from self._answered(ids[part], q[part], None if copies is None else copies[part])
 
-    def _answered(self, ids: np.ndarray, q: np.ndarray, copies: np.ndarray | None) -> Iterator[tuple[int, int, int]]:
+    def _answered(self, ids: np.ndarray, q: np.ndarray, copies: np.ndarray | None, known: np.ndarray | None = None) -> Iterator[tuple[int, int, int]]:
+        """``answer`` of a block; ``known`` has the hubs of the first beam."""
         count = len(self.starts) - 1
         narrow, links, first = q.astype(np.float32), np.zeros(len(q), np.int64), np.full(len(q), -1)
 
@@ -329,7 +332,7 @@ class Shard:
         # row * count + hub of what the waiting queries have been compared with
         waiting, beam, before = np.arange(len(q)), self.beam, np.zeros(0, np.int64)
         while len(waiting) and beam < count:
-            hubs = self._found(narrow[waiting], beam)
+            hubs, known = self._found(narrow[waiting], beam) if known is None else known, None
             rows, late = np.repeat(waiting, beam), np.tile(np.arange(beam) >= beam // 2, len(waiting))
             hubs = hubs.ravel()
             new = (hubs >= 0) & ~np.isin(rows * count + hubs, before) if len(before) else hubs >= 0

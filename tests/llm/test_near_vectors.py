@@ -124,3 +124,20 @@ def test_a_shard_stays_small_and_finds_links_of_other_shards():
     assert all(true[i - len(x), other] for i, (_, other) in found.items())
     gained = {i: n for i, n, _ in shard.forest() if n}
     assert sum(gained.values()) * 2 == got.sum() * 3 and set(gained) <= set(np.flatnonzero(true.any(axis=0)).tolist())
+
+
+def test_members_of_a_shard_find_each_other_from_their_first_beams():
+    rng = np.random.default_rng(10)
+    base = rng.normal(size=(4000, 16))
+    x = np.concatenate([base, base[:2000] + rng.normal(size=(2000, 16)) * 0.3])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard = Shard(np.arange(len(x)), x, np.ones(len(x), int), 0.9)
+    assert shard.beam < len(shard.starts) - 1
+    true = x @ x.T >= 0.9
+    np.fill_diagonal(true, False)
+    found = {i: (n, other) for i, n, other in shard.own()}
+    got = np.array([found.get(i, (0, 0))[0] for i in range(len(x))])
+    assert (got <= true.sum(axis=1)).all() and got.sum() >= 0.98 * true.sum() > 2000
+    assert all(true[i, other] for i, (_, other) in found.items())
+    # the members' links make the same groups as all found links, and none is counted twice
+    assert not any(n for _, n, _ in shard.forest())
