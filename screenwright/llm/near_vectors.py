@@ -4,9 +4,9 @@ Vectors are dealt into shards. The task of a shard builds a graph of hubs, which
 the buckets of vectors that a query is compared with, for queries of its own and of
 other shards; of each two shards one asks the other. Before it answers, a task audits
 its beam against brute force and widens it until the recall is met; a query that has
-links up to the end of its beam gets a wider one. Links near the threshold are verified
-in double precision, links are counted in the task for both ends, and only the links
-of a spanning forest leave it, to be joined into components.
+links behind the first quarter of its beam gets a wider one. Links near the threshold
+are verified in double precision, links are counted in the task for both ends, and only
+the links of a spanning forest leave it, to be joined into components.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ NEIGHBOURS, LOWEST, BUILD_BEAM, BEAM = 12, 24, 48, 32
 AUDIT, RECALL = 256, 0.98
 #: Nodes expanded per step, and bytes for the marks of visited nodes.
 EXPAND, MARK_BYTES = 4, 32 << 20
-#: Queries with links up to the end of their beams are compared with all members, in blocks of so many values, once a
+#: Queries with links late in their beams are compared with all members, in blocks of so many values, once a
 #: wider beam would cost more: a step along links costs as much as so many values of a matrix product.
 STEP_COST, BLOCK_VALUES = 16, 4 << 20
 #: Queries answered at once, linked pairs counted at once, and rows told at once.
@@ -236,7 +236,7 @@ class Shard:
         return np.concatenate([self.graph.search(q[start : start + rows], beam)[0] for start in range(0, len(q), rows)])
 
     def _audited(self, beam: int) -> int:
-        """The first beam, an eighth wider each time, that finds members from queries at the threshold's edge."""
+        """The first beam, half as wide again each time, that finds members from queries at the threshold's edge."""
         n, d = self.exact.shape
         rng = np.random.default_rng(9)
         chosen = rng.permutation(n)[:AUDIT]
@@ -256,10 +256,10 @@ class Shard:
             hubs = self._found(q, beam)
             links = np.where(hubs >= 0, np.take_along_axis(true, hubs, 1), 0)
             hit, all_ = links.sum(axis=1), true.sum(axis=1)
-            final = (hit == all_) | ~links[:, beam // 2 :].any(axis=1)  # other beams have links up to their end and get wider ones
+            final = (hit == all_) | ~links[:, beam // 4 :].any(axis=1)  # other beams have late links and get wider ones
             if hit[final].sum() >= RECALL * all_[final].sum():
                 return beam
-            beam += max(1, beam // 8)
+            beam += beam // 2
         return true.shape[1]
 
     def _roots(self, nodes: np.ndarray) -> np.ndarray:
@@ -333,7 +333,7 @@ class Shard:
         waiting, beam, before = np.arange(len(q)), self.beam, np.zeros(0, np.int64)
         while len(waiting) and beam < count:
             hubs, known = self._found(narrow[waiting], beam) if known is None else known, None
-            rows, late = np.repeat(waiting, beam), np.tile(np.arange(beam) >= beam // 2, len(waiting))
+            rows, late = np.repeat(waiting, beam), np.tile(np.arange(beam) >= beam // 4, len(waiting))
             hubs = hubs.ravel()
             new = (hubs >= 0) & ~np.isin(rows * count + hubs, before) if len(before) else hubs >= 0
             order = np.flatnonzero(new)[np.argsort(hubs[new], kind="stable")]
@@ -345,7 +345,7 @@ class Shard:
                     other = note(own[place], member)
                     place = place[other]
                     full[own[place[late[begin:end][place]]]] = True
-            # a beam that has links up to its end may have missed some
+            # a beam that has links behind its first quarter may have missed some
             stay = full[rows]
             before = np.concatenate([before[full[before // count]], rows[stay] * count + hubs[stay]])
             waiting, beam = np.flatnonzero(full), 2 * beam
